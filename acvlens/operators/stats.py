@@ -44,41 +44,92 @@ def _join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
 
 # --- quantiles / box plot -------------------------------------------------------
 
+def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
+                    probs: Sequence[float], names: Sequence[str], accuracy: int = 10000,
+                    midpoint: bool = False, extra_aggs: Sequence[Column] = ()) -> DataFrame:
+    """Exact quantiles per group (R type 7) without gathering a group in one task.
+
+    For each probability p the target ranks are floor(h) and ceil(h) with
+    h = (n - 1)·p + 1.  Pass 1 builds a bounded ``percentile_approx`` sketch per
+    group (merged map-side); its answers at p ± 2/accuracy bracket both ranks,
+    because the sketch's rank error is at most n/accuracy.  Pass 2 counts the
+    rows below each bracket and keeps the values inside it, as (value, count)
+    pairs — about 4·n/accuracy of them.  The ranks are then resolved from
+    running counts over those candidates only.  Groups with at most
+    ``10·accuracy`` rows take every value as a candidate (the sketch's bound is
+    not tight there), which bounds each window partition by 10·accuracy
+    distinct values or by the bracket, whichever applies.
+
+    ``midpoint=True`` gives ``(x[lo] + x[hi]) / 2`` (R's ``median``) instead of
+    ``(1 - f)·x[lo] + f·x[hi]`` (R's ``quantile``).  ``extra_aggs`` (over the
+    value column renamed ``__v``) are computed in the sketch pass and returned
+    alongside, saving a separate aggregation over the rows.
+    """
+    g = list(group_cols)
+    probs = list(probs)
+    base = df.select(*g, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    eps = 2.0 / accuracy
+    bp = []
+    for p in probs:
+        bp += [max(0.0, p - eps), min(1.0, p + eps)]
+    sk = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"),
+                              F.percentile_approx("__v", bp, accuracy).alias("__b"), *extra_aggs)
+    extra = [c for c in sk.columns if c not in (*g, "__n", "__b")]
+    small = F.col("__n") <= F.lit(10 * accuracy)
+    cols = [*g, "__n"]
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1).cast("double") * F.lit(p) + F.lit(1.0)
+        cols += [F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i]).alias(f"__lo{i}"),
+                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias(f"__hi{i}"),
+                 F.floor(h).alias(f"__klo{i}"), F.ceil(h).alias(f"__khi{i}"),
+                 (h - F.floor(h)).alias(f"__f{i}")]
+    sk = sk.select(*cols, *extra)
+    stat_cols = [c for c in sk.columns if c not in g and c not in extra]
+    j = _join_group_stats(base, sk, g)
+    v = F.col("__v")
+    in_any = None
+    for i in range(len(probs)):
+        c = (v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}"))
+        in_any = c if in_any is None else in_any | c
+    # One row per candidate value, plus one row per group for everything else.
+    t = j.groupBy(*g, F.when(in_any, v).alias("__cv")).agg(
+        F.count(F.lit(1)).alias("__w"),
+        *[F.first(c).alias(c) for c in stat_cols + extra],
+        *[F.count_if(v < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(len(probs))])
+    whole = Window.partitionBy(*g)
+    by_value = Window.partitionBy(*g).orderBy(F.col("__cv").asc_nulls_first()) \
+                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picks = []
+    for i in range(len(probs)):
+        cv = F.col("__cv")
+        inside = cv.isNotNull() & (cv >= F.col(f"__lo{i}")) & (cv <= F.col(f"__hi{i}"))
+        end_rank = F.sum(f"__below{i}").over(whole) + F.sum(F.when(inside, F.col("__w")).otherwise(0)).over(by_value)
+        t = t.withColumn(f"__end{i}", end_rank)
+        picks += [F.min(F.when(inside & (F.col(f"__end{i}") >= F.col(f"__klo{i}")), cv)).alias(f"__xlo{i}"),
+                  F.min(F.when(inside & (F.col(f"__end{i}") >= F.col(f"__khi{i}")), cv)).alias(f"__xhi{i}"),
+                  F.first(f"__f{i}").alias(f"__f{i}")]
+    r = t.groupBy(*g).agg(*picks, *[F.first(c).alias(c) for c in extra])
+    outs = []
+    for i, nm in enumerate(names):
+        xlo, xhi, f = F.col(f"__xlo{i}"), F.col(f"__xhi{i}"), F.col(f"__f{i}")
+        if midpoint:
+            q = (xlo + xhi) / F.lit(2.0)
+        else:
+            q = F.when(f == 0, xlo).otherwise((F.lit(1.0) - f) * xlo + f * xhi)
+        outs.append(q.alias(nm))
+    return r.select(*g, *outs, *extra)
+
+
 def quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
               probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact quantiles per group with linear interpolation (R type 7).
-
-    ``percentile`` keeps a value → count map per group, partially merged
-    map-side, so its size is the number of distinct values, not rows.
-    """
-    v = F.col(value_col).cast("double")
-    q = df.groupBy(*group_cols).agg(F.percentile(v, list(probs)).alias("__q"))
-    return q.select(*group_cols, *[F.col("__q")[i].alias(nm) for i, nm in enumerate(names)])
+    """Exact type-7 quantiles per group (see ``group_quantiles``)."""
+    return group_quantiles(df, group_cols, value_col, probs, names)
 
 
 def median_exact(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  alias: str = "median") -> DataFrame:
-    """Exact median per group, ``(x[lo] + x[hi]) / 2`` in double like R's ``median``.
-
-    Rows are first collapsed to (group, value, count) with partial
-    aggregation, so repeated values cost nothing; the middle positions are
-    then found from running counts over the group's distinct values.
-    """
-    g = list(group_cols)
-    v = F.col(value_col).cast("double")
-    counts = (df.select(*g, v.alias("__v")).filter(F.col("__v").isNotNull())
-                .groupBy(*g, "__v").agg(F.count(F.lit(1)).alias("__w")))
-    by_value = Window.partitionBy(*g).orderBy("__v").rowsBetween(Window.unboundedPreceding,
-                                                                 Window.currentRow)
-    whole = Window.partitionBy(*g)
-    counts = counts.withColumn("__cum", F.sum("__w").over(by_value)) \
-                   .withColumn("__tot", F.sum("__w").over(whole))
-    lo = F.floor((F.col("__tot") + 1) / 2)
-    hi = F.floor(F.col("__tot") / 2) + 1
-    agg = [F.min(F.when(F.col("__cum") >= lo, F.col("__v"))).alias("__m1"),
-           F.min(F.when(F.col("__cum") >= hi, F.col("__v"))).alias("__m2")]
-    out = counts.groupBy(*g).agg(*agg) if g else counts.agg(*agg)
-    return out.select(*g, ((F.col("__m1") + F.col("__m2")) / F.lit(2.0)).alias(alias))
+    """Exact median per group, ``(x[lo] + x[hi]) / 2`` in double like R's ``median``."""
+    return group_quantiles(df, group_cols, value_col, [0.5], [alias], midpoint=True)
 
 
 def boxplot_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
@@ -86,28 +137,25 @@ def boxplot_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
     """``geom_boxplot`` statistics per group.
 
     Quartiles by R type 7; whiskers are the extreme values inside
-    [q1 - coef·IQR, q3 + coef·IQR]; values outside are outliers.
+    [q1 - coef·IQR, q3 + coef·IQR]; values outside are outliers.  The
+    per-group statistics are joined back to the rows (one row per group:
+    AQE broadcasts it when small) for the whisker pass.
     """
     g = list(group_cols)
     v = F.col(value_col).cast("double")
     base = df.select(*g, v.alias("__v")).filter(F.col("__v").isNotNull())
-    q = base.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile("__v", [0.25, 0.5, 0.75]).alias("__q"))
-    q = q.select(*g, "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    q = group_quantiles(base, g, "__v", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.withColumn("lower_fence", F.col("q1") - coef * iqr) \
          .withColumn("upper_fence", F.col("q3") + coef * iqr)
     j = _join_group_stats(base, q, g)
-    inside_lo = F.col("__v") >= F.col("lower_fence")
-    inside_hi = F.col("__v") <= F.col("upper_fence")
+    inside = (F.col("__v") >= F.col("lower_fence")) & (F.col("__v") <= F.col("upper_fence"))
     return j.groupBy(*g).agg(
-        F.first("n").alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(inside_lo & inside_hi, F.col("__v"))).alias("lower_whisker"),
-        F.max(F.when(inside_lo & inside_hi, F.col("__v"))).alias("upper_whisker"),
-        F.count_if(~(inside_lo & inside_hi)).cast("long").alias("n_outliers"),
+        F.min(F.when(inside, F.col("__v"))).alias("lower_whisker"),
+        F.max(F.when(inside, F.col("__v"))).alias("upper_whisker"),
+        F.count_if(~inside).cast("long").alias("n_outliers"),
     )
 
 
@@ -115,13 +163,13 @@ def boxplot_outliers(df: DataFrame, group_cols: Sequence[str], value_col: str,
                      keep_cols: Sequence[str] = (), coef: float = 1.5) -> DataFrame:
     """The rows drawn as outlier points of ``geom_boxplot``."""
     g = list(group_cols)
-    v = F.col(value_col).cast("double")
-    q = quantiles(df.filter(v.isNotNull()), g, value_col, [0.25, 0.75], ["q1", "q3"])
+    base = df.select(*g, *[c for c in keep_cols if c not in g],
+                     F.col(value_col).cast("double").alias(value_col)) \
+             .filter(F.col(value_col).isNotNull())
+    q = group_quantiles(base, g, value_col, [0.25, 0.75], ["q1", "q3"])
     iqr = F.col("q3") - F.col("q1")
     q = q.select(*g, (F.col("q1") - coef * iqr).alias("lower_fence"),
                  (F.col("q3") + coef * iqr).alias("upper_fence"))
-    base = df.select(*g, *[c for c in keep_cols if c not in g], v.alias(value_col)) \
-             .filter(F.col(value_col).isNotNull())
     j = _join_group_stats(base, q, g)
     out = (F.col(value_col) < F.col("lower_fence")) | (F.col(value_col) > F.col("upper_fence"))
     return j.filter(out).drop("lower_fence", "upper_fence")
@@ -154,16 +202,13 @@ def density(df: DataFrame, group_cols: Sequence[str], value_col: str, n_grid: in
     g = list(group_cols)
     v = F.col(value_col).cast("double")
     base = df.select(*g, v.alias("__v")).filter(F.col("__v").isNotNull())
-    st = base.groupBy(*g).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.stddev_samp("__v").alias("__sd"),
-        F.percentile("__v", [0.25, 0.75]).alias("__q"),
-        F.min("__v").alias("__from"),
-        F.max("__v").alias("__to"),
-    ).filter(F.col("__n") >= 2)
+    st = group_quantiles(base, g, "__v", [0.25, 0.75], ["__q1", "__q3"], extra_aggs=[
+        F.count(F.lit(1)).alias("__cnt"), F.stddev_samp("__v").alias("__sd"),
+        F.min("__v").alias("__from"), F.max("__v").alias("__to")])
+    st = st.withColumnRenamed("__cnt", "__n").filter(F.col("__n") >= 2)
     st = st.select(
         *g, "__n", "__from", "__to",
-        (F.lit(adjust) * _bw_nrd0(F.col("__n"), F.col("__sd"), F.col("__q")[1] - F.col("__q")[0],
+        (F.lit(adjust) * _bw_nrd0(F.col("__n"), F.col("__sd"), F.col("__q3") - F.col("__q1"),
                                   F.col("__from"))).alias("__bw"),
         ((F.col("__to") - F.col("__from")) / F.lit(n_grid - 1)).alias("__delta"),
     )

@@ -9,6 +9,7 @@ from ..functions.exprs import dollar, n, n_distinct, n_distinct_small, present,
 from ..operators.edges import edges
 from ..operators.joins import full_join_null_safe, left_join_null_safe, lookup
 from ..params import CLIENT_CPA_COLUMNS, Params
+from ..session import materialize
 from .referral import account_names, referral_ranked
 
 
@@ -33,7 +34,10 @@ def client_cpa_summary(opp: DataFrame, account: DataFrame, p: Params) -> DataFra
 
 def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
     """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many)."""
-    return full_join_null_safe(referral_ranked(opp, account, p), client_cpa_summary(opp, account, p), "Name")
+    # Each side is read by two branches (matched pairs, unmatched rows): write
+    # the per-account summaries once instead of recomputing them.
+    return full_join_null_safe(materialize(referral_ranked(opp, account, p)),
+                               materialize(client_cpa_summary(opp, account, p)), "Name")
 
 
 def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators.gaps import purchase_cycles as _cycles
 from ..operators.gaps import purchase_gaps as _gaps
 from ..operators.stats import boxplot_outliers, boxplot_stats, density
 from ..params import Params
+from ..session import materialize
 
 ROW_COLS = ("Opp_ID", "Acct_Id", "Record_Type_Name", "Close_Date", "ACV_for_Quotas")
 DEDUP_KEYS = ("Opp_ID", "Close_Date", "Record_Type_Name")
@@ -82,15 +83,16 @@ def purchase_cycles(report: DataFrame, p: Params) -> DataFrame:
 
 def cycle_boxplot(report: DataFrame, p: Params) -> DataFrame:
     """Q29: box-plot statistics of ``avg_cycle`` by service line."""
-    return boxplot_stats(purchase_cycles(report, p), ["Record_Type_Name"], "avg_cycle")
+    return boxplot_stats(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle")
 
 
 def cycle_boxplot_outliers(report: DataFrame, p: Params) -> DataFrame:
     """Q29 (points): the (account, service line) rows drawn as box-plot outliers."""
-    return boxplot_outliers(purchase_cycles(report, p), ["Record_Type_Name"], "avg_cycle",
+    return boxplot_outliers(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle",
                             keep_cols=["Acct_Id"])
 
 
 def cycle_density(report: DataFrame, p: Params, binned: bool = True) -> DataFrame:
     """Q30: kernel density of ``avg_cycle`` per service line (512-point grid)."""
-    return density(purchase_cycles(report, p), ["Record_Type_Name"], "avg_cycle", binned=binned)
+    return density(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle",
+                   binned=binned)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import corr0, currency, n, n_distinct_small, sum0
 from ..operators.stats import boxplot_stats, lm_fit, median_exact
 from ..params import Params
+from ..session import materialize
 
 X_CHOICES = ("num_opportunities", "distinct_service_lines")
 # Display labels of the service-line summary table (fixed values).
@@ -43,7 +44,8 @@ def volume_lines_scatter(report: DataFrame, p: Params) -> DataFrame:
 
 def lines_by_volume_boxplot(report: DataFrame, p: Params) -> DataFrame:
     """Q33: box-plot statistics of distinct service lines by opportunity count."""
-    return boxplot_stats(acct_volume_lines(report, p), ["num_opportunities"], "distinct_service_lines")
+    return boxplot_stats(materialize(acct_volume_lines(report, p)), ["num_opportunities"],
+                         "distinct_service_lines")
 
 
 def acct_sales(report: DataFrame, p: Params, scope: str = "won") -> DataFrame:
@@ -54,19 +56,42 @@ def acct_sales(report: DataFrame, p: Params, scope: str = "won") -> DataFrame:
         sum0("ACV_for_Quotas").alias("total_acv"))
 
 
+def acct_sales_both(report: DataFrame, p: Params) -> DataFrame:
+    """Q34a and Q34b in one pass: per account, the all-stage and the won-only figures.
+
+    One scan and one shuffle instead of one per scope.  Accounts without a won
+    row have NULL won figures (they are absent from the won scope).
+    """
+    won = F.col("Stage") == p.won
+    rtn = F.col("Record_Type_Name")
+    a = report.groupBy("Acct_Id").agg(
+        n().alias("all_num_opportunities"),
+        n_distinct_small(rtn).alias("all_distinct_service_lines"),
+        sum0("ACV_for_Quotas").alias("all_total_acv"),
+        F.count_if(won).alias("__won_n"),
+        F.size(F.collect_set(F.when(won, rtn))).alias("__won_sets"),
+        F.max(F.when(won & rtn.isNull(), F.lit(1)).otherwise(F.lit(0))).alias("__won_null"),
+        sum0(F.when(won, F.col("ACV_for_Quotas"))).alias("__won_acv"))
+    has_won = F.col("__won_n") > 0
+    return a.select(
+        "Acct_Id", "all_num_opportunities", "all_distinct_service_lines", "all_total_acv",
+        F.when(has_won, F.col("__won_n")).alias("won_num_opportunities"),
+        F.when(has_won, (F.col("__won_sets") + F.col("__won_null")).cast("long"))
+         .alias("won_distinct_service_lines"),
+        F.when(has_won, F.col("__won_acv")).alias("won_total_acv"))
+
+
 def sales_correlation(report: DataFrame, p: Params, scopes=("won", "all")) -> DataFrame:
     """Q35: corr(opportunities, ACV) and corr(service lines, ACV) per scope, as rows."""
-    parts = []
+    both = acct_sales_both(report, p)
+    cols = []
     for scope in scopes:
-        a = acct_sales(report, p, scope).agg(
-            corr0("num_opportunities", "total_acv").alias("num_opportunities"),
-            corr0("distinct_service_lines", "total_acv").alias("distinct_service_lines"))
-        parts.append(a.unpivot([], list(X_CHOICES), "x_var", "correlation")
-                      .select(F.lit(scope).alias("scope"), "x_var", "correlation"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        for x in X_CHOICES:
+            cols.append(corr0(f"{scope}_{x}", f"{scope}_total_acv").alias(f"{scope}|{x}"))
+    wide = both.agg(*cols)
+    long = wide.unpivot([], [f"`{c}`" for c in wide.columns], "__k", "correlation")
+    return long.select(F.split("__k", r"\|")[0].alias("scope"), F.split("__k", r"\|")[1].alias("x_var"),
+                       "correlation")
 
 
 def _long_xy(report: DataFrame, p: Params, scope: str) -> DataFrame:
@@ -82,17 +107,20 @@ def sales_scatter(report: DataFrame, p: Params, scope: str = "won") -> DataFrame
 
 
 def sales_fit(report: DataFrame, p: Params, scopes=("won", "all")) -> DataFrame:
-    """Q37: least-squares line of ACV on each x choice, per scope."""
-    long = None
-    for scope in scopes:
-        part = _long_xy(report, p, scope)
-        long = part if long is None else long.unionByName(part)
+    """Q37: least-squares line of ACV on each x choice, per scope (one pass over the rows)."""
+    both = acct_sales_both(report, p)
+    parts = [F.struct(F.lit(scope).alias("scope"), F.lit(x).alias("x_var"),
+                      F.col(f"{scope}_{x}").cast("long").alias("x"),
+                      F.col(f"{scope}_total_acv").alias("total_acv"))
+             for scope in scopes for x in X_CHOICES]
+    long = both.select(F.explode(F.array(*parts)).alias("__p")).select("__p.*") \
+               .filter(F.col("total_acv").isNotNull())
     return lm_fit(long, "x", "total_acv", group_cols=["scope", "x_var"])
 
 
 def acv_by_service_lines(report: DataFrame, p: Params) -> DataFrame:
     """Q38: per number of distinct service lines: sum, mean and median account ACV, accounts."""
-    a = acct_sales(report, p, "won")
+    a = materialize(acct_sales(report, p, "won"))   # read by the totals and the median passes
     totals = a.groupBy("distinct_service_lines").agg(
         F.sum("total_acv").cast("decimal(38,2)").alias("sum_acv"),
         (F.sum("total_acv").cast("double") / n().cast("double")).alias("avg_acv"),

@@ -53,14 +53,27 @@ def _apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 
-    Read from ``spark.checkpoint.dir``; a local scratch folder is created
-    only when the session has none (local tests).
+    Taken from the context, else from ``spark.checkpoint.dir``; a local
+    scratch folder is created only when the session names none (local tests).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="acvlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    For an intermediate that several branches of a plan read (Catalyst
+    prunes each branch differently, so their shuffles are not reused): the
+    branches then read the written data instead of recomputing it, and a
+    lost executor costs a re-read, not a recomputation.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -282,3 +282,26 @@ def test_service_line_summary_invariants(spark):
     summary = penetration.acv_by_service_lines(rep, P)
     assert summary.agg(F.sum("num_accounts")).first()[0] == per_acct.count()
     assert summary.agg(F.sum("sum_acv")).first()[0] == per_acct.agg(F.sum("total_acv")).first()[0]
+
+
+@pytest.mark.parametrize("accuracy", [20, 100])
+def test_group_quantiles_bracket_path_is_exact(spark, accuracy):
+    # Groups far above 10·accuracy rows use the sketch brackets; ties and a
+    # hot group included.  Must equal numpy's type-7 quantiles exactly.
+    rng = np.random.default_rng(accuracy)
+    hot = rng.integers(0, 400, 30000).astype(float)                   # heavy ties
+    cont = rng.normal(0, 1, 12000).round(6)
+    small = rng.normal(5, 2, 37)
+    rows = [("hot", float(x)) for x in hot] + [("cont", float(x)) for x in cont] + \
+           [("small", float(x)) for x in small]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    names = [f"p{i}" for i in range(len(probs))]
+    got = {r.g: [r[n] for n in names]
+           for r in stats.group_quantiles(df, ["g"], "v", probs, names, accuracy=accuracy).collect()}
+    med = {r.g: r.m for r in stats.group_quantiles(df, ["g"], "v", [0.5], ["m"], accuracy=accuracy,
+                                                   midpoint=True).collect()}
+    for g, vals in (("hot", hot), ("cont", cont), ("small", small)):
+        want = np.quantile(vals, probs)
+        assert got[g] == pytest.approx(list(want), abs=1e-9), g
+        assert med[g] == pytest.approx(float(np.median(vals)), abs=1e-9)
