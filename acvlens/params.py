@@ -6,7 +6,8 @@ from dataclasses import dataclass, field
 
 # Fixed values that must equal the reference's for right results:
 # stage names, the default first year of the yearly tables, the
-# service-line list of the purchase-cycle report and the gap cut-off.
+# service-line list of the purchase-cycle report, the gap cut-off, and the
+# labels that appear as values or column names in the outputs.
 WON = "6 - Closed Won"
 LOST = "7 - Closed Lost"
 DEFAULT_MIN_YEAR = 2018
@@ -20,6 +21,20 @@ DEFAULT_SERVICE_LINES = (
     "LIFO - Auto",
 )
 DEFAULT_MAX_GAP_DAYS = 1000
+HAS_REFERRAL = "Has Referral"
+NO_REFERRAL = "No Referral"
+WIN_WITH_REFERRAL = "Win % with Referral"
+WIN_WITHOUT_REFERRAL = "Win % without Referral"
+TOTAL_COUNT = "Total Count of Opps"
+METRIC_LABEL = "Metric"
+MISSING_TEXT = "-"
+SUMMARY_LABELS = {
+    "distinct_service_lines": "Distinct Service Lines",
+    "sum_acv": "Total ACV (USD)",
+    "avg_acv": "Average ACV (USD)",
+    "median_acv": "Median ACV (USD)",
+    "num_accounts": "# of Accounts",
+}
 
 # Referral columns in the order the reference binds them.
 REFERRER_COLUMNS = ("Referring_CPA__c", "Referral_2_Account__c", "Referral_1_Account__c")

@@ -7,18 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import corr0, currency, n, n_distinct_small, sum0
 from ..operators.stats import boxplot_stats, lm_fit, median_exact
-from ..params import Params
+from ..params import SUMMARY_LABELS, Params
 from ..session import materialize
 
 X_CHOICES = ("num_opportunities", "distinct_service_lines")
-# Display labels of the service-line summary table (fixed values).
-SUMMARY_LABELS = {
-    "distinct_service_lines": "Distinct Service Lines",
-    "sum_acv": "Total ACV (USD)",
-    "avg_acv": "Average ACV (USD)",
-    "median_acv": "Median ACV (USD)",
-    "num_accounts": "# of Accounts",
-}
 
 
 def _scope(report: DataFrame, p: Params, scope: str) -> DataFrame:

@@ -10,11 +10,10 @@ from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct_s
 from ..operators.edges import edges
 from ..operators.joins import lookup
 from ..operators.reshape import pivot_wider, transpose_metrics
-from ..params import REFERRER_COLUMNS, Params
+from ..params import (HAS_REFERRAL, METRIC_LABEL, MISSING_TEXT, NO_REFERRAL, REFERRER_COLUMNS,
+                      TOTAL_COUNT, WIN_WITH_REFERRAL, WIN_WITHOUT_REFERRAL, Params)
 from ..sources.schemas import ALL_OPP_FIELDS, OPP_FIELDS
 
-TOTAL_COUNT = "Total Count of Opps"
-
 
 def has_referral():
     return any_present(*REFERRER_COLUMNS)
@@ -47,7 +46,7 @@ def referral_merged(opp: DataFrame, p: Params) -> DataFrame:
 
 def opp_referral_flag(opp: DataFrame, p: Params) -> DataFrame:
     """Q03: every opportunity flagged "Has Referral" / "No Referral"."""
-    cat = F.when(has_referral(), F.lit("Has Referral")).otherwise(F.lit("No Referral"))
+    cat = F.when(has_referral(), F.lit(HAS_REFERRAL)).otherwise(F.lit(NO_REFERRAL))
     return opp.select(*ALL_OPP_FIELDS, cat.alias("category"))
 
 
@@ -60,7 +59,7 @@ def _closed_since(opp: DataFrame, p: Params) -> DataFrame:
 
 def win_pct_by_year(opp: DataFrame, p: Params) -> DataFrame:
     """Q04: win % of closed opportunities by (year, with / without referral)."""
-    cat = F.when(has_referral(), F.lit("Win % with Referral")).otherwise(F.lit("Win % without Referral"))
+    cat = F.when(has_referral(), F.lit(WIN_WITH_REFERRAL)).otherwise(F.lit(WIN_WITHOUT_REFERRAL))
     return (_closed_since(opp, p)
             .select(year_of("CloseDate").alias("year"), cat.alias("category"), "StageName")
             .groupBy("year", "category")
@@ -91,8 +90,9 @@ def win_pct_summary(opp: DataFrame, p: Params) -> DataFrame:
 def win_pct_display(opp: DataFrame, p: Params) -> DataFrame:
     """Q40: Q06 as displayed: missing cells "-", first column labelled "Metric"."""
     w = win_pct_summary(opp, p)
-    return w.select(F.col("category").alias("Metric"),
-                    *[F.coalesce(F.col(f"`{c}`"), F.lit("-")).alias(c) for c in w.columns if c != "category"])
+    return w.select(F.col("category").alias(METRIC_LABEL),
+                    *[F.coalesce(F.col(f"`{c}`"), F.lit(MISSING_TEXT)).alias(c)
+                      for c in w.columns if c != "category"])
 
 
 # --- Q07–Q09: per-referrer totals and ranking -----------------------------------
