@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import mdy, n, n_distinct, present
+from ..functions.exprs import mdy, mdy_strict, n, n_distinct, present
 from ..operators.dedup import keep_first
 from ..operators.gaps import purchase_cycles as _cycles
 from ..operators.gaps import purchase_gaps as _gaps
@@ -37,17 +37,23 @@ def report_cpa_rows(report: DataFrame, p: Params) -> DataFrame:
             .distinct())
 
 
-def report_dedup(report: DataFrame, p: Params) -> DataFrame:
+def report_dedup(report: DataFrame, p: Params, sorted_output: bool = False) -> DataFrame:
     """Q25: client rows ∪ CPA rows, first row per (Opp_ID, Close_Date, Record_Type_Name).
 
     Client rows are bound first, and every CPA row's key comes from a won row
     that is also a client row, so a CPA row never survives: the result is the
     first client row per key — the smallest ``Acct_Id``, then the smallest
     ACV with missing last (the group order of the client-row summary).  The
-    CPA branch is therefore not computed.
+    CPA branch is therefore not computed.  ``sorted_output`` orders the rows by
+    account, then the close date parsed as month/day/year (for a sink or a
+    display; the downstream analyses do not need it).
     """
     rows = report_won(report, p).select(*ROW_COLS)
-    return keep_first(rows, DEDUP_KEYS, ["Acct_Id", "ACV_for_Quotas"]).select(*ROW_COLS)
+    out = keep_first(rows, DEDUP_KEYS, ["Acct_Id", "ACV_for_Quotas"]).select(*ROW_COLS)
+    if sorted_output:
+        out = out.orderBy(F.col("Acct_Id").asc_nulls_last(), mdy_strict("Close_Date").asc_nulls_last(),
+                          F.col("Opp_ID"))
+    return out
 
 
 def report_dedup_by_party(report: DataFrame, p: Params) -> DataFrame:
