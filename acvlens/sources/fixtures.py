@@ -11,15 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..params import LOST, WON
 from .schemas import MONEY
 
-WON = "6 - Closed Won"
-LOST = "7 - Closed Lost"
+# The fixture's third stage (neither won nor lost).
 PROPOSAL = "3 - Proposal"
 
 
+# Declared read schemas (the driver-table columns the derivations use): no
+# inference job per read, and the scan reads only these columns.
+SOURCE_SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, "
+                "l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+    "part": "p_partkey BIGINT, p_type STRING",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _s(c: Column) -> Column:
