@@ -136,8 +136,10 @@ def boxplot_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
                   coef: float = 1.5) -> DataFrame:
     """``geom_boxplot`` statistics per group.
 
-    Quartiles by R type 7; whiskers are the extreme values inside
-    [q1 - coef·IQR, q3 + coef·IQR]; values outside are outliers.  The
+    Quartiles by R type 7; values outside [q1 - coef·IQR, q3 + coef·IQR] are
+    outliers.  With no outlier the whiskers are the minimum and maximum; with
+    outliers they are the range of the quartiles together with the values
+    inside the fences (so a whisker never falls inside the box).  The
     per-group statistics are joined back to the rows (one row per group:
     AQE broadcasts it when small) for the whisker pass.
     """
@@ -150,13 +152,16 @@ def boxplot_stats(df: DataFrame, group_cols: Sequence[str], value_col: str,
          .withColumn("upper_fence", F.col("q3") + coef * iqr)
     j = _join_group_stats(base, q, g)
     inside = (F.col("__v") >= F.col("lower_fence")) & (F.col("__v") <= F.col("upper_fence"))
-    return j.groupBy(*g).agg(
+    s = j.groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"),
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
-        F.min(F.when(inside, F.col("__v"))).alias("lower_whisker"),
-        F.max(F.when(inside, F.col("__v"))).alias("upper_whisker"),
+        F.min(F.when(inside, F.col("__v"))).alias("__lo"),
+        F.max(F.when(inside, F.col("__v"))).alias("__hi"),
         F.count_if(~inside).cast("long").alias("n_outliers"),
     )
+    return s.select(*g, "n", "q1", "median", "q3",
+                    F.least("q1", "__lo").alias("lower_whisker"),
+                    F.greatest("q3", "__hi").alias("upper_whisker"), "n_outliers")
 
 
 def boxplot_outliers(df: DataFrame, group_cols: Sequence[str], value_col: str,

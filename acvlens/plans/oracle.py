@@ -214,8 +214,8 @@ f AS (
 ),
 box AS (
   SELECT {g}, n, q1, med AS median, q3,
-         MIN(CASE WHEN v >= lf AND v <= uf THEN v END) AS lower_whisker,
-         MAX(CASE WHEN v >= lf AND v <= uf THEN v END) AS upper_whisker,
+         least(q1, MIN(CASE WHEN v >= lf AND v <= uf THEN v END)) AS lower_whisker,
+         greatest(q3, MAX(CASE WHEN v >= lf AND v <= uf THEN v END)) AS upper_whisker,
          CAST(COUNT(*) FILTER (WHERE NOT (v >= lf AND v <= uf)) AS BIGINT) AS n_outliers
   FROM f GROUP BY {g}, n, q1, med, q3
 )"""

@@ -231,7 +231,7 @@ def test_median_and_boxplot_match_numpy(spark):
         inside = vs[(vs >= lo) & (vs <= hi)]
         b = box[g]
         assert (b.q1, b.median, b.q3) == pytest.approx((q1, q2, q3), abs=1e-9)
-        assert b.lower_whisker == inside.min() and b.upper_whisker == inside.max()
+        assert b.lower_whisker == min(q1, inside.min()) and b.upper_whisker == max(q3, inside.max())
         assert b.n_outliers == len(vs) - len(inside)
     assert box["a"].n_outliers >= 1
 
@@ -305,3 +305,15 @@ def test_group_quantiles_bracket_path_is_exact(spark, accuracy):
         want = np.quantile(vals, probs)
         assert got[g] == pytest.approx(list(want), abs=1e-9), g
         assert med[g] == pytest.approx(float(np.median(vals)), abs=1e-9)
+
+
+def test_boxplot_whiskers_include_quartiles_when_outliers(spark):
+    # 0, 10, 10, 10: q1 = 7.5, q3 = 10, IQR = 2.5, 0 is an outlier; the lower
+    # whisker is the range of (quartiles, inside values) = 7.5, not 10.
+    df = spark.createDataFrame([("g", 0.0), ("g", 10.0), ("g", 10.0), ("g", 10.0)], "g string, v double")
+    b = stats.boxplot_stats(df, ["g"], "v").first()
+    assert (b.q1, b.q3, b.n_outliers) == (7.5, 10.0, 1)
+    assert (b.lower_whisker, b.upper_whisker) == (7.5, 10.0)
+    df2 = spark.createDataFrame([("g", float(x)) for x in (1, 2, 3, 4)], "g string, v double")
+    b2 = stats.boxplot_stats(df2, ["g"], "v").first()
+    assert (b2.lower_whisker, b2.upper_whisker, b2.n_outliers) == (1.0, 4.0, 0)
