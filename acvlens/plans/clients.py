@@ -36,13 +36,14 @@ def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params) -> DataFr
     """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many)."""
     # Each side is read by two branches (matched pairs, unmatched rows): write
     # the per-account summaries once instead of recomputing them.
-    return full_join_null_safe(materialize(referral_ranked(opp, account, p)),
+    return full_join_null_safe(materialize(referral_ranked(opp, account, p, sort=False)),
                                materialize(client_cpa_summary(opp, account, p)), "Name")
 
 
 def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
     """Q17b: the left-join form of Q17."""
-    return left_join_null_safe(referral_ranked(opp, account, p), client_cpa_summary(opp, account, p), "Name")
+    return left_join_null_safe(referral_ranked(opp, account, p, sort=False),
+                               client_cpa_summary(opp, account, p), "Name")
 
 
 def _cpa_pairs(opp: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -114,14 +114,16 @@ def referral_summary_named(opp: DataFrame, account: DataFrame, p: Params) -> Dat
 
 
 def referral_ranked(opp: DataFrame, account: DataFrame, p: Params,
-                    top_k: int | None = None) -> DataFrame:
+                    top_k: int | None = None, sort: bool = True) -> DataFrame:
     """Q09 (flagship): referrers ranked by ACV, money as ``$1,234`` text.
 
     Sorted on the number before it is formatted; ties by account id.
     ``top_k`` turns the sort into a top-k (TakeOrderedAndProject).
+    ``sort=False`` gives the same rows unordered, for use inside a join.
     """
-    s = referral_summary_named(opp, account, p).orderBy(
-        F.col("R_total_acv").desc_nulls_last(), F.col("Account_Id").asc_nulls_last())
+    s = referral_summary_named(opp, account, p)
+    if sort or top_k is not None:
+        s = s.orderBy(F.col("R_total_acv").desc_nulls_last(), F.col("Account_Id").asc_nulls_last())
     if top_k is not None:
         s = s.limit(top_k)
     return s.select("Name", dollar("R_total_acv").alias("R_total_acv"),
