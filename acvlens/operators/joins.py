@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str | None = None,
-           keep_left_key: bool = True) -> DataFrame:
-    """Left N:1 join to a dimension.
+           keep_left_key: bool = True, reduce_dim: bool = True) -> DataFrame:
+    """Left N:1 join of an aggregated table to a dimension (account names).
 
-    No broadcast hint: the account dimension grows with the data, so the
-    strategy is left to AQE, which broadcasts only when the measured size
-    is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and
-    sort-merges otherwise.
+    No broadcast hint: the dimension grows with the data.  A left join can
+    only build its right side, so a plain join would shuffle the whole
+    dimension to attach names to a few rows.  With ``reduce_dim`` the left
+    side (one row per key, small next to the dimension) is written once,
+    and the dimension is first cut to its keys by a semi join — AQE
+    broadcasts the key set when its measured size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (the dimension is then
+    filtered map-side, no shuffle) and sort-merges otherwise.
     """
     right_key = right_key or left_key
+    if reduce_dim:
+        df = materialize(df)
+        keys = df.select(F.col(left_key).alias(right_key)).where(F.col(right_key).isNotNull()).distinct()
+        dim = dim.join(keys, right_key, "left_semi")
     if left_key == right_key:
         return df.join(dim, left_key, "left")
     out = df.join(dim, df[left_key] == dim[right_key], "left")
