@@ -35,6 +35,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder.config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("ACVLENS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+        # materialize() writes checkpoints; remove them once unreferenced.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
