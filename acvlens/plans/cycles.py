@@ -78,8 +78,12 @@ def _dated(report: DataFrame, p: Params) -> DataFrame:
 
 
 def purchase_gaps(report: DataFrame, p: Params) -> DataFrame:
-    """Q27: gap in days to the previous purchase per (account, service line), ≤ max."""
-    return _gaps(_dated(report, p), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    """Q27: gap in days to the previous purchase per (account, service line), ≤ max.
+
+    The de-duplicated rows feed both the per-day pre-aggregate and the
+    join back, so they are written once rather than derived twice.
+    """
+    return _gaps(materialize(_dated(report, p)), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
 
 
 def purchase_cycles(report: DataFrame, p: Params) -> DataFrame:
