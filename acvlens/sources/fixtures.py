@@ -8,7 +8,7 @@ DuckDB oracle runs).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import LOST, WON
@@ -34,72 +34,53 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SOURCE_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _mod(c: Column, n: int) -> Column:
-    return c % F.lit(n)
-
-
 def opportunity(spark: SparkSession, sf_dir: str, with_tcv: bool = True) -> DataFrame:
     """One row per ``orders`` row, CRM opportunity columns.
 
     ``TCV_Gross__c`` is a per-order total over ``lineitem``; it is pre-aggregated
     on the order key (partial aggregation map-side) before the join, so
-    the join sees at most one row per order.
+    the join sees at most one row per order.  The columns are SQL expressions
+    (one call each to the JVM; analysed and code-generated there).
     """
-    o = _read(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
-        "o_orderpriority")
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = _read(spark, sf_dir, "orders")
     if with_tcv:
         tcv = (_read(spark, sf_dir, "lineitem")
                .groupBy("l_orderkey")
                .agg(F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("TCV_Gross__c")))
         o = o.join(tcv, o.o_orderkey == tcv.l_orderkey, "left")
-        tcv_col = F.col("TCV_Gross__c")
+        tcv_expr = "TCV_Gross__c"
     else:
-        tcv_col = F.lit(None).cast(MONEY)
-    return o.select(
-        _s(k).alias("Id"),
-        F.when(_mod(k, 50) == 0, F.lit(None).cast("string"))
-         .when(_mod(k, 50) == 1, F.lit("")).otherwise(_s(c)).alias("AccountId"),
-        F.when(F.col("o_orderstatus") == "F", F.lit(WON))
-         .when(F.col("o_orderstatus") == "O", F.lit(LOST))
-         .when(F.col("o_orderstatus") == "P", F.lit(PROPOSAL)).alias("StageName"),
-        F.when(_mod(k, 97) == 0, F.lit(None).cast("date"))
-         .otherwise(F.col("o_orderdate").cast("date")).alias("CloseDate"),
-        F.when(_mod(k, 20) == 7, F.lit(None).cast(MONEY))
-         .otherwise(F.col("o_totalprice").cast(MONEY)).alias("ACV_for_Quotas__c"),
-        tcv_col.alias("TCV_Gross__c"),
-        F.when(_mod(k, 40) == 3, F.lit(None).cast("string"))
-         .otherwise(F.col("o_orderpriority")).alias("Record_Type_Name__c"),
-        F.when(_mod(k, 6) == 0, _s(_mod(c, 60)))
-         .when(_mod(k, 6) == 1, F.lit("")).alias("Referring_CPA__c"),
-        F.when(_mod(k, 8) == 0, _s(_mod(c * 3, 60)))
-         .when(_mod(k, 8) == 1, F.lit("")).alias("Referral_1_Account__c"),
-        F.when(_mod(k, 10) == 0,
-               F.when(_mod(c, 11) == 0, F.concat(F.lit("X"), _s(_mod(c, 7))))
-                .otherwise(_s(_mod(c * 7, 60))))
-         .when(_mod(k, 10) == 1, F.lit("")).alias("Referral_2_Account__c"),
-        F.when(_mod(k, 4) == 0,
-               F.when(_mod(c, 13) == 0, F.concat(F.lit("X"), _s(_mod(c, 5))))
-                .otherwise(_s(_mod(c, 80))))
-         .when(_mod(k, 4) == 1, F.lit("")).alias("CPA_Contact_Account__c"),
-        F.when(_mod(k, 3) == 0, F.lit("Recurring")).otherwise(F.lit("New"))
-         .alias("shov_revenue_type__c"),
-        _s(_mod(k, 100)).alias("OwnerId"),
+        tcv_expr = "CAST(NULL AS DECIMAL(18,2)) AS TCV_Gross__c"
+    return o.selectExpr(
+        "CAST(o_orderkey AS STRING) AS Id",
+        "CASE WHEN o_orderkey % 50 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 50 = 1 THEN '' "
+        "ELSE CAST(o_custkey AS STRING) END AS AccountId",
+        f"CASE o_orderstatus WHEN 'F' THEN '{WON}' WHEN 'O' THEN '{LOST}' WHEN 'P' THEN '{PROPOSAL}' "
+        "END AS StageName",
+        "CASE WHEN o_orderkey % 97 = 0 THEN CAST(NULL AS DATE) ELSE CAST(o_orderdate AS DATE) END AS CloseDate",
+        "CASE WHEN o_orderkey % 20 = 7 THEN CAST(NULL AS DECIMAL(18,2)) "
+        "ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS ACV_for_Quotas__c",
+        tcv_expr,
+        "CASE WHEN o_orderkey % 40 = 3 THEN CAST(NULL AS STRING) ELSE o_orderpriority END AS Record_Type_Name__c",
+        "CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_custkey % 60 AS STRING) WHEN o_orderkey % 6 = 1 THEN '' "
+        "END AS Referring_CPA__c",
+        "CASE WHEN o_orderkey % 8 = 0 THEN CAST((o_custkey * 3) % 60 AS STRING) WHEN o_orderkey % 8 = 1 THEN '' "
+        "END AS Referral_1_Account__c",
+        "CASE WHEN o_orderkey % 10 = 0 THEN CASE WHEN o_custkey % 11 = 0 THEN 'X' || CAST(o_custkey % 7 AS STRING) "
+        "ELSE CAST((o_custkey * 7) % 60 AS STRING) END WHEN o_orderkey % 10 = 1 THEN '' END AS Referral_2_Account__c",
+        "CASE WHEN o_orderkey % 4 = 0 THEN CASE WHEN o_custkey % 13 = 0 THEN 'X' || CAST(o_custkey % 5 AS STRING) "
+        "ELSE CAST(o_custkey % 80 AS STRING) END WHEN o_orderkey % 4 = 1 THEN '' END AS CPA_Contact_Account__c",
+        "CASE WHEN o_orderkey % 3 = 0 THEN 'Recurring' ELSE 'New' END AS shov_revenue_type__c",
+        "CAST(o_orderkey % 100 AS STRING) AS OwnerId",
     )
 
 
 def account(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per ``customer`` row."""
-    c = F.col("c_custkey")
-    return _read(spark, sf_dir, "customer").select(
-        _s(c).alias("Id"),
-        F.concat(F.lit("Firm "), _s(_mod(c, 1000))).alias("Name"),
-        F.col("c_mktsegment").alias("Client_Type__c"),
+    return _read(spark, sf_dir, "customer").selectExpr(
+        "CAST(c_custkey AS STRING) AS Id",
+        "'Firm ' || CAST(c_custkey % 1000 AS STRING) AS Name",
+        "c_mktsegment AS Client_Type__c",
     )
 
 
@@ -109,25 +90,21 @@ def opp_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``part`` and ``orders`` are joined on their keys; AQE picks broadcast or
     sort-merge at run time from the measured sizes.
     """
-    li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    li = _read(spark, sf_dir, "lineitem")
     o = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    p = _read(spark, sf_dir, "part").select("p_partkey", "p_type")
+    p = _read(spark, sf_dir, "part")
     j = (li.join(o, li.l_orderkey == o.o_orderkey, "inner")
            .join(p, li.l_partkey == p.p_partkey, "inner"))
-    k, c = F.col("l_orderkey"), F.col("o_custkey")
-    return j.select(
-        _s(k).alias("Opp_ID"),
-        F.when(_mod(k, 101) == 0, F.lit("")).otherwise(_s(c)).alias("Acct_Id"),
-        F.when(_mod(k, 4) == 0, _s(_mod(c, 80))).otherwise(F.lit("")).alias("CPA_Contact_Acct_ID"),
-        F.col("p_type").alias("Record_Type_Name"),
-        F.when(_mod(k, 89) == 0, F.lit(""))
-         .otherwise(F.date_format(F.col("l_shipdate").cast("date"), "M/d/yyyy")).alias("Close_Date"),
-        F.when(F.col("l_linenumber") == 7, F.lit(None).cast(MONEY))
-         .otherwise(F.col("l_extendedprice").cast(MONEY)).alias("ACV_for_Quotas"),
-        F.when(F.col("l_returnflag") == "A", F.lit(WON))
-         .when(F.col("l_returnflag") == "R", F.lit(LOST))
-         .when(F.col("l_returnflag") == "N", F.lit(PROPOSAL)).alias("Stage"),
+    return j.selectExpr(
+        "CAST(l_orderkey AS STRING) AS Opp_ID",
+        "CASE WHEN l_orderkey % 101 = 0 THEN '' ELSE CAST(o_custkey AS STRING) END AS Acct_Id",
+        "CASE WHEN l_orderkey % 4 = 0 THEN CAST(o_custkey % 80 AS STRING) ELSE '' END AS CPA_Contact_Acct_ID",
+        "p_type AS Record_Type_Name",
+        "CASE WHEN l_orderkey % 89 = 0 THEN '' "
+        "ELSE date_format(CAST(l_shipdate AS DATE), 'M/d/yyyy') END AS Close_Date",
+        "CASE WHEN l_linenumber = 7 THEN CAST(NULL AS DECIMAL(18,2)) "
+        "ELSE CAST(l_extendedprice AS DECIMAL(18,2)) END AS ACV_for_Quotas",
+        f"CASE l_returnflag WHEN 'A' THEN '{WON}' WHEN 'R' THEN '{LOST}' WHEN 'N' THEN '{PROPOSAL}' END AS Stage",
     )
 
 
