@@ -14,12 +14,14 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str | None =
 
     No broadcast hint: the dimension grows with the data.  A left join can
     only build its right side, so a plain join would shuffle the whole
-    dimension to attach names to a few rows.  With ``reduce_dim`` the left
-    side (one row per key, small next to the dimension) is written once,
-    and the dimension is first cut to its keys by a semi join — AQE
-    broadcasts the key set when its measured size is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (the dimension is then
-    filtered map-side, no shuffle) and sort-merges otherwise.
+    dimension to attach names to a few rows.  With ``reduce_dim`` (for key
+    sets that are a small part of the dimension, e.g. referrers) the left
+    side (one row per key) is written once, and the dimension is first cut
+    to its keys by a semi join — AQE broadcasts the key set when its
+    measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+    (the dimension is then filtered map-side, no shuffle) and sort-merges
+    otherwise.  When the keys cover most of the dimension, ``reduce_dim=False``
+    is the cheaper plan (one sort-merge join).
     """
     right_key = right_key or left_key
     if reduce_dim:
