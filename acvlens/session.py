@@ -55,8 +55,9 @@ def _apply_defaults(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and streaming checkpoints.
 
-    Taken from the context, else from ``spark.checkpoint.dir``; a local
-    scratch folder is created only when the session names none (local tests).
+    Taken from the context, else from ``spark.checkpoint.dir``.  A scratch
+    folder is created only for a local master that names none (tests); on a
+    cluster a machine-local folder would not be shared, so that is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -64,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="acvlens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
