@@ -76,7 +76,7 @@ def purchase_cycles(rows: DataFrame, group_cols: Sequence[str], date_col: str, i
           .select(*g, "__e.v", "__e.w", "__e.d"))
     by_value = Window.partitionBy(*g).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*g)
-    e = e.withColumn("__cum", F.sum("w").over(by_value)).withColumn("__tot", F.sum("w").over(whole))
+    e = e.select("*", F.sum("w").over(by_value).alias("__cum"), F.sum("w").over(whole).alias("__tot"))
     lo = F.floor((F.col("__tot") + 1) / 2)
     hi = F.floor(F.col("__tot") / 2) + 1
     out = e.groupBy(*g).agg(

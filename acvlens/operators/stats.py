@@ -99,14 +99,17 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     whole = Window.partitionBy(*g)
     by_value = Window.partitionBy(*g).orderBy(F.col("__cv").asc_nulls_first()) \
                      .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cv = F.col("__cv")
+    inside = [cv.isNotNull() & (cv >= F.col(f"__lo{i}")) & (cv <= F.col(f"__hi{i}")) for i in range(len(probs))]
+    # Rank of the last copy of each candidate value: rows below the bracket
+    # plus the running count of candidates inside it.
+    t = t.select("*", *[(F.sum(f"__below{i}").over(whole)
+                         + F.sum(F.when(inside[i], F.col("__w")).otherwise(0)).over(by_value)).alias(f"__end{i}")
+                        for i in range(len(probs))])
     picks = []
     for i in range(len(probs)):
-        cv = F.col("__cv")
-        inside = cv.isNotNull() & (cv >= F.col(f"__lo{i}")) & (cv <= F.col(f"__hi{i}"))
-        end_rank = F.sum(f"__below{i}").over(whole) + F.sum(F.when(inside, F.col("__w")).otherwise(0)).over(by_value)
-        t = t.withColumn(f"__end{i}", end_rank)
-        picks += [F.min(F.when(inside & (F.col(f"__end{i}") >= F.col(f"__klo{i}")), cv)).alias(f"__xlo{i}"),
-                  F.min(F.when(inside & (F.col(f"__end{i}") >= F.col(f"__khi{i}")), cv)).alias(f"__xhi{i}"),
+        picks += [F.min(F.when(inside[i] & (F.col(f"__end{i}") >= F.col(f"__klo{i}")), cv)).alias(f"__xlo{i}"),
+                  F.min(F.when(inside[i] & (F.col(f"__end{i}") >= F.col(f"__khi{i}")), cv)).alias(f"__xhi{i}"),
                   F.first(f"__f{i}").alias(f"__f{i}")]
     r = t.groupBy(*g).agg(*picks, *[F.first(c).alias(c) for c in extra])
     outs = []
