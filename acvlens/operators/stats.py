@@ -31,9 +31,11 @@ def _join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
     size is small and sort-merges otherwise.
     """
     if not keys:
-        # A single global group: attach by a constant key.
+        # A single global group: ``stats`` is exactly one row, so broadcasting
+        # it has a proven size bound (a sort-merge join on a constant key would
+        # put every row in one task).
         d = df.withColumn("__g", F.lit(0)).alias("__d")
-        s = stats.withColumn("__g", F.lit(0)).alias("__s")
+        s = F.broadcast(stats.withColumn("__g", F.lit(0))).alias("__s")
         return d.join(s, F.col("__d.__g") == F.col("__s.__g"), "inner").select(
             "__d.*", *[F.col(f"__s.`{c}`") for c in stats.columns]).drop("__g")
     d, s = df.alias("__d"), stats.alias("__s")

@@ -317,3 +317,13 @@ def test_boxplot_whiskers_include_quartiles_when_outliers(spark):
     df2 = spark.createDataFrame([("g", float(x)) for x in (1, 2, 3, 4)], "g string, v double")
     b2 = stats.boxplot_stats(df2, ["g"], "v").first()
     assert (b2.lower_whisker, b2.upper_whisker, b2.n_outliers) == (1.0, 4.0, 0)
+
+
+def test_global_boxplot_without_groups(spark):
+    rng = np.random.default_rng(9)
+    vals = rng.normal(10, 3, 200)
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    b = stats.boxplot_stats(df, [], "v").first()
+    q1, q2, q3 = np.quantile(vals, [0.25, 0.5, 0.75])
+    assert (b.q1, b.median, b.q3) == pytest.approx((q1, q2, q3), abs=1e-9)
+    assert b.n == 200
