@@ -274,3 +274,21 @@ def lm_fit(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> Dat
 
 def correlation(df: DataFrame, x: str, y: str) -> Column:
     return corr0(x, y)
+
+
+def lm_fit_line(fit: DataFrame, group_cols: Sequence[str] = (), n_points: int = 80) -> DataFrame:
+    """The fitted line as drawn by ``geom_smooth(method = "lm")``: ``n_points``
+    evenly spaced x values over [x_min, x_max] with their fitted y.
+
+    ``fit`` is the output of ``lm_fit`` (one row per group), so the result is
+    ``n_points`` rows per group whatever the data size.  Groups whose fit is
+    undefined (constant x) have no line.
+    """
+    g = list(group_cols)
+    step = (F.col("x_max") - F.col("x_min")) / F.lit(n_points - 1)
+    pts = fit.filter(F.col("slope").isNotNull()).select(
+        *g, "slope", "intercept", "x_min", step.alias("__step"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("point"))
+    x = F.col("x_min") + F.col("point") * F.col("__step")
+    return pts.select(*g, F.col("point").cast("long").alias("point"), x.alias("x"),
+                      (F.col("intercept") + F.col("slope") * x).alias("fitted"))

@@ -424,6 +424,17 @@ UNION ALL SELECT 'all', 'distinct_service_lines', {corr('distinct_service_lines'
   round(r2, 9) AS r2, x_min, x_max,
   round(intercept + slope * x_min, 4) AS y_at_x_min, round(intercept + slope * x_max, 4) AS y_at_x_max
 FROM fit""",
+    "q37b_sales_fit_line": with_(REP, SALES_WON, SALES_ALL,
+                                 f"lng AS ({long_xy('sw', 'won')} UNION ALL {long_xy('sa', 'all')})", f"""fit AS (
+  SELECT scope, x_var,
+    {nan_null('regr_slope(CAST(total_acv AS DOUBLE), CAST(x AS DOUBLE))')} AS slope,
+    {nan_null('regr_intercept(CAST(total_acv AS DOUBLE), CAST(x AS DOUBLE))')} AS intercept,
+    CAST(MIN(x) AS DOUBLE) AS x_min, CAST(MAX(x) AS DOUBLE) AS x_max
+  FROM lng GROUP BY scope, x_var
+)""") + """SELECT scope, x_var, g.point, round(x_min + g.point * ((x_max - x_min) / 79.0), 6) AS x,
+  round(intercept + slope * (x_min + g.point * ((x_max - x_min) / 79.0)), 4) AS fitted
+FROM fit, (SELECT range AS point FROM range(0, 80)) g
+WHERE slope IS NOT NULL""",
     "q38_acv_by_service_lines": with_(REP, SALES_WON, """r AS (
   SELECT distinct_service_lines, CAST(total_acv AS DOUBLE) AS v,
          row_number() OVER (PARTITION BY distinct_service_lines ORDER BY CAST(total_acv AS DOUBLE)) AS rn,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import corr0, currency, n, n_distinct_small, sum0
-from ..operators.stats import boxplot_stats, lm_fit, median_exact
+from ..operators.stats import boxplot_stats, lm_fit, lm_fit_line, median_exact
 from ..params import SUMMARY_LABELS, Params
 from ..session import materialize
 
@@ -110,6 +110,11 @@ def sales_fit(report: DataFrame, p: Params, scopes=("won", "all")) -> DataFrame:
     return lm_fit(long, "x", "total_acv", group_cols=["scope", "x_var"])
 
 
+def sales_fit_line(report: DataFrame, p: Params, scopes=("won", "all"), n_points: int = 80) -> DataFrame:
+    """Q37 (line): the fitted lines as drawn, ``n_points`` per scope × x choice."""
+    return lm_fit_line(sales_fit(report, p, scopes), ["scope", "x_var"], n_points)
+
+
 def acv_by_service_lines(report: DataFrame, p: Params) -> DataFrame:
     """Q38: per number of distinct service lines: sum, mean and median account ACV, accounts."""
     a = materialize(acct_sales(report, p, "won"))   # read by the totals and the median passes

@@ -95,6 +95,8 @@ QUERIES: dict[str, Query] = {
     "q37_sales_fit": lambda s, d: _round(penetration.sales_fit(_rep(s, d), P),
                                          {"slope": 4, "intercept": 4, "r2": 9,
                                           "y_at_x_min": 4, "y_at_x_max": 4}),
+    "q37b_sales_fit_line": lambda s, d: _round(penetration.sales_fit_line(_rep(s, d), P),
+                                               {"x": 6, "fitted": 4}),
     "q38_acv_by_service_lines": lambda s, d: _round(penetration.acv_by_service_lines(_rep(s, d), P),
                                                     {"avg_acv": 6, "median_acv": 6}),
     "q39_acv_by_service_lines_fmt": lambda s, d: penetration.acv_by_service_lines_fmt(_rep(s, d), P),
