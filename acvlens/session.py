@@ -37,6 +37,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         # materialize() writes checkpoints; remove them once unreferenced.
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Python call-site capture for error messages costs ~4 extra JVM round
+        # trips per Column built; plans here build hundreds of Columns.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in _DEFAULTS.items():
         builder = builder.config(k, v)
