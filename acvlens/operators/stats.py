@@ -68,61 +68,55 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     alongside, saving a separate aggregation over the rows.
     """
     g = list(group_cols)
+    gq = [f"`{c}`" for c in g]
+    part = f"PARTITION BY {', '.join(gq)}" if g else ""
     probs = list(probs)
-    base = df.select(*g, F.col(value_col).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    k = range(len(probs))
+    base = df.select(*g, F.col(value_col).cast("double").alias("__v")).where("__v IS NOT NULL")
     eps = 2.0 / accuracy
     bp = []
     for p in probs:
         bp += [max(0.0, p - eps), min(1.0, p + eps)]
-    sk = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"),
-                              F.percentile_approx("__v", bp, accuracy).alias("__b"), *extra_aggs)
+    sk = base.groupBy(*g).agg(
+        F.expr("count(1) AS __n"),
+        F.expr(f"percentile_approx(__v, array({', '.join(f'{b!r}D' for b in bp)}), {accuracy}) AS __b"),
+        *extra_aggs)
     extra = [c for c in sk.columns if c not in (*g, "__n", "__b")]
-    small = F.col("__n") <= F.lit(10 * accuracy)
-    cols = [*g, "__n"]
+    small = f"__n <= {10 * accuracy}"
+    cols = [*gq, "__n"]
     for i, p in enumerate(probs):
-        h = (F.col("__n") - 1).cast("double") * F.lit(p) + F.lit(1.0)
-        cols += [F.when(small, F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i]).alias(f"__lo{i}"),
-                 F.when(small, F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1]).alias(f"__hi{i}"),
-                 F.floor(h).alias(f"__klo{i}"), F.ceil(h).alias(f"__khi{i}"),
-                 (h - F.floor(h)).alias(f"__f{i}")]
-    sk = sk.select(*cols, *extra)
+        h = f"(CAST(__n - 1 AS DOUBLE) * {p!r}D + 1.0D)"
+        cols += [f"CASE WHEN {small} THEN CAST('-Infinity' AS DOUBLE) ELSE __b[{2 * i}] END AS __lo{i}",
+                 f"CASE WHEN {small} THEN CAST('Infinity' AS DOUBLE) ELSE __b[{2 * i + 1}] END AS __hi{i}",
+                 f"floor({h}) AS __klo{i}", f"ceil({h}) AS __khi{i}", f"{h} - floor({h}) AS __f{i}"]
+    sk = sk.selectExpr(*cols, *extra)
     stat_cols = [c for c in sk.columns if c not in g and c not in extra]
     j = _join_group_stats(base, sk, g)
-    v = F.col("__v")
-    in_any = None
-    for i in range(len(probs)):
-        c = (v >= F.col(f"__lo{i}")) & (v <= F.col(f"__hi{i}"))
-        in_any = c if in_any is None else in_any | c
+    in_any = " OR ".join(f"(__v >= __lo{i} AND __v <= __hi{i})" for i in k)
     # One row per candidate value, plus one row per group for everything else.
-    t = j.groupBy(*g, F.when(in_any, v).alias("__cv")).agg(
-        F.count(F.lit(1)).alias("__w"),
-        *[F.first(c).alias(c) for c in stat_cols + extra],
-        *[F.count_if(v < F.col(f"__lo{i}")).alias(f"__below{i}") for i in range(len(probs))])
-    whole = Window.partitionBy(*g)
-    by_value = Window.partitionBy(*g).orderBy(F.col("__cv").asc_nulls_first()) \
-                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cv = F.col("__cv")
-    inside = [cv.isNotNull() & (cv >= F.col(f"__lo{i}")) & (cv <= F.col(f"__hi{i}")) for i in range(len(probs))]
+    t = j.groupBy(*g, F.expr(f"CASE WHEN {in_any} THEN __v END AS __cv")).agg(
+        F.expr("count(1) AS __w"),
+        *[F.expr(f"first({c}) AS {c}") for c in stat_cols + extra],
+        *[F.expr(f"count_if(__v < __lo{i}) AS __below{i}") for i in k])
+    inside = [f"(__cv IS NOT NULL AND __cv >= __lo{i} AND __cv <= __hi{i})" for i in k]
     # Rank of the last copy of each candidate value: rows below the bracket
     # plus the running count of candidates inside it.
-    t = t.select("*", *[(F.sum(f"__below{i}").over(whole)
-                         + F.sum(F.when(inside[i], F.col("__w")).otherwise(0)).over(by_value)).alias(f"__end{i}")
-                        for i in range(len(probs))])
+    t = t.selectExpr("*", *[
+        f"sum(__below{i}) OVER ({part}) + sum(CASE WHEN {inside[i]} THEN __w ELSE 0 END) OVER "
+        f"({part} ORDER BY __cv ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __end{i}"
+        for i in k])
     picks = []
-    for i in range(len(probs)):
-        picks += [F.min(F.when(inside[i] & (F.col(f"__end{i}") >= F.col(f"__klo{i}")), cv)).alias(f"__xlo{i}"),
-                  F.min(F.when(inside[i] & (F.col(f"__end{i}") >= F.col(f"__khi{i}")), cv)).alias(f"__xhi{i}"),
-                  F.first(f"__f{i}").alias(f"__f{i}")]
-    r = t.groupBy(*g).agg(*picks, *[F.first(c).alias(c) for c in extra])
-    outs = []
-    for i, nm in enumerate(names):
-        xlo, xhi, f = F.col(f"__xlo{i}"), F.col(f"__xhi{i}"), F.col(f"__f{i}")
-        if midpoint:
-            q = (xlo + xhi) / F.lit(2.0)
-        else:
-            q = F.when(f == 0, xlo).otherwise((F.lit(1.0) - f) * xlo + f * xhi)
-        outs.append(q.alias(nm))
-    return r.select(*g, *outs, *extra)
+    for i in k:
+        picks += [f"min(CASE WHEN {inside[i]} AND __end{i} >= __klo{i} THEN __cv END) AS __xlo{i}",
+                  f"min(CASE WHEN {inside[i]} AND __end{i} >= __khi{i} THEN __cv END) AS __xhi{i}",
+                  f"first(__f{i}) AS __f{i}"]
+    r = t.groupBy(*g).agg(*[F.expr(x) for x in picks], *[F.expr(f"first({c}) AS {c}") for c in extra])
+    if midpoint:
+        outs = [f"(__xlo{i} + __xhi{i}) / 2.0D AS `{nm}`" for i, nm in enumerate(names)]
+    else:
+        outs = [f"CASE WHEN __f{i} = 0 THEN __xlo{i} ELSE (1.0D - __f{i}) * __xlo{i} + __f{i} * __xhi{i} END AS `{nm}`"
+                for i, nm in enumerate(names)]
+    return r.selectExpr(*gq, *outs, *extra)
 
 
 def quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
