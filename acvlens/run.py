@@ -77,17 +77,19 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Callable[[dict, Params], DataFrame]]]
 
 
 def load_inputs(spark: SparkSession, opportunity: str | None, account: str | None,
-                report: str | None) -> dict[str, DataFrame]:
+                report: str | None, report_format: str = "auto") -> dict[str, DataFrame]:
+    """The three inputs; ``report_format`` is ``csv``, ``parquet`` or ``auto``
+    (CSV when the path's last part mentions csv)."""
     t: dict[str, DataFrame] = {}
     if opportunity:
         t[OPP] = tables.read_opportunity(spark, opportunity)
     if account:
         t[ACC] = tables.read_account(spark, account)
     if report:
-        if report.rstrip("/").endswith(".csv") or "csv" in report.rsplit("/", 1)[-1].lower():
-            t[REP] = tables.read_opp_report_csv(spark, report)
-        else:
-            t[REP] = tables.read_table(spark, report)
+        fmt = report_format
+        if fmt == "auto":
+            fmt = "csv" if "csv" in report.rstrip("/").rsplit("/", 1)[-1].lower() else "parquet"
+        t[REP] = tables.read_opp_report_csv(spark, report) if fmt == "csv" else tables.read_table(spark, report)
     return t
 
 
@@ -113,6 +115,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--opportunity")
     ap.add_argument("--account")
     ap.add_argument("--report")
+    ap.add_argument("--report-format", choices=["auto", "csv", "parquet"], default="auto")
     ap.add_argument("--out", required=True)
     ap.add_argument("--format", choices=["parquet", "csv"], default="parquet")
     ap.add_argument("--min-year", type=int, default=Params().min_year)
@@ -124,7 +127,7 @@ def main(argv: list[str] | None = None) -> None:
                **({"service_lines": tuple(s.strip() for s in a.service_lines.split(","))}
                   if a.service_lines else {}))
     spark = get_session()
-    inputs = load_inputs(spark, a.opportunity, a.account, a.report)
+    inputs = load_inputs(spark, a.opportunity, a.account, a.report, a.report_format)
     names = run_all(spark, inputs, a.out, p, a.format, a.only.split(",") if a.only else None)
     print(f"wrote {len(names)} results to {a.out}")
 
