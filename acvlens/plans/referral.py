@@ -143,19 +143,25 @@ def _won_referral_edges_since(opp: DataFrame, p: Params) -> DataFrame:
 def referral_yearly_unique(opp: DataFrame, p: Params) -> DataFrame:
     """Q10: per year distinct referred opportunities, their ACV counted once, and
     distinct referrers; metrics as rows, years as columns (all text)."""
-    e = _won_referral_edges_since(opp, p)
     if p.unique_opportunity_id:
-        # One opportunity row = one referred opportunity: no per-Id shuffle.
-        per_opp = (opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year)
-                              & has_referral())
-                      .select(year_of("CloseDate").alias("year"),
-                              F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv")))
+        # One scan: the first edge of each opportunity carries its figures, so
+        # no de-duplication by Id (and no shuffle on Id) is needed.
+        e = (edges(opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year)),
+                   REFERRER_COLUMNS, carry=("CloseDate", "ACV_for_Quotas__c"), first_flag="__first")
+             .select("Account_Id", "__first", year_of("CloseDate").alias("year"),
+                     F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv")))
+        y = e.groupBy("year").agg(
+            F.count_if("__first").alias("opportunity_count"),
+            F.sum(F.when(F.col("__first"), F.col("acv"))).alias("referral_acv"),
+            F.count_distinct("Account_Id").alias("distinct_referral_accounts"))
     else:
+        e = _won_referral_edges_since(opp, p)
         per_opp = e.groupBy("year", "Id").agg(F.max("acv").alias("acv"))
-    opps = per_opp.groupBy("year").agg(n().alias("opportunity_count"),
-                                       F.sum("acv").alias("referral_acv"))
-    accts = e.groupBy("year").agg(F.count_distinct("Account_Id").alias("distinct_referral_accounts"))
-    y = opps.join(accts, "year", "inner").select(
+        opps = per_opp.groupBy("year").agg(n().alias("opportunity_count"),
+                                           F.sum("acv").alias("referral_acv"))
+        accts = e.groupBy("year").agg(F.count_distinct("Account_Id").alias("distinct_referral_accounts"))
+        y = opps.join(accts, "year", "inner")
+    y = y.select(
         "year",
         dollar("referral_acv").alias("referral_acv"),
         F.col("opportunity_count").cast("string").alias("opportunity_count"),
