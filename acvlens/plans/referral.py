@@ -77,13 +77,25 @@ def opp_count_by_year(opp: DataFrame, p: Params) -> DataFrame:
 
 
 def win_pct_summary(opp: DataFrame, p: Params) -> DataFrame:
-    """Q06: Q04 ∪ Q05 as text (counts whole, rates "53.8%"), years as columns."""
-    both = win_pct_by_year(opp, p).unionByName(
-        opp_count_by_year(opp, p).withColumn("win_percentage", F.col("win_percentage").cast("double")))
-    text = F.when(F.col("category") == TOTAL_COUNT,
-                  F.bround("win_percentage", 0).cast("long").cast("string")) \
-            .otherwise(pct_text("win_percentage", 1))
-    both = both.select("year", "category", text.alias("win_percentage"))
+    """Q06: Q04 ∪ Q05 as text (counts whole, rates "53.8%"), years as columns.
+
+    Both row sets come from one scan: ``rollup(year, category)`` gives the
+    per-(year, category) counts and, as its year subtotals, the per-year
+    totals of Q05.
+    """
+    cat = F.when(has_referral(), F.lit(WIN_WITH_REFERRAL)).otherwise(F.lit(WIN_WITHOUT_REFERRAL))
+    c = (_closed_since(opp, p)
+         .select(year_of("CloseDate").alias("year"), cat.alias("category"), "StageName")
+         .rollup("year", "category")
+         .agg(F.count_if(F.col("StageName") == p.won).alias("__won"), n().alias("__n"),
+              F.grouping_id().alias("__gid"))
+         .filter(F.col("__gid") < 3))                      # drop the grand total
+    is_total = F.col("__gid") == 1
+    rate = F.col("__won").cast("double") / F.col("__n").cast("double") * F.lit(100.0)
+    both = c.select(
+        "year",
+        F.when(is_total, F.lit(TOTAL_COUNT)).otherwise(F.col("category")).alias("category"),
+        F.when(is_total, F.col("__n").cast("string")).otherwise(pct_text(rate, 1)).alias("win_percentage"))
     return pivot_wider(both, ["category"], "year", "win_percentage", years_for(p, both))
 
 
