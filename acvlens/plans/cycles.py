@@ -58,11 +58,23 @@ def report_dedup(report: DataFrame, p: Params, sorted_output: bool = False) -> D
 
 def report_dedup_by_party(report: DataFrame, p: Params) -> DataFrame:
     """Q25b (extension): first row per (Opp_ID, Acct_Id, Close_Date, Record_Type_Name),
-    so a CPA row survives for a party that is not the end client."""
-    g1 = report_client_rows(report, p).withColumn("__src", F.lit(0))
-    g2 = report_cpa_rows(report, p).withColumn("__src", F.lit(1))
+    so a CPA row survives for a party that is not the end client.
+
+    One scan: each won row yields its client row and, when a CPA contact is
+    present, its CPA row (bound second); the keep-first aggregate subsumes
+    the DISTINCT of each group.
+    """
+    party = F.explode(F.array(
+        F.struct(F.col("Acct_Id").alias("a"), F.lit(0).alias("src")),
+        F.when(present("CPA_Contact_Acct_ID"),
+               F.struct(F.col("CPA_Contact_Acct_ID").alias("a"), F.lit(1).alias("src")))))
+    rows = (report_won(report, p)
+            .select("Opp_ID", "Record_Type_Name", "Close_Date", "ACV_for_Quotas", party.alias("__p"))
+            .where(F.col("__p").isNotNull())
+            .select("Opp_ID", F.col("__p.a").alias("Acct_Id"), "Record_Type_Name", "Close_Date",
+                    "ACV_for_Quotas", F.col("__p.src").alias("__src")))
     keys = ("Opp_ID", "Acct_Id", "Close_Date", "Record_Type_Name")
-    return keep_first(g1.unionByName(g2), keys, ["__src", "ACV_for_Quotas"]).select(*ROW_COLS)
+    return keep_first(rows, keys, ["__src", "ACV_for_Quotas"]).select(*ROW_COLS)
 
 
 def service_line_counts(report: DataFrame, p: Params) -> DataFrame:
