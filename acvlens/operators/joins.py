@@ -9,7 +9,7 @@ from ..session import materialize
 
 
 def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str | None = None,
-           keep_left_key: bool = True, reduce_dim: bool = True) -> DataFrame:
+           keep_left_key: bool = True, reduce_dim: bool = True, write_left: bool = True) -> DataFrame:
     """Left N:1 join of an aggregated table to a dimension (account names).
 
     No broadcast hint: the dimension grows with the data.  A left join can
@@ -21,11 +21,13 @@ def lookup(df: DataFrame, dim: DataFrame, left_key: str, right_key: str | None =
     measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
     (the dimension is then filtered map-side, no shuffle) and sort-merges
     otherwise.  When the keys cover most of the dimension, ``reduce_dim=False``
-    is the cheaper plan (one sort-merge join).
+    is the cheaper plan (one sort-merge join).  ``write_left=False`` when
+    ``df`` already reads written data (cheap to read twice).
     """
     right_key = right_key or left_key
     if reduce_dim:
-        df = materialize(df)
+        if write_left:
+            df = materialize(df)
         keys = df.select(F.col(left_key).alias(right_key)).where(F.col(right_key).isNotNull()).distinct()
         dim = dim.join(keys, right_key, "left_semi")
     if left_key == right_key:

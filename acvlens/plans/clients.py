@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dollar, n, n_distinct, n_distinct_small, present, sum0
-from ..operators.edges import edges
+from ..operators.edges import edges, present_values
 from ..operators.joins import full_join_null_safe, left_join_null_safe, lookup
-from ..params import CLIENT_CPA_COLUMNS, Params
+from ..params import CLIENT_CPA_COLUMNS, REFERRER_COLUMNS, Params
 from ..session import materialize
 from .referral import account_names, referral_ranked
 
@@ -34,18 +34,57 @@ def client_cpa_summary(opp: DataFrame, account: DataFrame, p: Params) -> DataFra
     return lookup(s, account_names(account), "Account_Id", reduce_dim=False)
 
 
+def _won_totals_by_side(opp: DataFrame, p: Params) -> DataFrame:
+    """Won figures per referrer and per client/CPA account, from one scan.
+
+    Each won opportunity yields its referrer edges (side ``ref``) and its
+    client/CPA edges (side ``cc``), each de-duplicated within the row (the
+    opportunity Id is the key); one aggregate keyed by (side, account)
+    gives both summaries' sums, counts and record-type counts.
+    """
+    tag = lambda side: (lambda a: F.struct(F.lit(side).alias("side"), a.alias("Account_Id")))
+    e = F.explode(F.concat(F.transform(present_values(REFERRER_COLUMNS), tag("ref")),
+                           F.transform(present_values(CLIENT_CPA_COLUMNS), tag("cc"))))
+    rows = (opp.filter(F.col("StageName") == p.won)
+               .select(e.alias("__e"), "ACV_for_Quotas__c", "TCV_Gross__c", "Record_Type_Name__c")
+               .select("__e.side", "__e.Account_Id", "ACV_for_Quotas__c", "TCV_Gross__c",
+                       "Record_Type_Name__c"))
+    return rows.groupBy("side", "Account_Id").agg(
+        sum0("ACV_for_Quotas__c").alias("acv"), sum0("TCV_Gross__c").alias("tcv"), n().alias("cnt"),
+        n_distinct_small("Record_Type_Name__c").alias("rtn"))
+
+
+def _both_sides(opp: DataFrame, account: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(ranked referrers, client/CPA summary) as Q09 (unsorted) and Q16 give them."""
+    if not p.unique_opportunity_id:
+        return referral_ranked(opp, account, p, sort=False), client_cpa_summary(opp, account, p)
+    tot = materialize(_won_totals_by_side(opp, p))
+    ref = tot.where("side = 'ref'").select(
+        "Account_Id", F.col("acv").alias("R_total_acv"), F.col("tcv").alias("R_total_tcv"),
+        F.col("cnt").alias("referral_opp_count"), F.col("rtn").alias("referral_record_type_count"))
+    ranked = lookup(ref, account_names(account), "Account_Id", write_left=False).select(
+        "Name", dollar("R_total_acv").alias("R_total_acv"), dollar("R_total_tcv").alias("R_total_tcv"),
+        "referral_opp_count", "referral_record_type_count")
+    cc = tot.where("side = 'cc'").select(
+        "Account_Id", dollar("acv").alias("D_total_acv"), dollar("tcv").alias("D_total_tcv"),
+        F.col("rtn").alias("record_type_count"))
+    return ranked, lookup(cc, account_names(account), "Account_Id", reduce_dim=False)
+
+
 def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many)."""
-    # Each side is read by two branches (matched pairs, unmatched rows): write
-    # the per-account summaries once instead of recomputing them.
-    return full_join_null_safe(materialize(referral_ranked(opp, account, p, sort=False)),
-                               materialize(client_cpa_summary(opp, account, p)), "Name")
+    """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many).
+
+    Both sides come from one scan of the opportunities; each side is read by
+    two branches (matched pairs, unmatched rows), so each is written once.
+    """
+    ranked, cc = _both_sides(opp, account, p)
+    return full_join_null_safe(materialize(ranked), materialize(cc), "Name")
 
 
 def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    """Q17b: the left-join form of Q17."""
-    return left_join_null_safe(referral_ranked(opp, account, p, sort=False),
-                               client_cpa_summary(opp, account, p), "Name")
+    """Q17b: the left-join form of Q17 (both sides from one scan)."""
+    ranked, cc = _both_sides(opp, account, p)
+    return left_join_null_safe(ranked, cc, "Name")
 
 
 def _cpa_pairs(opp: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
