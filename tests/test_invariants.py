@@ -72,3 +72,21 @@ def test_won_scope_within_all_scope(rep):
     assert bad.count() == 0
     won = penetration.acct_sales(rep, P, "won")
     assert both.filter(F.col("won_num_opportunities").isNotNull()).count() == won.count()
+
+
+@pytest.mark.parametrize("fn", ["referral_edges", "referral_merged", "referral_yearly_unique",
+                                "client_cpa_summary", "sales_referral_full", "sales_referral_left",
+                                "cpa_client_summary"])
+def test_unique_id_fast_paths_equal_general_paths(spark, opp, fn):
+    from dataclasses import replace
+    from acvlens.plans import clients
+    mod = referral if hasattr(referral, fn) else clients
+    f = getattr(mod, fn)
+    acc = fx.account(spark, SF_SMALL)
+    args = (opp, acc) if "account" in f.__code__.co_varnames[:f.__code__.co_argcount] else (opp,)
+    fast = f(*args, P)
+    general = f(*args, replace(P, unique_opportunity_id=False))
+    assert sorted(fast.columns) == sorted(general.columns)
+    cols = sorted(fast.columns)
+    assert fast.select(cols).exceptAll(general.select(cols)).count() == 0
+    assert general.select(cols).exceptAll(fast.select(cols)).count() == 0
