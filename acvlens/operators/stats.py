@@ -48,7 +48,8 @@ def _join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], names: Sequence[str], accuracy: int = 10000,
-                    midpoint: bool = False, extra_aggs: Sequence[Column] = ()) -> DataFrame:
+                    midpoint: bool = False, extra_aggs: Sequence[Column] = (),
+                    exact: bool = True) -> DataFrame:
     """Exact quantiles per group (R type 7) without gathering a group in one task.
 
     For each probability p the target ranks are floor(h) and ceil(h) with
@@ -65,9 +66,16 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     ``midpoint=True`` gives ``(x[lo] + x[hi]) / 2`` (R's ``median``) instead of
     ``(1 - f)·x[lo] + f·x[hi]`` (R's ``quantile``).  ``extra_aggs`` (over the
     value column renamed ``__v``) are computed in the sketch pass and returned
-    alongside, saving a separate aggregation over the rows.
+    alongside, saving a separate aggregation over the rows.  ``exact=False``
+    is the opt-in approximate form: one pass, the sketch's answer at each p
+    (rank error at most n/accuracy).
     """
     g = list(group_cols)
+    if not exact:
+        a = df.select(*g, F.col(value_col).cast("double").alias("__v")).where("__v IS NOT NULL") \
+              .groupBy(*g).agg(F.percentile_approx("__v", list(probs), accuracy).alias("__a"), *extra_aggs)
+        extra = [c for c in a.columns if c not in (*g, "__a")]
+        return a.select(*g, *[F.col("__a")[i].alias(nm) for i, nm in enumerate(names)], *extra)
     gq = [f"`{c}`" for c in g]
     part = f"PARTITION BY {', '.join(gq)}" if g else ""
     probs = list(probs)

@@ -327,3 +327,12 @@ def test_global_boxplot_without_groups(spark):
     q1, q2, q3 = np.quantile(vals, [0.25, 0.5, 0.75])
     assert (b.q1, b.median, b.q3) == pytest.approx((q1, q2, q3), abs=1e-9)
     assert b.n == 200
+
+
+def test_group_quantiles_approx_opt_in_within_rank_error(spark):
+    rng = np.random.default_rng(13)
+    vals = rng.normal(0, 1, 5000)
+    df = spark.createDataFrame([("g", float(v)) for v in vals], "g string, v double")
+    r = stats.group_quantiles(df, ["g"], "v", [0.5], ["m"], accuracy=100, exact=False).first()
+    rank = (vals < r.m).sum()
+    assert abs(rank - 2500) <= 5000 / 100 + 1
