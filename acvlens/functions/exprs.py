@@ -40,10 +40,14 @@ def year_of(date_col: str | Column) -> Column:
 
 # --- aggregates -----------------------------------------------------------------
 
-def n_distinct(c: str | Column) -> Column:
-    """Distinct count where a missing value counts as one more value."""
+def n_distinct(c: str | Column, approx: bool = False) -> Column:
+    """Distinct count where a missing value counts as one more value.
+
+    ``approx=True`` is the opt-in HyperLogLog++ estimate (one bounded sketch
+    per group instead of an exact distinct aggregation).
+    """
     c = _c(c)
-    return (F.count_distinct(c)
+    return ((F.approx_count_distinct(c) if approx else F.count_distinct(c))
             + F.coalesce(F.max(F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0))), F.lit(0))
             ).cast("long")
 

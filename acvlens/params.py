@@ -55,6 +55,9 @@ class Params:
     # referral edges is then exact and the opportunity fields ride along
     # with the edges without a self-join.
     unique_opportunity_id: bool = True
+    # Opt-in: approximate (HyperLogLog++) counts for the distinct counts of
+    # accounts and opportunities; the default is exact.
+    approx_distinct: bool = False
 
 
 # Parameters for the driver-derived fixture tables (FIXTURES.md).

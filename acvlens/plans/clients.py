@@ -107,7 +107,7 @@ def cpa_client_summary(opp: DataFrame, p: Params) -> DataFrame:
         pairs = _cpa_pairs(opp).join(opp.select("Id", *carry), "Id", "left")
     return (pairs.filter(F.col("StageName") == p.won)
                  .groupBy("CPA_Contact_Account__c")
-                 .agg(n_distinct("AccountId").alias("distinct_accounts"),
+                 .agg(n_distinct("AccountId", p.approx_distinct).alias("distinct_accounts"),
                       n().alias("total_opportunities"),
                       n_distinct_small("Record_Type_Name__c").alias("distinct_record_types")))
 

@@ -80,7 +80,7 @@ def report_dedup_by_party(report: DataFrame, p: Params) -> DataFrame:
 def service_line_counts(report: DataFrame, p: Params) -> DataFrame:
     """Q26: per service line distinct accounts and rows of Q25."""
     return report_dedup(report, p).groupBy("Record_Type_Name").agg(
-        n_distinct("Acct_Id").alias("distinct_accts"), n().alias("num_opps"))
+        n_distinct("Acct_Id", p.approx_distinct).alias("distinct_accts"), n().alias("num_opps"))
 
 
 def _dated(report: DataFrame, p: Params) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct_small,
+from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct, n_distinct_small,
                                pct_text, safe_ratio, sum0, year_at_least, year_of)
 from ..operators.edges import edges
 from ..operators.joins import lookup
@@ -165,13 +165,14 @@ def referral_yearly_unique(opp: DataFrame, p: Params) -> DataFrame:
         y = e.groupBy("year").agg(
             F.count_if("__first").alias("opportunity_count"),
             F.sum(F.when(F.col("__first"), F.col("acv"))).alias("referral_acv"),
-            F.count_distinct("Account_Id").alias("distinct_referral_accounts"))
+            n_distinct("Account_Id", p.approx_distinct).alias("distinct_referral_accounts"))
     else:
         e = _won_referral_edges_since(opp, p)
         per_opp = e.groupBy("year", "Id").agg(F.max("acv").alias("acv"))
         opps = per_opp.groupBy("year").agg(n().alias("opportunity_count"),
                                            F.sum("acv").alias("referral_acv"))
-        accts = e.groupBy("year").agg(F.count_distinct("Account_Id").alias("distinct_referral_accounts"))
+        accts = e.groupBy("year").agg(n_distinct("Account_Id", p.approx_distinct)
+                                      .alias("distinct_referral_accounts"))
         y = opps.join(accts, "year", "inner")
     y = y.select(
         "year",

@@ -64,3 +64,9 @@ def test_pct_text_is_half_even_one_decimal(spark, xs):
         v = Decimal(repr(x)).quantize(Decimal("0.1"), rounding=ROUND_HALF_EVEN)
         assert Decimal(s[:-1]) == v
         assert not s[:-1].endswith(".0")
+
+
+def test_approx_distinct_opt_in_close(spark):
+    df = spark.range(20000).selectExpr("CAST(id % 5000 AS STRING) AS v")
+    exact, approx = df.agg(E.n_distinct("v"), E.n_distinct("v", approx=True)).first()
+    assert exact == 5000 and abs(approx - 5000) <= 5000 * 0.1
