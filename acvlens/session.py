@@ -81,7 +81,10 @@ def materialize(df):
     For an intermediate that several branches of a plan read (Catalyst
     prunes each branch differently, so their shuffles are not reused): the
     branches then read the written data instead of recomputing it, and a
-    lost executor costs a re-read, not a recomputation.
+    lost executor costs a re-read, not a recomputation.  Under Spark Connect
+    the server's ``spark.checkpoint.dir`` applies (no client-side context).
     """
-    checkpoint_dir(df.sparkSession)
+    from pyspark.sql.utils import is_remote
+    if not is_remote():
+        checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
