@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct, n_distinct_small,
@@ -216,11 +216,12 @@ def referral_share_by_year(opp: DataFrame, p: Params) -> DataFrame:
 def referral_share_dual_axis(opp: DataFrame, p: Params) -> DataFrame:
     """Q14: Q13 plus the share rescaled onto the sales axis (× max sales / 100).
 
-    The maximum is a window over the year-level rows: at most one row per
-    year reaches that single partition.
+    The maximum over the years is a one-row aggregate attached to every year
+    row by a broadcast join (a proven one-row bound), not a window without
+    a partition key.
     """
     y = referral_share_by_year(opp, p)
-    all_years = Window.partitionBy()
-    y = y.withColumn("max_total_sales", F.max("total_sales").over(all_years))
+    top = F.broadcast(y.agg(F.max("total_sales").alias("max_total_sales")).withColumn("__k", F.lit(0)))
+    y = y.withColumn("__k", F.lit(0)).join(top, "__k", "inner").drop("__k")
     return y.withColumn("referral_line",
                         F.col("referral_percentage") * F.col("max_total_sales").cast("double") / F.lit(100.0))
