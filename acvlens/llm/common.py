@@ -7,13 +7,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from ..session import checkpoint_dir
 
-ARROW_BATCH_WORDS = 1 << 20
-
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -55,6 +53,6 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 8 << 2
             yield batch.slice(start)
 
 
-def hash_unit(seed: int, *cols: Column) -> Column:
-    """A deterministic number in [0, 1) from the columns and ``seed``."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+def with_field(schema: StructType, name: str, fields: str) -> StructType:
+    """``schema`` and a struct column of the given fields (DDL)."""
+    return StructType([*schema.fields, StructField(name, StructType.fromDDL(fields))])

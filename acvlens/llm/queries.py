@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, secret_scan, sharding, simhash
+from . import decontam, mixing, quality_model, secret_scan, sharding, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Shares of the languages' tokens in the mixture.
+MIXTURE = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": lambda s, d: decontam.digest(
         decontam.find_contamination(read(s, d, "documents"), read(s, d, "benchmark"))),
     "op2_secret_scan": lambda s, d: secret_scan.digest(secret_scan.scan(read(s, d, "documents"))),
+    "op3_quality_classifier": lambda s, d: quality_model.classify(read(s, d, "documents"), read(s, d, "labels")),
     "op7_simhash": lambda s, d: simhash.digest(simhash.near_duplicates(read(s, d, "documents"))),
     "op9_sharding": lambda s, d: sharding.shard_documents(read(s, d, "documents")),
+    "op10_mixing": lambda s, d: mixing.mixing_rates(read(s, d, "documents"), read(s, d, "labels"), MIXTURE),
 }
 
 ORACLE_SQL: dict[str, str] = {}
