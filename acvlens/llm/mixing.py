@@ -8,10 +8,12 @@ the (scaled) squared error.  Steps are taken in the token-weighted inner
 product, where the gradient of a document is its posterior times the scaled
 error: documents of equal posterior get equal rates whatever their length.
 
-Scale.  A step needs one aggregate of D sums over (tokens, posterior); the
-rate is an expression over the posterior (the earlier steps' few coefficients
-are literals in it), so no rates are stored or joined between steps.  The classifier
-is fitted on a bounded sample (``sample_rows``); the totals cover all rows.
+Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate);
+the rates of a few steps are one expression, written out every ``CHUNK`` steps.
+A rate depends on the posterior and the steps' few coefficients alone, so it is
+applied to the documents in the pass that classifies them, without a join.
+The classifier is fitted on a bounded sample (``sample_rows``); the totals
+cover all rows.
 
 A rate of 2.3 means two copies, and a third one with probability 0.3 by a hash of
 the document's id and text: deterministic, and right in expectation.
@@ -32,14 +34,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import batches_bytes, key_text, slices, stash, with_field
 from .features import hashed, word_counts
 
 SAMPLE_ROWS = 4096
 BITS = 16
-STEPS = 60
-TOLERANCE = 1e-6
+STEPS = 48
+CHUNK = 8
+TOLERANCE = 1e-4   # of the total: largest error of a domain at which the fit ends
+STALL = 1e-6       # of the total: change of the domain totals at which it ends as well
 SEED = 10
 
 
@@ -100,30 +105,38 @@ def fit_domains(labelled: DataFrame, domains: list[str], sample_rows: int = SAMP
     return DomainModel(names, weights, b)
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """All columns of ``docs`` and a struct column ``mix`` (tokens, p array<double>)."""
+@dataclass
+class Rates:
+    """Fitted rates: the steps' coefficients, and what they reach."""
+
+    moves: list[np.ndarray]
+    least: float
+    start: float
+    targets: np.ndarray
+    totals: np.ndarray
+
+    def of(self, posteriors: np.ndarray) -> np.ndarray:
+        rate = np.full(len(posteriors), self.start)
+        for move in self.moves:
+            rate = np.maximum(self.least, rate - posteriors @ move)
+        return rate
+
+
+def with_posteriors(docs: DataFrame, model: DomainModel, rates: Rates | None = None) -> DataFrame:
+    """All columns of ``docs`` and a struct column ``mix`` (tokens, p array<double>, rate)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             counts = [word_counts(t) for t in batches_bytes(batch, "__text")]
             p = np.array([model.posterior(c) for c in counts])
             mix = pa.StructArray.from_arrays(
                 [pa.array([sum(c.values()) for c in counts], pa.int64()),
-                 pa.array(list(p), pa.list_(pa.float64()))], names=["tokens", "p"])
+                 pa.array(list(p), pa.list_(pa.float64())),
+                 pa.array(rates.of(p) if rates else np.ones(len(p)))], names=["tokens", "p", "rate"])
             kept = [c for c in batch.schema.names if c != "__text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), mix], names=[*kept, "mix"])
 
     named = docs.withColumn("__text", docs["text"].cast("string"))
-    return named.mapInArrow(run, with_field(docs.schema, "mix", "tokens bigint, p array<double>"))
-
-
-@dataclass
-class Rates:
-    """Fitted rates: a SQL expression over the array column ``mix.p``, and what the fit reached."""
-
-    expression: str
-    targets: np.ndarray
-    totals: np.ndarray
-    steps: int
+    return named.mapInArrow(run, with_field(docs.schema, "mix", "tokens bigint, p array<double>, rate double"))
 
 
 def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], least: float = 0.0,
@@ -138,8 +151,10 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
     sums = mixed.agg(*[F.sum(F.expr(f"mix.tokens * mix.p[{a}]")) for a in range(k)],
                      *[F.sum(F.expr(f"mix.tokens * mix.p[{a}] * mix.p[{b}]")) for a, b in pairs]).first()
     there = np.array([x or 0.0 for x in sums[:k]])
+    start = max(1.0, least)
+    rates = Rates([], float(least), start, there, there * start)
     if there.sum() == 0:
-        return Rates("1.0D", there, there, 0)
+        return rates
     h = np.zeros((k, k))
     for (a, b), x in zip(pairs, sums[k:]):
         h[a, b] = h[b, a] = x or 0.0
@@ -147,20 +162,25 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
     share = share / share.sum() if share.sum() else there / there.sum()
     if total is None:
         wanted = share > 0
-        total = max((there[wanted] * least / share[wanted]).max(), 0.0) if least else there.sum()
-    targets = share * total
+        total = (there[wanted] * least / share[wanted]).max() if least else there.sum()
+    rates.targets = share * total
     scale = 1 / np.maximum(np.diag(h), 1e-12)
     step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * h * np.sqrt(scale)).max()
-    rate, totals, taken = f"{max(1.0, least)!r}D", there * max(1.0, least), 0
-    for taken in range(1, steps + 1):
-        move = step * scale * (totals - targets)
-        slope = " + ".join(f"({c!r}D * mix.p[{d}])" for d, c in enumerate(move.tolist()))
-        rate = f"greatest({float(least)!r}D, {rate} - ({slope}))"
-        got = mixed.agg(*[F.sum(F.expr(f"mix.tokens * mix.p[{a}] * {rate}")) for a in range(k)]).first()
-        before, totals = totals, np.array(got)
-        if np.abs(totals - targets).max() <= TOLERANCE * total or np.abs(totals - before).max() <= 1e-9 * total:
+    state, rate = mixed.select("mix.tokens", "mix.p"), f"{start!r}D"
+    while len(rates.moves) < steps:
+        if np.abs(rates.totals - rates.targets).max() <= TOLERANCE * total:
             break
-    return Rates(rate, targets, totals, taken)
+        move = step * scale * (rates.totals - rates.targets)
+        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
+        rate = f"greatest({rates.least!r}D, {rate} - ({slope}))"
+        rates.moves.append(move)
+        if len(rates.moves) % CHUNK == 0:
+            state, rate = stash(state.select("tokens", "p", F.expr(rate).alias("rate"))), "rate"
+        got = state.agg(*[F.sum(F.expr(f"tokens * p[{a}] * {rate}")) for a in range(k)]).first()
+        before, rates.totals = rates.totals, np.array(got)
+        if np.abs(rates.totals - before).max() <= STALL * total:
+            break
+    return rates
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DataFrame:
@@ -179,13 +199,24 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     rates = fit_rates(mixed, model, weights, least)
     names = F.array(*[F.lit(d) for d in model.domains])
     top = F.array_max("mix.p")
-    return (mixed.withColumn("rate", F.expr(rates.expression))
+    return (_rated(mixed, rates)
             .select("doc_id", F.col("mix.tokens").alias("tokens"),
                     F.element_at(names, F.array_position("mix.p", top).cast("int")).alias("domain"),
                     F.round(top, 6).alias("p_domain"), F.round("rate", 6).alias("rate"),
                     F.expr(_copies("rate", "doc_id", "h")).alias("copies")))
 
 
+def _rated(mixed: DataFrame, rates: Rates) -> DataFrame:
+    """``mixed`` with the column ``rate``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = np.array(batch.column("mix").field("p").to_pylist()).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates.of(p))],
+                                             names=[*batch.schema.names, "rate"])
+
+    return mixed.mapInArrow(run, StructType([*mixed.schema.fields, StructField("rate", DoubleType())]))
+
+
 def _copies(rate: str, doc_id: str, text_hash: str) -> str:
     unit = f"(pmod(xxhash64({SEED}, {doc_id}, {text_hash}), {1 << 40}L) / {float(1 << 40)!r}D)"
     return f"CAST(floor({rate} + {unit}) AS int)"
@@ -194,9 +225,8 @@ def _copies(rate: str, doc_id: str, text_hash: str) -> str:
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0) -> DataFrame:
     """Every row of ``docs`` as often as its rate says, with all of its columns."""
     model = fit_domains(labelled_domains(docs, labels), list(weights))
-    mixed = with_posteriors(docs, model)
-    rates = fit_rates(stash(mixed.select("mix")), model, weights, least)
-    times = _copies(rates.expression, "CAST(doc_id AS bigint)", "xxhash64(CAST(text AS string))")
+    rates = fit_rates(stash(with_posteriors(docs, model).select("mix")), model, weights, least)
+    times = _copies("mix.rate", "CAST(doc_id AS bigint)", "xxhash64(CAST(text AS string))")
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return (mixed.withColumn("__times", F.expr(times)).where("__times > 0")
+    return (with_posteriors(docs, model, rates).withColumn("__times", F.expr(times)).where("__times > 0")
             .select(*kept, F.explode(F.expr("sequence(1, __times)")).alias("__copy")).select(*kept))
