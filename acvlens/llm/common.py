@@ -17,7 +17,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     Cuts the lineage for an intermediate that several passes read; the copy
@@ -25,7 +25,7 @@ def stash(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality_model, secret_scan, sharding, simhash
+from . import decontam, mixing, quality_model, rules, secret_scan, sharding, simhash, token_counts
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ QUERIES: dict[str, Query] = {
         decontam.find_contamination(read(s, d, "documents"), read(s, d, "benchmark"))),
     "op2_secret_scan": lambda s, d: secret_scan.digest(secret_scan.scan(read(s, d, "documents"))),
     "op3_quality_classifier": lambda s, d: quality_model.classify(read(s, d, "documents"), read(s, d, "labels")),
+    "op4_token_counts": lambda s, d: token_counts.document_token_counts(read(s, d, "documents")),
+    "op5_quality_rules": lambda s, d: rules.judge(read(s, d, "documents"), read(s, d, "labels")),
     "op7_simhash": lambda s, d: simhash.digest(simhash.near_duplicates(read(s, d, "documents"))),
     "op9_sharding": lambda s, d: sharding.shard_documents(read(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixing_rates(read(s, d, "documents"), read(s, d, "labels"), MIXTURE),
