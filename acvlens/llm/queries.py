@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality_model, rules, secret_scan, sharding, simhash, token_counts
+from . import (chunk_dedup, decontam, mixing, quality_model, rules, secret_scan, sharding, simhash, token_counts,
+               tool_calls)
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +22,9 @@ QUERIES: dict[str, Query] = {
     "op3_quality_classifier": lambda s, d: quality_model.classify(read(s, d, "documents"), read(s, d, "labels")),
     "op4_token_counts": lambda s, d: token_counts.document_token_counts(read(s, d, "documents")),
     "op5_quality_rules": lambda s, d: rules.judge(read(s, d, "documents"), read(s, d, "labels")),
+    "op6_tool_calls": lambda s, d: tool_calls.conversation_calls(read(s, d, "conversations")),
     "op7_simhash": lambda s, d: simhash.digest(simhash.near_duplicates(read(s, d, "documents"))),
+    "op8_chunk_dedup": lambda s, d: chunk_dedup.repeated_spans(read(s, d, "documents")),
     "op9_sharding": lambda s, d: sharding.shard_documents(read(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixing_rates(read(s, d, "documents"), read(s, d, "labels"), MIXTURE),
 }
