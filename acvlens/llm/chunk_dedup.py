@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, key_text, slices, stash
+from .common import batches_bytes, fresh, key_text, slices, stash
 
 LEAST, MOST, BITS = 24, 192, 4
 LEAST_WORDS = 16
@@ -134,13 +134,15 @@ def _spans(docs: DataFrame, least_words: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with each repeated passage left in its keeper alone (all columns, texts shortened)."""
-    cuts = (_spans(docs, least_words).where("removable").groupBy(F.col("row").alias("__row"))
-            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")))
+    row, cut = fresh("row", docs), fresh("cuts", docs)
+    cuts = (_spans(docs, least_words).where("removable").groupBy(F.col("row").alias(row))
+            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cut)))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("__cuts").to_pylist()):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(cut).to_pylist()):
                 if spans and text is not None:
                     ends = [0, *(s["end"] for s in spans)]
                     starts = [*(s["start"] for s in spans), len(text)]
@@ -149,6 +151,5 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 
-    names = docs.columns
-    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
-    return docs.join(cuts, row == cuts["__row"], "left").drop("__row").mapInArrow(run, docs.schema)
+    named = docs.withColumn(row, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return named.join(cuts, row, "left").mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, key_text, slices, stash
+from .common import batches_bytes, fresh, key_text, slices, stash
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TO_SPACE = bytes(c if re.match(WORD, bytes([c])) else 0x20 for c in bytes(range(256)).lower())
@@ -294,8 +294,10 @@ def _merge(found: list[DataFrame]) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no test window occurs, with all of their columns."""
     found = find_contamination(docs, benchmark, window)
-    bad = found.where(F.col("n_hit") > 0).select(F.col("text_hash").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(docs["text"].cast("string")) == bad["_bad"], "left_anti")
+    name = fresh("text_hash", docs)
+    bad = found.where(F.col("n_hit") > 0).select(F.col("text_hash").alias(name)).distinct()
+    named = docs.withColumn(name, F.xxhash64(docs["text"].cast("string")))
+    return named.join(bad, name, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(found: DataFrame) -> DataFrame:

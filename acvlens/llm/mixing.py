@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_bytes, key_text, slices, stash, with_field
+from .common import batches_bytes, fresh, key_text, slices, stash, with_field
 from .features import hashed, word_counts
 
 SAMPLE_ROWS = 4096
@@ -122,21 +122,22 @@ class Rates:
         return rate
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel, rates: Rates | None = None) -> DataFrame:
-    """All columns of ``docs`` and a struct column ``mix`` (tokens, p array<double>, rate)."""
+def with_posteriors(docs: DataFrame, model: DomainModel, rates: Rates | None = None, into: str = "mix") -> DataFrame:
+    """All columns of ``docs`` and a struct column ``into`` (tokens, p array<double>, rate)."""
+    body = fresh("body", docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            counts = [word_counts(t) for t in batches_bytes(batch, "__text")]
+        for batch in slices(batches, body):
+            counts = [word_counts(t) for t in batches_bytes(batch, body)]
             p = np.array([model.posterior(c) for c in counts])
             mix = pa.StructArray.from_arrays(
                 [pa.array([sum(c.values()) for c in counts], pa.int64()),
                  pa.array(list(p), pa.list_(pa.float64())),
                  pa.array(rates.of(p) if rates else np.ones(len(p)))], names=["tokens", "p", "rate"])
-            kept = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), mix], names=[*kept, "mix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], mix], names=[*batch.schema.names[:-1], into])
 
-    named = docs.withColumn("__text", docs["text"].cast("string"))
-    return named.mapInArrow(run, with_field(docs.schema, "mix", "tokens bigint, p array<double>, rate double"))
+    named = docs.withColumn(body, docs["text"].cast("string"))
+    return named.mapInArrow(run, with_field(docs.schema, into, "tokens bigint, p array<double>, rate double"))
 
 
 def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], least: float = 0.0,
@@ -186,9 +187,9 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DataFrame:
     """(text, domain) of the documents that the labelled table rates good and not toxic."""
     good = (labels.where((labels["quality"].cast("int") == 1) & (labels["toxic"].cast("int") == 0))
-            .select(labels["doc_id"].cast("long").alias("__id")).distinct())
-    return (docs.join(good, docs["doc_id"].cast("long") == good["__id"], "left_semi")
-            .select(docs["text"].alias("text"), docs[domain].alias("domain")))
+            .select(labels["doc_id"].cast("long").alias("id")).distinct())
+    named = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), docs[domain].alias("domain"))
+    return named.join(good, "id", "left_semi").select("text", "domain")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0) -> DataFrame:
@@ -225,8 +226,10 @@ def _copies(rate: str, doc_id: str, text_hash: str) -> str:
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0) -> DataFrame:
     """Every row of ``docs`` as often as its rate says, with all of its columns."""
     model = fit_domains(labelled_domains(docs, labels), list(weights))
-    rates = fit_rates(stash(with_posteriors(docs, model).select("mix")), model, weights, least)
-    times = _copies("mix.rate", "CAST(doc_id AS bigint)", "xxhash64(CAST(text AS string))")
-    kept = [F.col(f"`{c}`") for c in docs.columns]
-    return (with_posteriors(docs, model, rates).withColumn("__times", F.expr(times)).where("__times > 0")
-            .select(*kept, F.explode(F.expr("sequence(1, __times)")).alias("__copy")).select(*kept))
+    rates = fit_rates(stash(with_posteriors(key_text(docs), model).select("mix")), model, weights, least)
+    into, copy = fresh("mix", docs), fresh("copy", docs)
+    copies = _copies(f"{into}.rate", "CAST(doc_id AS bigint)", "xxhash64(CAST(text AS string))")
+    kept = [f"`{c}`" for c in docs.columns]
+    return (with_posteriors(docs, model, rates, into)
+            .selectExpr(*kept, f"explode(sequence(1, greatest({copies}, 1))) AS {copy}", f"{copies} AS {into}")
+            .where(f"{into} > 0").select(*kept))

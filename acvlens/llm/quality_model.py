@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, key_text, slices, with_field
+from .common import batches_bytes, fresh, key_text, slices, with_field
 from .features import text_features
 
 SAMPLE_ROWS = 16384
@@ -54,7 +54,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int,
-                steps: int = 150, rate: float = 0.2, ridge: float = 3e-5) -> OrdinalModel:
+                steps: int = 150, rate: float = 0.2, prior: float = 0.5) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model by Adam steps over all rows."""
     index = np.concatenate([i for i, _ in rows])
     used, column = np.unique(index, return_inverse=True)
@@ -80,7 +80,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n
         np.add.at(grad_t, grades, b * (1 - b) / within / n)
         g_t = grad_t[1:-1]
         gaps = np.exp(p[len(used) + 1:])
-        g = np.concatenate([np.bincount(column, weights=by_score[of] * value, minlength=len(used)) + ridge * w,
+        g = np.concatenate([np.bincount(column, weights=by_score[of] * value, minlength=len(used)) + prior / n * w,
                             [g_t.sum()], [g_t[k + 1:].sum() * gaps[k] for k in range(len(gaps))]])
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
@@ -122,29 +122,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
     return fit_ordinal(rows, found["grade"].to_numpy(np.int64), 3, bits)
 
 
-def rate(docs: DataFrame, model: OrdinalModel | None, keep_at: float = KEEP_AT) -> DataFrame:
-    """All columns of ``docs`` with expected_grade, p_good and selected in a struct column ``rating``."""
+def rate(docs: DataFrame, model: OrdinalModel | None, keep_at: float = KEEP_AT, into: str = "rating") -> DataFrame:
+    """All columns of ``docs`` and a struct column ``into`` of expected_grade, p_good and selected."""
+    body = fresh("body", docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, body):
             if model is None:
                 tails = np.ones((batch.num_rows, 2))
             else:
-                scores = [model.score(*text_features(t, model.bits)) for t in batches_bytes(batch, "__text")]
+                scores = [model.score(*text_features(t, model.bits)) for t in batches_bytes(batch, body)]
                 tails = model.tails(np.array(scores))
             rating = pa.StructArray.from_arrays(
                 [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_at)],
                 names=["expected_grade", "p_good", "selected"])
-            kept = [c for c in batch.schema.names if c != "__text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), rating], names=[*kept, "rating"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rating], names=[*batch.schema.names[:-1], into])
 
-    named = docs.withColumn("__text", docs["text"].cast("string"))
-    schema = with_field(docs.schema, "rating", "expected_grade double, p_good double, selected boolean")
-    return named.mapInArrow(run, schema)
+    named = docs.withColumn(body, docs["text"].cast("string"))
+    return named.mapInArrow(run, with_field(docs.schema, into, "expected_grade double, p_good double, selected boolean"))
 
 
 def select_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all of their columns."""
-    return rate(docs, fit(docs, labels), keep_at).where("rating.selected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    into = fresh("rating", docs)
+    return rate(docs, fit(docs, labels), keep_at, into).where(f"{into}.selected").drop(into)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, key_text, slices, stash
+from .common import batches_bytes, fresh, key_text, slices, stash
 from .components import connected_components
 
 SEED = 42
@@ -225,10 +225,10 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFra
     """
     marked = near_duplicates(docs, shingle, max_bits)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
-    keep = marked.groupBy("component").agg(best.alias("best")).select(F.col("best.row_hash").alias("__keep"))
-    named = docs.withColumn("__row", F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return (named.join(keep, named["__row"] == keep["__keep"], "left_semi")
-            .dropDuplicates(["__row", "doc_id"]).drop("__row"))
+    row = fresh("row", docs)
+    keep = marked.groupBy("component").agg(best.alias("best")).select(F.col("best.row_hash").alias(row))
+    named = docs.withColumn(row, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    return named.join(keep, row, "left_semi").dropDuplicates([row, "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(marked: DataFrame) -> DataFrame:
