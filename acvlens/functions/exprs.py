@@ -52,18 +52,6 @@ def n_distinct(c: str | Column, approx: bool = False) -> Column:
             ).cast("long")
 
 
-def n_distinct_small(c: str | Column) -> Column:
-    """``n_distinct`` for a low-cardinality category (service line, record type).
-
-    The per-group set holds at most the category vocabulary, so it avoids the
-    Expand + extra shuffle that a second exact distinct aggregate would add.
-    """
-    c = _c(c)
-    return (F.size(F.collect_set(c))
-            + F.coalesce(F.max(F.when(c.isNull(), F.lit(1)).otherwise(F.lit(0))), F.lit(0))
-            ).cast("long")
-
-
 def sum0(c: str | Column) -> Column:
     """Sum that is 0 (not NULL) when every input is missing; money stays exact."""
     return F.coalesce(F.sum(_c(c)), F.lit(0)).cast(MONEY_SUM)
@@ -138,14 +126,31 @@ def pct_text(c: str | Column, digits: int = 1) -> Column:
 
 # --- dates ----------------------------------------------------------------------
 
-# Patterns tried, in order, by the lenient month/day/year parser.
-MDY_PATTERNS = ("M/d/yyyy", "M-d-yyyy", "M.d.yyyy", "M/d/yy", "M-d-yy")
+# First letters of the month names, in order.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# Two-digit years from this one on are 19xx, smaller ones 20xx.
+PIVOT_YEAR = 69
 
 
 def mdy(c: str | Column) -> Column:
-    """Lenient month/day/year parse: unparseable text becomes NULL, never an error."""
-    c = _c(c)
-    return F.coalesce(*[F.try_to_date(c, p) for p in MDY_PATTERNS])
+    """Lenient month/day/year parse: unparseable text becomes NULL, never an error.
+
+    Month as a number or an English name (three letters or more), any run of
+    ``/ - . ,`` and blanks as separator, or digits alone (``01052020``,
+    ``010520``); years of four or two digits.
+    """
+    t = F.lower(F.trim(_c(c)))
+    name = F.regexp_extract(t, r"^([a-z]{3,9})", 1)
+    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(name, 1, 3)).cast("string")
+    full = F.lit("january february march april may june july august september october november december")
+    known = F.contains(F.concat(F.lit(" "), full, F.lit(" ")), F.concat(F.lit(" "), name)) & (number != "0")
+    named = F.when(known, F.concat(number, F.regexp_replace(t, r"^[a-z]{3,9}\.?", "/")))
+    compact = F.when(F.rlike(t, F.lit(r"^(\d{6}|\d{8})$")), F.regexp_replace(t, r"^(\d\d)(\d\d)", "$1/$2/"))
+    plain = F.regexp_replace(F.coalesce(F.when(F.rlike(t, F.lit("^[a-z]")), named), compact, t), r"[-/., ]+", "/")
+    parts = F.split(F.when(F.rlike(plain, F.lit(r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$")), plain), "/")
+    year = F.get(parts, F.lit(2))
+    century = F.when(F.length(year) == 4, F.lit("")).when(year >= F.lit(str(PIVOT_YEAR)), F.lit("19")).otherwise(F.lit("20"))
+    return F.try_to_date(F.concat_ws("-", F.concat(century, year), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), "yyyy-M-d")
 
 
 def mdy_strict(c: str | Column) -> Column:

@@ -4,10 +4,11 @@ The reference sorts each (account, service line) and takes ``lag`` of the
 date.  A direct window would shuffle every row by the group key and sort a
 hot group (one account with a large share of rows) in a single task.  Here
 rows are first pre-aggregated to one row per (group, date) — count and the
-first opportunity id — with partial aggregation before the shuffle.  A
-group then has at most one row per calendar day, and the ``lag`` runs on
-that: the previous purchase date of a day is the previous day row, and
-every further row on the same day is a gap of 0.  The summary statistics,
+first row — with partial aggregation before the shuffle.  A group then has
+at most one row per calendar day, and the ``lag`` runs on that: the previous
+purchase date of a day is the previous day row, and every further row on the
+same day is a gap of 0.  Exactly one row of a day is its first: the smallest by
+id (a missing id last), then by the other columns; of identical rows, one.  The summary statistics,
 including the exact median, are computed from (gap, weight) pairs.
 """
 
@@ -15,20 +16,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _daily(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_col: str) -> DataFrame:
-    """One row per (group, date) with the row count, the first id and the previous date."""
+def _daily(rows: DataFrame, group_cols: Sequence[str], date_col: str, *extra: Column) -> DataFrame:
+    """One row per (group, date) with the row count, ``extra`` and the previous date."""
     g = list(group_cols)
     daily = (rows.filter(F.col(date_col).isNotNull())
                  .groupBy(*g, date_col)
-                 .agg(F.count(F.lit(1)).alias("__c"), F.min(id_col).alias("__first")))
+                 .agg(F.count(F.lit(1)).alias("__c"), *extra))
     w = Window.partitionBy(*g).orderBy(F.col(date_col).asc())
     return daily.withColumn("__prev", F.lag(date_col).over(w))
 
 
+def _rank_of(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_col: str) -> Column:
+    """A row's order within its day: id with missing last, then the other columns."""
+    rest = [c for c in rows.columns if c not in (*group_cols, date_col, id_col)]
+    return F.struct(*[x for c in (id_col, *rest) for x in (F.col(f"`{c}`").isNull().alias(f"n_{c}"), F.col(f"`{c}`"))])
+
+
 def purchase_gaps(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_col: str,
                   max_gap_days: int) -> DataFrame:
     """Every row with its gap in days to the previous purchase of its group.
@@ -38,17 +45,20 @@ def purchase_gaps(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_
     """
     g = list(group_cols)
     keys = g + [date_col]
-    daily = _daily(rows, g, date_col, id_col).alias("__d")
-    r = rows.filter(F.col(date_col).isNotNull()).alias("__r")
+    rows = rows.filter(F.col(date_col).isNotNull())
+    rank = _rank_of(rows, g, date_col, id_col)
+    daily = _daily(rows, g, date_col, F.min(rank).alias("__first")).alias("__d")
+    r = rows.withColumn("__rank", rank).alias("__r")
     on = None
     for k in keys:
         c = F.col(f"__r.`{k}`").eqNullSafe(F.col(f"__d.`{k}`"))
         on = c if on is None else on & c
-    j = r.join(daily, on, "inner")
-    gap = F.when(F.col(f"__r.`{id_col}`") == F.col("__d.__first"),
-                 F.datediff(F.col(f"__r.`{date_col}`"), F.col("__d.__prev"))) \
-           .otherwise(F.lit(0)).cast("double")
-    out = j.select(*[F.col(f"__r.`{c}`").alias(c) for c in rows.columns], gap.alias("cycle_days"))
+    j = r.join(daily, on, "inner").select("__r.*", "__d.__first", "__d.__prev")
+    # Identical rows meet here, and nothing else: one of them can be the first.
+    same = Window.partitionBy(*keys, F.xxhash64("__rank")).orderBy("__rank")
+    first = F.col("__rank").eqNullSafe(F.col("__first")) & (F.row_number().over(same) == 1)
+    gap = F.when(first, F.datediff(F.col(date_col), F.col("__prev"))).otherwise(F.lit(0)).cast("double")
+    out = j.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__rank"], gap.alias("cycle_days"))
     return out.filter(F.col("cycle_days").isNotNull() & (F.col("cycle_days") <= max_gap_days))
 
 
@@ -61,7 +71,7 @@ def purchase_cycles(rows: DataFrame, group_cols: Sequence[str], date_col: str, i
     group and day, and the two windows and the final aggregate share it.
     """
     g = list(group_cols)
-    d = _daily(rows, g, date_col, id_col)
+    d = _daily(rows, g, date_col)
     gap = F.datediff(F.col(date_col), F.col("__prev"))
     keep = gap.isNotNull() & (gap <= max_gap_days)
     entries = F.array(

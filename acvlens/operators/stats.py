@@ -13,7 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import corr0
 
 
 def _null_safe_on(left: str, right: str, keys: Sequence[str]) -> Column | None:
@@ -61,7 +60,8 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     running counts over those candidates only.  Groups with at most
     ``10·accuracy`` rows take every value as a candidate (the sketch's bound is
     not tight there), which bounds each window partition by 10·accuracy
-    distinct values or by the bracket, whichever applies.
+    distinct values or by the bracket, whichever applies.  A rank outside its
+    bracket (a sketch off by more than its bound) is an error.
 
     ``midpoint=True`` gives ``(x[lo] + x[hi]) / 2`` (R's ``median``) instead of
     ``(1 - f)·x[lo] + f·x[hi]`` (R's ``quantile``).  ``extra_aggs`` (over the
@@ -115,10 +115,16 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         for i in k])
     picks = []
     for i in k:
-        picks += [f"min(CASE WHEN {inside[i]} AND __end{i} >= __klo{i} THEN __cv END) AS __xlo{i}",
+        picks += [f"sum(__below{i}) AS __under{i}", f"max(CASE WHEN {inside[i]} THEN __end{i} END) AS __reach{i}",
+                  f"first(__klo{i}) AS __klo{i}", f"first(__khi{i}) AS __khi{i}",
+                  f"min(CASE WHEN {inside[i]} AND __end{i} >= __klo{i} THEN __cv END) AS __xlo{i}",
                   f"min(CASE WHEN {inside[i]} AND __end{i} >= __khi{i} THEN __cv END) AS __xhi{i}",
                   f"first(__f{i}) AS __f{i}"]
     r = t.groupBy(*g).agg(*[F.expr(x) for x in picks], *[F.expr(f"first({c}) AS {c}") for c in extra])
+    # The ranks must lie inside the bracket: a wrong sketch stops the job rather than giving a wrong quantile.
+    held = " AND ".join(f"__under{i} < __klo{i} AND __khi{i} <= __reach{i}" for i in k)
+    r = r.withColumn("__xlo0", F.expr(f"CASE WHEN {held} THEN __xlo0 ELSE CAST(raise_error("
+                                      "'a quantile lies outside its sketched bracket') AS DOUBLE) END"))
     if midpoint:
         outs = [f"(__xlo{i} + __xhi{i}) / 2.0D AS `{nm}`" for i, nm in enumerate(names)]
     else:
@@ -127,12 +133,6 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     return r.selectExpr(*gq, *outs, *extra)
 
 
-def quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-              probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Exact type-7 quantiles per group (see ``group_quantiles``)."""
-    return group_quantiles(df, group_cols, value_col, probs, names)
-
-
 def median_exact(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  alias: str = "median") -> DataFrame:
     """Exact median per group, ``(x[lo] + x[hi]) / 2`` in double like R's ``median``."""
@@ -274,9 +274,6 @@ def lm_fit(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> Dat
               .withColumn("y_at_x_max", F.col("intercept") + F.col("slope") * F.col("x_max"))
 
 
-def correlation(df: DataFrame, x: str, y: str) -> Column:
-    return corr0(x, y)
-
 
 def lm_fit_line(fit: DataFrame, group_cols: Sequence[str] = (), n_points: int = 80) -> DataFrame:
     """The fitted line as drawn by ``geom_smooth(method = "lm")``: ``n_points``

@@ -47,7 +47,8 @@ class Params:
     won: str = WON
     lost: str = LOST
     min_year: int = DEFAULT_MIN_YEAR
-    # Explicit pivot columns; None → one column per year in [min_year, max year in data].
+    # Explicit pivot columns, which also filter: rows of other years are left out.
+    # None → one column per year in the data.
     years: tuple[int, ...] | None = None
     service_lines: tuple[str, ...] = field(default=DEFAULT_SERVICE_LINES)
     max_gap_days: int = DEFAULT_MAX_GAP_DAYS

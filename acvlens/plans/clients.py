@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import dollar, n, n_distinct, n_distinct_small, present, sum0
+from ..functions.exprs import dollar, n, n_distinct, present, sum0
+from ..operators.categories import by_category
 from ..operators.edges import edges, present_values
 from ..operators.joins import full_join_null_safe, left_join_null_safe, lookup
 from ..params import CLIENT_CPA_COLUMNS, REFERRER_COLUMNS, Params
 from ..session import materialize
-from .referral import account_names, referral_ranked
+from .referral import account_names
 
 
 def client_cpa_edges(opp: DataFrame, p: Params) -> DataFrame:
@@ -24,11 +25,10 @@ def client_cpa_summary(opp: DataFrame, account: DataFrame, p: Params) -> DataFra
     e = edges(opp, CLIENT_CPA_COLUMNS,
               carry=("ACV_for_Quotas__c", "TCV_Gross__c", "Record_Type_Name__c", "StageName"),
               unique_id=p.unique_opportunity_id)
-    s = (e.filter(F.col("StageName") == p.won)
-          .groupBy("Account_Id")
-          .agg(dollar(sum0("ACV_for_Quotas__c")).alias("D_total_acv"),
-               dollar(sum0("TCV_Gross__c")).alias("D_total_tcv"),
-               n_distinct_small("Record_Type_Name__c").alias("record_type_count")))
+    s = by_category(e.filter(F.col("StageName") == p.won), ["Account_Id"], "Record_Type_Name__c", "record_type_count",
+                    {"acv": sum0("ACV_for_Quotas__c"), "tcv": sum0("TCV_Gross__c")})
+    s = s.select("Account_Id", dollar("acv").alias("D_total_acv"), dollar("tcv").alias("D_total_tcv"),
+                 "record_type_count")
     # Clients and CPAs cover most of the account table: a plain left join
     # (no key-set reduction of the dimension, which pays off only for few keys).
     return lookup(s, account_names(account), "Account_Id", reduce_dim=False)
@@ -49,16 +49,26 @@ def _won_totals_by_side(opp: DataFrame, p: Params) -> DataFrame:
                .select(e.alias("__e"), "ACV_for_Quotas__c", "TCV_Gross__c", "Record_Type_Name__c")
                .select("__e.side", "__e.Account_Id", "ACV_for_Quotas__c", "TCV_Gross__c",
                        "Record_Type_Name__c"))
-    return rows.groupBy("side", "Account_Id").agg(
-        sum0("ACV_for_Quotas__c").alias("acv"), sum0("TCV_Gross__c").alias("tcv"), n().alias("cnt"),
-        n_distinct_small("Record_Type_Name__c").alias("rtn"))
+    return by_category(rows, ["side", "Account_Id"], "Record_Type_Name__c", "rtn",
+                       {"acv": sum0("ACV_for_Quotas__c"), "tcv": sum0("TCV_Gross__c"), "cnt": n()})
 
 
-def _both_sides(opp: DataFrame, account: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+def won_totals_by_side(opp: DataFrame, p: Params) -> DataFrame:
+    """Won figures per (side, account): ``ref`` as a referrer, ``cc`` as a client or CPA."""
+    if p.unique_opportunity_id:
+        return _won_totals_by_side(opp, p)
+    carry = ("ACV_for_Quotas__c", "TCV_Gross__c", "Record_Type_Name__c", "StageName")
+    parts = [edges(opp, cols, carry=carry, unique_id=False).withColumn("side", F.lit(side))
+             for side, cols in (("ref", REFERRER_COLUMNS), ("cc", CLIENT_CPA_COLUMNS))]
+    rows = parts[0].unionByName(parts[1]).filter(F.col("StageName") == p.won)
+    return by_category(rows, ["side", "Account_Id"], "Record_Type_Name__c", "rtn",
+                       {"acv": sum0("ACV_for_Quotas__c"), "tcv": sum0("TCV_Gross__c"), "cnt": n()})
+
+
+def _both_sides(opp: DataFrame, account: DataFrame, p: Params,
+                totals: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(ranked referrers, client/CPA summary) as Q09 (unsorted) and Q16 give them."""
-    if not p.unique_opportunity_id:
-        return referral_ranked(opp, account, p, sort=False), client_cpa_summary(opp, account, p)
-    tot = materialize(_won_totals_by_side(opp, p))
+    tot = materialize(won_totals_by_side(opp, p)) if totals is None else totals
     ref = tot.where("side = 'ref'").select(
         "Account_Id", F.col("acv").alias("R_total_acv"), F.col("tcv").alias("R_total_tcv"),
         F.col("cnt").alias("referral_opp_count"), F.col("rtn").alias("referral_record_type_count"))
@@ -71,19 +81,19 @@ def _both_sides(opp: DataFrame, account: DataFrame, p: Params) -> tuple[DataFram
     return ranked, lookup(cc, account_names(account), "Account_Id", reduce_dim=False)
 
 
-def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
+def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params, totals: DataFrame | None = None) -> DataFrame:
     """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many).
 
-    Both sides come from one scan of the opportunities; each side is read by
-    two branches (matched pairs, unmatched rows), so each is written once.
+    Both sides come from one scan of the opportunities, written once per
+    account (``totals`` if already written); the branches of the join read that.
     """
-    ranked, cc = _both_sides(opp, account, p)
-    return full_join_null_safe(materialize(ranked), materialize(cc), "Name")
+    ranked, cc = _both_sides(opp, account, p, totals)
+    return full_join_null_safe(ranked, cc, "Name")
 
 
-def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
+def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params, totals: DataFrame | None = None) -> DataFrame:
     """Q17b: the left-join form of Q17 (both sides from one scan)."""
-    ranked, cc = _both_sides(opp, account, p)
+    ranked, cc = _both_sides(opp, account, p, totals)
     return left_join_null_safe(ranked, cc, "Name")
 
 
@@ -109,17 +119,19 @@ def cpa_client_summary(opp: DataFrame, p: Params) -> DataFrame:
                  .groupBy("CPA_Contact_Account__c")
                  .agg(n_distinct("AccountId", p.approx_distinct).alias("distinct_accounts"),
                       n().alias("total_opportunities"),
-                      n_distinct_small("Record_Type_Name__c").alias("distinct_record_types")))
+                      n_distinct("Record_Type_Name__c").alias("distinct_record_types")))
 
 
-def cpa_client_avg(opp: DataFrame, p: Params) -> DataFrame:
-    """Q20: means over Q19."""
-    return cpa_client_summary(opp, p).agg(
+def cpa_client_avg(opp: DataFrame, p: Params, summary: DataFrame | None = None) -> DataFrame:
+    """Q20: means over Q19 (``summary`` if already written)."""
+    return (cpa_client_summary(opp, p) if summary is None else summary).agg(
         F.avg("distinct_accounts").alias("avg_distinct_accounts"),
         F.avg("distinct_record_types").alias("avg_distinct_record_types"))
 
 
-def cpa_client_summary_named(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    """Q21: Q19 with the CPA's account name."""
+def cpa_client_summary_named(opp: DataFrame, account: DataFrame, p: Params,
+                             summary: DataFrame | None = None) -> DataFrame:
+    """Q21: Q19 (``summary`` if already written) with the CPA's account name."""
     names = account.select(F.col("Id").alias("Account_Id"), "Name")
-    return lookup(cpa_client_summary(opp, p), names, "CPA_Contact_Account__c", "Account_Id")
+    s = cpa_client_summary(opp, p) if summary is None else summary
+    return lookup(s, names, "CPA_Contact_Account__c", "Account_Id", write_left=summary is None)

@@ -37,23 +37,18 @@ def report_cpa_rows(report: DataFrame, p: Params) -> DataFrame:
             .distinct())
 
 
-def report_dedup(report: DataFrame, p: Params, sorted_output: bool = False) -> DataFrame:
+def report_dedup(report: DataFrame, p: Params) -> DataFrame:
     """Q25: client rows ∪ CPA rows, first row per (Opp_ID, Close_Date, Record_Type_Name).
 
     Client rows are bound first, and every CPA row's key comes from a won row
     that is also a client row, so a CPA row never survives: the result is the
     first client row per key — the smallest ``Acct_Id``, then the smallest
     ACV with missing last (the group order of the client-row summary).  The
-    CPA branch is therefore not computed.  ``sorted_output`` orders the rows by
-    account, then the close date parsed as month/day/year (for a sink or a
-    display; the downstream analyses do not need it).
+    CPA branch is therefore not computed.  ``report_dedup_sorted`` gives the
+    rows in display order; the downstream analyses do not need it.
     """
     rows = report_won(report, p).select(*ROW_COLS)
-    out = keep_first(rows, DEDUP_KEYS, ["Acct_Id", "ACV_for_Quotas"]).select(*ROW_COLS)
-    if sorted_output:
-        out = out.orderBy(F.col("Acct_Id").asc_nulls_last(), mdy_strict("Close_Date").asc_nulls_last(),
-                          F.col("Opp_ID"))
-    return out
+    return keep_first(rows, DEDUP_KEYS, ["Acct_Id", "ACV_for_Quotas"]).select(*ROW_COLS)
 
 
 def report_dedup_by_party(report: DataFrame, p: Params) -> DataFrame:
@@ -77,44 +72,56 @@ def report_dedup_by_party(report: DataFrame, p: Params) -> DataFrame:
     return keep_first(rows, keys, ["__src", "ACV_for_Quotas"]).select(*ROW_COLS)
 
 
-def service_line_counts(report: DataFrame, p: Params) -> DataFrame:
-    """Q26: per service line distinct accounts and rows of Q25."""
-    return report_dedup(report, p).groupBy("Record_Type_Name").agg(
+def service_line_counts(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
+    """Q26: per service line distinct accounts and rows of Q25 (``dedup`` if it is already written)."""
+    rows = report_dedup(report, p) if dedup is None else dedup
+    return rows.groupBy("Record_Type_Name").agg(
         n_distinct("Acct_Id", p.approx_distinct).alias("distinct_accts"), n().alias("num_opps"))
 
 
-def _dated(report: DataFrame, p: Params) -> DataFrame:
-    d = report_dedup(report, p)
-    return d.select("Opp_ID", "Acct_Id", "Record_Type_Name", mdy("Close_Date").alias("Close_Date"),
-                    "ACV_for_Quotas")
+def _dated(rows: DataFrame) -> DataFrame:
+    return rows.select("Opp_ID", "Acct_Id", "Record_Type_Name", mdy("Close_Date").alias("Close_Date"),
+                       "ACV_for_Quotas")
 
 
-def purchase_gaps(report: DataFrame, p: Params) -> DataFrame:
+def report_dedup_sorted(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
+    """Q25 in its display order: by account, then by the strictly parsed close date (``close_date``)."""
+    rows = report_dedup(report, p) if dedup is None else dedup
+    return (rows.withColumn("close_date", mdy_strict("Close_Date"))
+            .orderBy(F.col("Acct_Id").asc_nulls_last(), F.col("close_date").asc_nulls_last(), "Opp_ID"))
+
+
+def purchase_gaps(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
     """Q27: gap in days to the previous purchase per (account, service line), ≤ max.
 
     The de-duplicated rows feed both the per-day pre-aggregate and the
     join back, so they are written once rather than derived twice.
     """
-    return _gaps(materialize(_dated(report, p)), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    rows = materialize(report_dedup(report, p)) if dedup is None else dedup
+    return _gaps(_dated(rows), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
 
 
-def purchase_cycles(report: DataFrame, p: Params) -> DataFrame:
+def purchase_cycles(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
     """Q28: mean / median gap, purchases and last purchase per (account, service line)."""
-    return _cycles(_dated(report, p), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    rows = report_dedup(report, p) if dedup is None else dedup
+    return _cycles(_dated(rows), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+
+
+def _written_cycles(report: DataFrame, p: Params, cycles: DataFrame | None) -> DataFrame:
+    return materialize(purchase_cycles(report, p)) if cycles is None else cycles
 
 
-def cycle_boxplot(report: DataFrame, p: Params) -> DataFrame:
-    """Q29: box-plot statistics of ``avg_cycle`` by service line."""
-    return boxplot_stats(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle")
+def cycle_boxplot(report: DataFrame, p: Params, cycles: DataFrame | None = None) -> DataFrame:
+    """Q29: box-plot statistics of ``avg_cycle`` by service line (``cycles``: Q28 if already written)."""
+    return boxplot_stats(_written_cycles(report, p, cycles), ["Record_Type_Name"], "avg_cycle")
 
 
-def cycle_boxplot_outliers(report: DataFrame, p: Params) -> DataFrame:
+def cycle_boxplot_outliers(report: DataFrame, p: Params, cycles: DataFrame | None = None) -> DataFrame:
     """Q29 (points): the (account, service line) rows drawn as box-plot outliers."""
-    return boxplot_outliers(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle",
+    return boxplot_outliers(_written_cycles(report, p, cycles), ["Record_Type_Name"], "avg_cycle",
                             keep_cols=["Acct_Id"])
 
 
-def cycle_density(report: DataFrame, p: Params, binned: bool = True) -> DataFrame:
+def cycle_density(report: DataFrame, p: Params, binned: bool = True, cycles: DataFrame | None = None) -> DataFrame:
     """Q30: kernel density of ``avg_cycle`` per service line (512-point grid)."""
-    return density(materialize(purchase_cycles(report, p)), ["Record_Type_Name"], "avg_cycle",
-                   binned=binned)
+    return density(_written_cycles(report, p, cycles), ["Record_Type_Name"], "avg_cycle", binned=binned)

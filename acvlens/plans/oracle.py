@@ -10,6 +10,8 @@ of repeating them.  Same parameters as ``registry.FIXTURE_PARAMS``.
 from __future__ import annotations
 
 from ..params import FIXTURE_PARAMS as P
+from ..params import (HAS_REFERRAL, NO_REFERRAL, REFERRER_COLUMNS, TOTAL_COUNT as TOTAL_LABEL,
+                      WIN_WITH_REFERRAL, WIN_WITHOUT_REFERRAL)
 from ..sources.fixtures import ACCOUNT_SQL, OPP_REPORT_SQL, OPPORTUNITY_SQL
 
 WON = P.won
@@ -24,8 +26,7 @@ def present(c: str) -> str:
     return f"({c} IS NOT NULL AND {c} <> '')"
 
 
-HAS_REF = "(" + " OR ".join(present(c) for c in
-                            ("Referring_CPA__c", "Referral_2_Account__c", "Referral_1_Account__c")) + ")"
+HAS_REF = "(" + " OR ".join(present(c) for c in REFERRER_COLUMNS) + ")"
 
 
 def nd(c: str) -> str:
@@ -84,7 +85,7 @@ NAMES = "names AS (SELECT Id AS Account_Id, Name, Client_Type__c FROM account)"
 
 WIN_PCT = f"""wp AS (
   SELECT year(CloseDate) AS year,
-         CASE WHEN {HAS_REF} THEN 'Win % with Referral' ELSE 'Win % without Referral' END AS category,
+         CASE WHEN {HAS_REF} THEN '{WIN_WITH_REFERRAL}' ELSE '{WIN_WITHOUT_REFERRAL}' END AS category,
          CAST(SUM(CASE WHEN StageName = '{WON}' THEN 1 ELSE 0 END) AS DOUBLE)
            / CAST(COUNT(*) AS DOUBLE) * 100.0 AS win_percentage
   FROM opportunity
@@ -93,7 +94,7 @@ WIN_PCT = f"""wp AS (
 )"""
 
 TOTAL_COUNT = f"""tc AS (
-  SELECT year(CloseDate) AS year, 'Total Count of Opps' AS category, COUNT(*) AS win_percentage
+  SELECT year(CloseDate) AS year, '{TOTAL_LABEL}' AS category, COUNT(*) AS win_percentage
   FROM opportunity
   WHERE year(CloseDate) >= {MIN_YEAR} AND StageName IN ('{WON}', '{LOST}')
   GROUP BY 1
@@ -102,7 +103,7 @@ TOTAL_COUNT = f"""tc AS (
 WIN_SUMMARY = f"""ws AS (
   SELECT category, {pivot_years('v')} FROM (
     SELECT year, category,
-      CASE WHEN category = 'Total Count of Opps'
+      CASE WHEN category = '{TOTAL_LABEL}'
            THEN CAST(CAST(round_even(win_percentage, 0) AS BIGINT) AS VARCHAR)
            ELSE regexp_replace(CAST(round_even(win_percentage, 1) AS VARCHAR), '\\.0$', '') || '%'
       END AS v
@@ -257,7 +258,7 @@ ORACLE_SQL: dict[str, str] = {
     "q03_opp_referral_flag": with_(OPP) + f"""SELECT Id, ACV_for_Quotas__c, Record_Type_Name__c, StageName,
   shov_revenue_type__c, CloseDate, TCV_Gross__c, CPA_Contact_Account__c, Referring_CPA__c,
   Referral_1_Account__c, Referral_2_Account__c,
-  CASE WHEN {HAS_REF} THEN 'Has Referral' ELSE 'No Referral' END AS category
+  CASE WHEN {HAS_REF} THEN '{HAS_REFERRAL}' ELSE '{NO_REFERRAL}' END AS category
 FROM opportunity""",
     "q04_win_pct_by_year": with_(OPP, WIN_PCT) + "SELECT year, category, win_percentage FROM wp",
     "q05_opp_count_by_year": with_(OPP, TOTAL_COUNT) + "SELECT year, category, win_percentage FROM tc",
@@ -468,3 +469,14 @@ ORACLE_SQL["q39_acv_by_service_lines_fmt"] = _Q38_BASE + f"""SELECT
   {currency('m.median_acv')} AS "Median ACV (USD)",
   s.num_accounts AS "# of Accounts"
 FROM s JOIN m ON m.distinct_service_lines = s.distinct_service_lines"""
+
+# The same rows by another path: without explicit pivot years, through a CSV file, over all stages.
+ORACLE_SQL |= {
+    "q06d_win_pct_summary_any_year": ORACLE_SQL["q06_win_pct_summary"],
+    "q10d_referral_yearly_unique_any_year": ORACLE_SQL["q10_referral_yearly_unique"],
+    "q11d_referral_yearly_credit_any_year": ORACLE_SQL["q11_referral_yearly_credit"],
+    "q22c_report_won_csv": ORACLE_SQL["q22_report_won"],
+    "q25c_report_dedup_sorted": with_(REP, REPORT_WON, G1, G2, DEDUP) + """SELECT *,
+  CAST(try_strptime(Close_Date, '%m/%d/%Y') AS DATE) AS close_date FROM dedup""",
+    "q36b_sales_scatter_all": with_(REP, SALES_ALL) + long_xy("sa", "all"),
+}

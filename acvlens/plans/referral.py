@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct, n_distinct_small,
-                               pct_text, safe_ratio, sum0, year_at_least, year_of)
+from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct, pct_text,
+                               safe_ratio, sum0, year_at_least, year_of)
+from ..operators.categories import by_category
 from ..operators.edges import edges
 from ..operators.joins import lookup
 from ..operators.reshape import pivot_wider, transpose_metrics
 from ..params import (HAS_REFERRAL, METRIC_LABEL, MISSING_TEXT, NO_REFERRAL, REFERRER_COLUMNS,
                       TOTAL_COUNT, WIN_WITH_REFERRAL, WIN_WITHOUT_REFERRAL, Params)
+from ..session import materialize
 from ..sources.schemas import ALL_OPP_FIELDS, OPP_FIELDS
 
 
@@ -23,13 +25,17 @@ def account_names(account: DataFrame) -> DataFrame:
     return account.select(F.col("Id").alias("Account_Id"), "Name", "Client_Type__c")
 
 
-def years_for(p: Params, df: DataFrame | None = None, year_col: str = "year") -> list[int]:
-    """Pivot columns: the explicit list, else every year from ``min_year`` to the
-    last year present (one tiny aggregate, not a distinct job over the rows)."""
+def pivot_years(p: Params, df: DataFrame, year_col: str = "year") -> tuple[DataFrame, list[int]]:
+    """``df`` (year-level rows) and the years to make columns of.
+
+    Explicit ``Params.years`` are taken as they are (rows of other years are
+    left out).  Otherwise they are the years in the data: the year-level rows
+    are written once, and both the list and the pivot read them there.
+    """
     if p.years is not None:
-        return list(p.years)
-    last = df.agg(F.max(year_col)).first()[0] if df is not None else None
-    return list(range(p.min_year, (last or p.min_year) + 1))
+        return df, list(p.years)
+    df = materialize(df)
+    return df, sorted(r[0] for r in df.select(year_col).distinct().collect() if r[0] is not None)
 
 
 # --- Q01–Q03 --------------------------------------------------------------------
@@ -79,29 +85,32 @@ def opp_count_by_year(opp: DataFrame, p: Params) -> DataFrame:
 def win_pct_summary(opp: DataFrame, p: Params) -> DataFrame:
     """Q06: Q04 ∪ Q05 as text (counts whole, rates "53.8%"), years as columns.
 
-    Both row sets come from one scan: ``rollup(year, category)`` gives the
-    per-(year, category) counts and, as its year subtotals, the per-year
-    totals of Q05.
+    One scan and one aggregate by year give all counts; the categories are
+    rows made of the few year rows.
     """
-    cat = F.when(has_referral(), F.lit(WIN_WITH_REFERRAL)).otherwise(F.lit(WIN_WITHOUT_REFERRAL))
-    c = (_closed_since(opp, p)
-         .select(year_of("CloseDate").alias("year"), cat.alias("category"), "StageName")
-         .rollup("year", "category")
-         .agg(F.count_if(F.col("StageName") == p.won).alias("__won"), n().alias("__n"),
-              F.grouping_id().alias("__gid"))
-         .filter(F.col("__gid") < 3))                      # drop the grand total
-    is_total = F.col("__gid") == 1
-    rate = F.col("__won").cast("double") / F.col("__n").cast("double") * F.lit(100.0)
-    both = c.select(
-        "year",
-        F.when(is_total, F.lit(TOTAL_COUNT)).otherwise(F.col("category")).alias("category"),
-        F.when(is_total, F.col("__n").cast("string")).otherwise(pct_text(rate, 1)).alias("win_percentage"))
-    return pivot_wider(both, ["category"], "year", "win_percentage", years_for(p, both))
-
-
-def win_pct_display(opp: DataFrame, p: Params) -> DataFrame:
-    """Q40: Q06 as displayed: missing cells "-", first column labelled "Metric"."""
-    w = win_pct_summary(opp, p)
+    won, ref = F.col("StageName") == p.won, has_referral()
+    y = (_closed_since(opp, p)
+         .groupBy(year_of("CloseDate").alias("year"))
+         .agg(n().alias("__n"), F.count_if(ref).alias("__n1"), F.count_if(ref & won).alias("__w1"),
+              F.count_if(won).alias("__w")))
+    y, years = pivot_years(p, y)
+
+    def rate(won_rows: str, rows: str) -> Column:
+        """Missing where the year has no such row."""
+        share = F.try_divide(F.expr(won_rows).cast("double"), F.expr(rows).cast("double"))
+        return pct_text(share * F.lit(100.0), 1)
+
+    rows = F.array(F.struct(F.lit(WIN_WITH_REFERRAL).alias("category"), rate("__w1", "__n1").alias("win_percentage")),
+                   F.struct(F.lit(WIN_WITHOUT_REFERRAL).alias("category"),
+                            rate("__w - __w1", "__n - __n1").alias("win_percentage")),
+                   F.struct(F.lit(TOTAL_COUNT).alias("category"), F.col("__n").cast("string").alias("win_percentage")))
+    both = y.select("year", F.explode(rows).alias("__r")).select("year", "__r.*").where("win_percentage IS NOT NULL")
+    return pivot_wider(both, ["category"], "year", "win_percentage", years)
+
+
+def win_pct_display(opp: DataFrame, p: Params, summary: DataFrame | None = None) -> DataFrame:
+    """Q40: Q06 as displayed: missing cells "-", first column labelled "Metric" (``summary``: Q06 if written)."""
+    w = win_pct_summary(opp, p) if summary is None else summary
     return w.select(F.col("category").alias(METRIC_LABEL),
                     *[F.coalesce(F.col(f"`{c}`"), F.lit(MISSING_TEXT)).alias(c)
                       for c in w.columns if c != "category"])
@@ -111,29 +120,28 @@ def win_pct_display(opp: DataFrame, p: Params) -> DataFrame:
 
 def referral_summary(opp: DataFrame, p: Params) -> DataFrame:
     """Q07: won referral edges per referrer: ACV, TCV, rows, distinct record types."""
-    return (referral_merged(opp, p)
-            .filter(F.col("StageName") == p.won)
-            .groupBy("Account_Id")
-            .agg(sum0("ACV_for_Quotas__c").alias("R_total_acv"),
-                 sum0("TCV_Gross__c").alias("R_total_tcv"),
-                 n().alias("referral_opp_count"),
-                 n_distinct_small("Record_Type_Name__c").alias("referral_record_type_count")))
+    won = referral_merged(opp, p).filter(F.col("StageName") == p.won)
+    return by_category(won, ["Account_Id"], "Record_Type_Name__c", "referral_record_type_count",
+                       {"R_total_acv": sum0("ACV_for_Quotas__c"), "R_total_tcv": sum0("TCV_Gross__c"),
+                        "referral_opp_count": n()})
 
 
-def referral_summary_named(opp: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    """Q08: Q07 with the referrer's account name (lookup after the aggregation)."""
-    return lookup(referral_summary(opp, p), account_names(account), "Account_Id")
+def referral_summary_named(opp: DataFrame, account: DataFrame, p: Params,
+                           summary: DataFrame | None = None) -> DataFrame:
+    """Q08: Q07 (``summary`` if already written) with the referrer's account name (lookup after the aggregation)."""
+    s = referral_summary(opp, p) if summary is None else summary
+    return lookup(s, account_names(account), "Account_Id", write_left=summary is None)
 
 
 def referral_ranked(opp: DataFrame, account: DataFrame, p: Params,
-                    top_k: int | None = None, sort: bool = True) -> DataFrame:
+                    top_k: int | None = None, sort: bool = True, summary: DataFrame | None = None) -> DataFrame:
     """Q09 (flagship): referrers ranked by ACV, money as ``$1,234`` text.
 
     Sorted on the number before it is formatted; ties by account id.
     ``top_k`` turns the sort into a top-k (TakeOrderedAndProject).
     ``sort=False`` gives the same rows unordered, for use inside a join.
     """
-    s = referral_summary_named(opp, account, p)
+    s = referral_summary_named(opp, account, p, summary)
     if sort or top_k is not None:
         s = s.orderBy(F.col("R_total_acv").desc_nulls_last(), F.col("Account_Id").asc_nulls_last())
     if top_k is not None:
@@ -146,10 +154,10 @@ def referral_ranked(opp: DataFrame, account: DataFrame, p: Params,
 # --- Q10–Q12: yearly referral tables ----------------------------------------------
 
 def _won_referral_edges_since(opp: DataFrame, p: Params) -> DataFrame:
-    e = referral_merged(opp, p).filter(F.col("StageName") == p.won)
-    return e.select("Id", "Account_Id", year_of("CloseDate").alias("year"),
-                    F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv")) \
-            .filter(F.col("year") >= p.min_year)
+    """Edges of the won opportunities since the first year; both bounds reach the scan."""
+    won = opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year))
+    return referral_merged(won, p).select("Id", "Account_Id", year_of("CloseDate").alias("year"),
+                                          F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv"))
 
 
 def referral_yearly_unique(opp: DataFrame, p: Params) -> DataFrame:
@@ -179,8 +187,8 @@ def referral_yearly_unique(opp: DataFrame, p: Params) -> DataFrame:
         dollar("referral_acv").alias("referral_acv"),
         F.col("opportunity_count").cast("string").alias("opportunity_count"),
         F.col("distinct_referral_accounts").cast("string").alias("distinct_referral_accounts"))
-    return transpose_metrics(y, "year", ["referral_acv", "opportunity_count", "distinct_referral_accounts"],
-                             years_for(p, y))
+    y, years = pivot_years(p, y)
+    return transpose_metrics(y, "year", ["referral_acv", "opportunity_count", "distinct_referral_accounts"], years)
 
 
 def referral_yearly_credit(opp: DataFrame, p: Params) -> DataFrame:
@@ -190,11 +198,15 @@ def referral_yearly_credit(opp: DataFrame, p: Params) -> DataFrame:
          .agg(F.sum("acv").alias("referral_acv"), n().alias("opportunity_count"))
          .select("year", dollar_auto("referral_acv").alias("referral_acv"),
                  F.col("opportunity_count").cast("string").alias("opportunity_count")))
-    return transpose_metrics(y, "year", ["referral_acv", "opportunity_count"], years_for(p, y))
+    y, years = pivot_years(p, y)
+    return transpose_metrics(y, "year", ["referral_acv", "opportunity_count"], years)
 
 
-def referral_account_acv(opp: DataFrame, p: Params) -> DataFrame:
-    """Q12: won referral edges per referrer: ACV and row count."""
+def referral_account_acv(opp: DataFrame, p: Params, summary: DataFrame | None = None) -> DataFrame:
+    """Q12: won referral edges per referrer: ACV and row count (from Q07 if it is already written)."""
+    if summary is not None:
+        return summary.select("Account_Id", F.col("R_total_acv").alias("total_acv"),
+                              F.col("referral_opp_count").alias("opportunity_count"))
     return (referral_merged(opp, p)
             .filter(F.col("StageName") == p.won)
             .groupBy("Account_Id")

@@ -9,13 +9,17 @@ places as in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import FIXTURE_PARAMS as P
+from ..session import checkpoint_dir
 from ..sources import fixtures as fx
+from ..sources import tables
 from . import clients, cycles, penetration, referral
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +42,16 @@ def _round(df: DataFrame, places: dict[str, int]) -> DataFrame:
                        for c in df.columns])
 
 
+def _report_through_csv(s: SparkSession, d: str) -> DataFrame:
+    """The report written as a CSV export to the shared folder and read back by header name."""
+    path = f"{checkpoint_dir(s)}/export-{uuid.uuid4().hex}"
+    tables.write_csv(_rep(s, d), path)
+    return tables.read_opp_report_csv(s, path)
+
+
+# Without explicit pivot years: the years in the data.
+P_ANY_YEAR = replace(P, years=None)
+
 QUERIES: dict[str, Query] = {
     # referral attribution (opportunity, account)
     "q01_referral_edges": lambda s, d: referral.referral_edges(_opp(s, d), P),
@@ -46,12 +60,15 @@ QUERIES: dict[str, Query] = {
     "q04_win_pct_by_year": lambda s, d: referral.win_pct_by_year(_opp(s, d), P),
     "q05_opp_count_by_year": lambda s, d: referral.opp_count_by_year(_opp(s, d), P),
     "q06_win_pct_summary": lambda s, d: referral.win_pct_summary(_opp(s, d), P),
+    "q06d_win_pct_summary_any_year": lambda s, d: referral.win_pct_summary(_opp(s, d), P_ANY_YEAR),
     "q07_referral_summary": lambda s, d: referral.referral_summary(_opp(s, d, True), P),
     "q08_referral_summary_named": lambda s, d: referral.referral_summary_named(
         _opp(s, d, True), _acc(s, d), P),
     "q09_referral_ranked": lambda s, d: referral.referral_ranked(_opp(s, d, True), _acc(s, d), P),
     "q10_referral_yearly_unique": lambda s, d: referral.referral_yearly_unique(_opp(s, d), P),
     "q11_referral_yearly_credit": lambda s, d: referral.referral_yearly_credit(_opp(s, d), P),
+    "q10d_referral_yearly_unique_any_year": lambda s, d: referral.referral_yearly_unique(_opp(s, d), P_ANY_YEAR),
+    "q11d_referral_yearly_credit_any_year": lambda s, d: referral.referral_yearly_credit(_opp(s, d), P_ANY_YEAR),
     "q12_referral_account_acv": lambda s, d: referral.referral_account_acv(_opp(s, d), P),
     "q13_referral_share_by_year": lambda s, d: referral.referral_share_by_year(_opp(s, d), P),
     "q14_referral_share_dual_axis": lambda s, d: referral.referral_share_dual_axis(_opp(s, d), P),
@@ -67,10 +84,12 @@ QUERIES: dict[str, Query] = {
         _opp(s, d), _acc(s, d), P),
     # purchase cycles (opp_report)
     "q22_report_won": lambda s, d: cycles.report_won(_rep(s, d), P),
+    "q22c_report_won_csv": lambda s, d: cycles.report_won(_report_through_csv(s, d), P),
     "q23_report_client_rows": lambda s, d: cycles.report_client_rows(_rep(s, d), P),
     "q24_report_cpa_rows": lambda s, d: cycles.report_cpa_rows(_rep(s, d), P),
     "q25_report_dedup": lambda s, d: cycles.report_dedup(_rep(s, d), P),
     "q25b_report_dedup_by_party": lambda s, d: cycles.report_dedup_by_party(_rep(s, d), P),
+    "q25c_report_dedup_sorted": lambda s, d: cycles.report_dedup_sorted(_rep(s, d), P),
     "q26_service_line_counts": lambda s, d: cycles.service_line_counts(_rep(s, d), P),
     "q27_purchase_gaps": lambda s, d: cycles.purchase_gaps(_rep(s, d), P),
     "q28_purchase_cycles": lambda s, d: _round(cycles.purchase_cycles(_rep(s, d), P),
@@ -92,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "q35_sales_correlation": lambda s, d: _round(penetration.sales_correlation(_rep(s, d), P),
                                                  {"correlation": 9}),
     "q36_sales_scatter": lambda s, d: penetration.sales_scatter(_rep(s, d), P, "won"),
+    "q36b_sales_scatter_all": lambda s, d: penetration.sales_scatter(_rep(s, d), P, "all"),
     "q37_sales_fit": lambda s, d: _round(penetration.sales_fit(_rep(s, d), P),
                                          {"slope": 4, "intercept": 4, "r2": 9,
                                           "y_at_x_min": 4, "y_at_x_max": 4}),

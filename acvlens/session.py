@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -76,15 +77,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` once as Parquet to the shared checkpoint folder and read it back.
 
     For an intermediate that several branches of a plan read (Catalyst
     prunes each branch differently, so their shuffles are not reused): the
-    branches then read the written data instead of recomputing it, and a
-    lost executor costs a re-read, not a recomputation.  Under Spark Connect
-    the server's ``spark.checkpoint.dir`` applies (no client-side context).
+    branches then read the written columns they need instead of recomputing
+    them, and a lost executor costs a re-read, not a recomputation.  The folder is
+    scratch space: what is written there may be removed once the results are
+    used.  Under Spark Connect (no client-side context) the server's
+    ``spark.checkpoint.dir`` applies through ``checkpoint()``.
     """
     from pyspark.sql.utils import is_remote
-    if not is_remote():
-        checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if is_remote():
+        return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/intermediate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

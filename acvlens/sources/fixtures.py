@@ -110,11 +110,11 @@ def opp_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same derivations as DuckDB SQL (common table expressions) ------------
 
-OPPORTUNITY_SQL = """opportunity AS (
+OPPORTUNITY_SQL = f"""opportunity AS (
   SELECT CAST(o.o_orderkey AS VARCHAR) AS Id,
     CASE WHEN o.o_orderkey % 50 = 0 THEN NULL WHEN o.o_orderkey % 50 = 1 THEN ''
          ELSE CAST(o.o_custkey AS VARCHAR) END AS AccountId,
-    CASE o.o_orderstatus WHEN 'F' THEN '6 - Closed Won' WHEN 'O' THEN '7 - Closed Lost'
+    CASE o.o_orderstatus WHEN 'F' THEN '{WON}' WHEN 'O' THEN '{LOST}'
          WHEN 'P' THEN '3 - Proposal' END AS StageName,
     CASE WHEN o.o_orderkey % 97 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS CloseDate,
     CASE WHEN o.o_orderkey % 20 = 7 THEN NULL ELSE CAST(o.o_totalprice AS DECIMAL(18,2)) END
@@ -147,7 +147,7 @@ ACCOUNT_SQL = """account AS (
   FROM customer
 )"""
 
-OPP_REPORT_SQL = """opp_report AS (
+OPP_REPORT_SQL = f"""opp_report AS (
   SELECT CAST(l.l_orderkey AS VARCHAR) AS Opp_ID,
     CASE WHEN l.l_orderkey % 101 = 0 THEN '' ELSE CAST(o.o_custkey AS VARCHAR) END AS Acct_Id,
     CASE WHEN l.l_orderkey % 4 = 0 THEN CAST(o.o_custkey % 80 AS VARCHAR) ELSE '' END
@@ -157,7 +157,7 @@ OPP_REPORT_SQL = """opp_report AS (
          ELSE strftime(CAST(l.l_shipdate AS DATE), '%-m/%-d/%Y') END AS Close_Date,
     CASE WHEN l.l_linenumber = 7 THEN NULL ELSE CAST(l.l_extendedprice AS DECIMAL(18,2)) END
          AS ACV_for_Quotas,
-    CASE l.l_returnflag WHEN 'A' THEN '6 - Closed Won' WHEN 'R' THEN '7 - Closed Lost'
+    CASE l.l_returnflag WHEN 'A' THEN '{WON}' WHEN 'R' THEN '{LOST}'
          WHEN 'N' THEN '3 - Proposal' END AS Stage
   FROM lineitem l
   JOIN orders o ON o.o_orderkey = l.l_orderkey

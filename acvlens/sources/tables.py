@@ -2,8 +2,8 @@
 
 The reference pulls ``opportunity`` / ``account`` from a CRM and reads the
 flat report from a CSV export.  Here the CRM tables are landed tables
-(Parquet or a catalog table) and the export is read with a declared schema
-(no inference pass).
+(Parquet or a catalog table) and the export's columns are picked by header
+name and typed by a declared schema (no inference pass).
 """
 
 from __future__ import annotations
@@ -34,36 +34,76 @@ def read_account(spark: SparkSession, path_or_name: str) -> DataFrame:
     return read_table(spark, path_or_name, ACCOUNT)
 
 
-def read_opp_report_csv(spark: SparkSession, path: str, blank_strings_as_empty: bool = True) -> DataFrame:
-    """The flat opportunity export (header row, declared schema).
+# How R writes and reads a quoted cell: quotes inside are doubled.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+BAD_ROW = "__bad_row"
 
-    A literal ``NA`` cell is missing.  A blank text cell reads as "" (as R's
-    ``read.csv`` gives for character columns) when ``blank_strings_as_empty``;
-    a blank numeric cell is missing.  Spark cannot tell a quoted "" from an
-    unquoted blank, so both become "".
+
+def csv_header(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Column names of the export (its first file), in file order."""
+    return spark.read.options(**CSV_OPTIONS).csv(path).columns
+
+
+def csv_schema(header: list[str]) -> T.StructType:
+    """Text columns in file order, and a column that takes the rows that do not fit them."""
+    missing = [f.name for f in OPP_REPORT.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"the export lacks the columns {', '.join(missing)}; it has {', '.join(header)}")
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*header, BAD_ROW]])
+
+
+def csv_reader(reader, schema: T.StructType, multi_line: bool):
+    """``reader`` set up for the export; a file whose header differs from the schema is an error."""
+    return (reader.schema(schema).options(**CSV_OPTIONS, multiLine=multi_line, enforceSchema=False,
+                                          mode="PERMISSIVE", columnNameOfCorruptRecord=BAD_ROW))
+
+
+def report_columns(raw: DataFrame) -> DataFrame:
+    """The declared columns, picked by name and typed.
+
+    A cell ``NA`` is missing; a blank text cell is "" (as R's ``read.csv``
+    gives for character columns); a blank or unreadable amount is missing.
     """
-    df = (spark.read.schema(OPP_REPORT)
-          .option("header", True)
-          .option("nullValue", "NA")
-          .option("mode", "PERMISSIVE")
-          .csv(path))
-    if blank_strings_as_empty:
-        df = df.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name)
-                         if isinstance(f.dataType, T.StringType) else F.col(f.name)
-                         for f in OPP_REPORT.fields])
-    return df
+    cols = []
+    for f in OPP_REPORT.fields:
+        text = F.coalesce(F.col(f"`{f.name}`"), F.lit(""))
+        text = F.when(text != "NA", text)
+        cols.append((text if isinstance(f.dataType, T.StringType) else F.trim(text).try_cast(f.dataType)).alias(f.name))
+    return raw.select(*cols)
+
+
+def read_opp_report_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """The flat opportunity export: columns by header name, in any order, others ignored.
+
+    A missing column, or files with different headers, are errors.  Quoted
+    cells may hold doubled quotes and (``multi_line``) line breaks; the latter
+    makes a file one task, so turn it off for large files without them.
+    Rows that do not fit are kept as far as they parse; ``unparsed_rows`` shows them.
+    """
+    return report_columns(_raw_csv(spark, path, multi_line))
+
+
+def _raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    return csv_reader(spark.read, csv_schema(csv_header(spark, path)), multi_line).csv(path)
+
+
+def unparsed_rows(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+    """Rows of the export that do not fit its header, or whose amount is no number."""
+    raw = _raw_csv(spark, path, multi_line)
+    amounts = [F.trim(F.col(f"`{f.name}`")) for f in OPP_REPORT.fields if not isinstance(f.dataType, T.StringType)]
+    bad = F.col(BAD_ROW).isNotNull()
+    for a in amounts:
+        bad = bad | (a.isNotNull() & ~a.isin("", "NA") & a.try_cast(OPP_REPORT["ACV_for_Quotas"].dataType).isNull())
+    # All columns are read, so that every malformed row is noticed.
+    return raw.where(bad & F.coalesce(F.concat_ws("", *[F.col(f"`{c}`") for c in raw.columns]), F.lit("")).isNotNull())
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """``write.csv(df, file, row.names = FALSE)``: header, missing as ``NA``.
+    """``write.csv(df, file, row.names = FALSE)``: header, missing as ``NA``, quotes doubled.
 
     The result is a directory of part files; a preceding ``orderBy`` keeps
-    its order across parts (range partitioning).  ``single_file`` coalesces to
-    one part — only for small report tables.
+    its order across parts (range partitioning).  ``single_file`` puts the whole
+    result through one task: for small report tables only.
     """
     out = df.coalesce(1) if single_file else df
-    (out.write.mode("overwrite")
-        .option("header", True)
-        .option("nullValue", "NA")
-        .option("emptyValue", "")
-        .csv(path))
+    (out.write.mode("overwrite").options(**CSV_OPTIONS, nullValue="NA", emptyValue="").csv(path))

@@ -4,46 +4,48 @@ The reference re-reads one CSV export in full on every run.  At scale the
 exports arrive as files in a folder; this job lands each new file once
 into a Parquet table with Structured Streaming (file source → Parquet sink,
 ``availableNow`` trigger: process what is there, then stop).  The stream's
-checkpoint lives under the session's shared checkpoint folder, so a lost
-executor or a restarted job resumes without landing a file twice.
+checkpoint lies beside the table, in a folder named after the export folder:
+it outlives the application, and every pair of source and table has its own.
 The analyses then read the landed table (``spark.read.parquet``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import checkpoint_dir
-from ..sources.schemas import OPP_REPORT
+from ..sources.tables import csv_header, csv_reader, csv_schema, report_columns
+
 
+def report_export_stream(spark: SparkSession, export_dir: str, max_files_per_trigger: int | None = None,
+                         multi_line: bool = True) -> DataFrame:
+    """Streaming DataFrame over the CSV export files in ``export_dir``, columns by header name.
 
-def report_export_stream(spark: SparkSession, export_dir: str, max_files_per_trigger: int | None = None):
-    """Streaming DataFrame over the CSV export files in ``export_dir`` (declared schema)."""
-    reader = (spark.readStream.schema(OPP_REPORT)
-              .option("header", True)
-              .option("nullValue", "NA"))
+    All files must have the header of the first one; another header stops the stream with an error.
+    """
+    reader = csv_reader(spark.readStream, csv_schema(csv_header(spark, export_dir)), multi_line)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = reader.csv(export_dir)
-    # Blank text cells read as "" (R's read.csv for character columns).
-    return df.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name)
-                       if isinstance(f.dataType, T.StringType) else F.col(f.name)
-                       for f in OPP_REPORT.fields])
+    return report_columns(reader.csv(export_dir))
+
+
+def landing_checkpoint(export_dir: str, table_path: str) -> str:
+    """Where the landing of this folder into this table keeps its log, whatever application runs it."""
+    source = hashlib.sha256(export_dir.rstrip("/").encode()).hexdigest()[:16]
+    return f"{table_path.rstrip('/')}.landing/{source}"
 
 
 def land_report_exports(spark: SparkSession, export_dir: str, table_path: str,
                         checkpoint_location: str | None = None,
                         max_files_per_trigger: int | None = None,
-                        wait: bool = True) -> StreamingQuery:
+                        wait: bool = True, multi_line: bool = True) -> StreamingQuery:
     """Append every export file not yet landed to the Parquet table at ``table_path``."""
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/land-opp-report"
-    q = (report_export_stream(spark, export_dir, max_files_per_trigger)
+    q = (report_export_stream(spark, export_dir, max_files_per_trigger, multi_line)
          .writeStream.format("parquet")
          .option("path", table_path)
-         .option("checkpointLocation", ckpt)
+         .option("checkpointLocation", checkpoint_location or landing_checkpoint(export_dir, table_path))
          .outputMode("append")
          .trigger(availableNow=True)
          .start())

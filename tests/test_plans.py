@@ -58,3 +58,26 @@ def test_no_python_udfs(spark, landed):
     for name, q in QUERIES.items():
         p = plan(q(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_yearly_credit_pushes_the_year_bound(spark, landed):
+    opp = tables.read_opportunity(spark, f"{landed}/opportunity")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    p = plan(referral.referral_yearly_credit(opp, P))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(CloseDate,1998-01-01\)", p), p
+
+
+def test_win_rates_without_expand(spark, landed):
+    opp = tables.read_opportunity(spark, f"{landed}/opportunity")
+    assert "Expand" not in plan(referral.win_pct_summary(opp, P))
+
+
+def test_account_figures_use_hash_aggregates_only(spark, landed):
+    from acvlens.plans import clients, penetration
+    rep = spark.read.parquet(f"{landed}/opp_report")
+    opp = tables.read_opportunity(spark, f"{landed}/opportunity")
+    for df in (penetration.acct_sales(rep, P, "won"), penetration.acct_sales_both(rep, P),
+               penetration.acct_volume_lines(rep, P), referral.referral_summary(opp, P),
+               clients.won_totals_by_side(opp, P)):
+        p = plan(df)
+        assert "HashAggregate" in p and "ObjectHashAggregate" not in p and "SortAggregate" not in p

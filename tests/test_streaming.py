@@ -26,3 +26,32 @@ def test_land_exports_incrementally(spark, tmp_dir):
     assert landed.exceptAll(rep).count() == 0
     # the analyses run on the landed table unchanged
     assert cycles.report_dedup(landed, P).count() == cycles.report_dedup(rep, P).count()
+
+
+_LAND = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from acvlens.streaming.landing import land_report_exports
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {shared!r}).getOrCreate())
+for table in sys.argv[2:]:
+    land_report_exports(spark, sys.argv[1], table)
+"""
+
+
+def test_landing_goes_on_in_a_new_application(spark, tmp_dir):
+    """Each application has a checkpoint folder of its own; the landing's log must outlive it."""
+    import os
+    import subprocess
+    import sys
+    rep = fx.opp_report(spark, SF_SMALL)
+    parts = [rep.filter(f"CAST(Opp_ID AS BIGINT) % 3 = {k}") for k in range(2)]
+    code = _LAND.format(root=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), shared=f"{tmp_dir}/shared")
+    tables.write_csv(parts[0], f"{tmp_dir}/exports/batch=1")
+    land = [sys.executable, "-c", code, f"{tmp_dir}/exports/*", f"{tmp_dir}/one", f"{tmp_dir}/two"]
+    subprocess.run(land[:-1], check=True, capture_output=True, timeout=300)
+    tables.write_csv(parts[1], f"{tmp_dir}/exports/batch=2")
+    subprocess.run(land, check=True, capture_output=True, timeout=300)
+    for table in ("one", "two"):                   # the second table has its own log and lands both files
+        assert spark.read.parquet(f"{tmp_dir}/{table}").count() == parts[0].count() + parts[1].count()
