@@ -85,10 +85,10 @@ def _dated(rows: DataFrame) -> DataFrame:
 
 
 def report_dedup_sorted(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
-    """Q25 in its display order: by account, then by the strictly parsed close date (``close_date``)."""
+    """Q25 in its display order: by account, then by the strictly parsed close date (``parsed_date``)."""
     rows = report_dedup(report, p) if dedup is None else dedup
-    return (rows.withColumn("close_date", mdy_strict("Close_Date"))
-            .orderBy(F.col("Acct_Id").asc_nulls_last(), F.col("close_date").asc_nulls_last(), "Opp_ID"))
+    return (rows.withColumn("parsed_date", mdy_strict("Close_Date"))
+            .orderBy(F.col("Acct_Id").asc_nulls_last(), F.col("parsed_date").asc_nulls_last(), "Opp_ID"))
 
 
 def purchase_gaps(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:

@@ -477,6 +477,6 @@ ORACLE_SQL |= {
     "q11d_referral_yearly_credit_any_year": ORACLE_SQL["q11_referral_yearly_credit"],
     "q22c_report_won_csv": ORACLE_SQL["q22_report_won"],
     "q25c_report_dedup_sorted": with_(REP, REPORT_WON, G1, G2, DEDUP) + """SELECT *,
-  CAST(try_strptime(Close_Date, '%m/%d/%Y') AS DATE) AS close_date FROM dedup""",
+  CAST(try_strptime(Close_Date, '%m/%d/%Y') AS DATE) AS parsed_date FROM dedup""",
     "q36b_sales_scatter_all": with_(REP, SALES_ALL) + long_xy("sa", "all"),
 }

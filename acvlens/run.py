@@ -72,7 +72,7 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Builder]] = {
     "report_won": ((REP,), lambda t, p: cycles.report_won(t[REP], p)),
     "report_client_rows": ((REP,), lambda t, p: cycles.report_client_rows(t[REP], p)),
     "report_cpa_rows": ((REP,), lambda t, p: cycles.report_cpa_rows(t[REP], p)),
-    "report_dedup": ((REP, "dedup"), lambda t, p: cycles.report_dedup_sorted(t[REP], p, t["dedup"]).drop("close_date")),
+    "report_dedup": ((REP, "dedup"), lambda t, p: cycles.report_dedup_sorted(t[REP], p, t["dedup"]).drop("parsed_date")),
     "report_dedup_by_party": ((REP,), lambda t, p: cycles.report_dedup_by_party(t[REP], p)),
     "service_line_counts": ((REP, "dedup"), lambda t, p: cycles.service_line_counts(t[REP], p, t["dedup"])),
     "purchase_gaps": ((REP, "dedup"), lambda t, p: cycles.purchase_gaps(t[REP], p, t["dedup"])),

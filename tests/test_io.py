@@ -86,5 +86,5 @@ def test_csv_rows_that_do_not_parse_are_shown(spark, tmp_dir):
 def test_dedup_display_order(spark):
     from acvlens.plans import cycles
     rows = cycles.report_dedup_sorted(fx.opp_report(spark, SF_SMALL), P).collect()
-    key = [(r.Acct_Id is None, r.Acct_Id or "", r.close_date is None, str(r.close_date), r.Opp_ID) for r in rows]
+    key = [(r.Acct_Id is None, r.Acct_Id or "", r.parsed_date is None, str(r.parsed_date), r.Opp_ID) for r in rows]
     assert key == sorted(key) and len(rows) > 100

@@ -18,7 +18,7 @@ def test_run_all_on_landed_inputs(spark, tmp_dir):
     assert sorted(names) == sorted(ANALYSES) and {"sales_fit_line", "sales_scatter_all"} <= set(names)
     rep, opp, acc = inputs["report"], inputs["opportunity"], inputs["account"]
     direct = {  # the shared intermediates change no result
-        "purchase_gaps": cycles.purchase_gaps(rep, P), "cycle_boxplot": cycles.cycle_boxplot(rep, P),
+        "report_dedup": cycles.report_dedup(rep, P), "purchase_gaps": cycles.purchase_gaps(rep, P), "cycle_boxplot": cycles.cycle_boxplot(rep, P),
         "service_line_counts": cycles.service_line_counts(rep, P),
         "acct_volume_lines": penetration.acct_volume_lines(rep, P), "acct_sales_won": penetration.acct_sales(rep, P),
         "sales_scatter_all": penetration.sales_scatter(rep, P, "all"),
