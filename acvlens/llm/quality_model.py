@@ -53,41 +53,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, bits: int,
+def fit_ordinal(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades: np.ndarray, n_grades: int, bits: int,
                 steps: int = 150, rate: float = 0.2, prior: float = 0.5) -> OrdinalModel:
-    """Maximum likelihood of the cumulative-link model by Adam steps over all rows."""
-    index = np.concatenate([i for i, _ in rows])
-    used, column = np.unique(index, return_inverse=True)
-    value = np.concatenate([v for _, v in rows])
-    n = len(rows)
-    of = np.repeat(np.arange(n), [len(i) for i, _ in rows])
+    """Maximum likelihood of the cumulative-link model by Adam steps over all rows.
+
+    The rows' features are concatenated in ``index`` and ``value``; ``sizes``
+    says how many belong to each row.
+    """
+    n, width = len(sizes), 1 << bits
+    of = np.repeat(np.arange(n, dtype=np.int32), sizes)
     share = np.array([(grades > k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     # Thresholds as the first one and the logarithms of the gaps: always ordered.
     theta = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.1))])
-    p = np.concatenate([np.zeros(len(used)), theta])
+    p = np.concatenate([np.zeros(width), theta])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, t = p[:len(used)], _thresholds(p[len(used):])
-        s = np.bincount(of, weights=w[column] * value, minlength=n)
+        w, t = p[:width], _thresholds(p[width:])
+        s = np.bincount(of, weights=w.astype(np.float32)[index] * value, minlength=n)
         bound = np.concatenate([[-np.inf], t, [np.inf]])
         a, b = _sigmoid(bound[grades + 1] - s), _sigmoid(bound[grades] - s)
         a, b = np.where(grades == n_grades - 1, 1.0, a), np.where(grades == 0, 0.0, b)
         within = np.maximum(a - b, 1e-9)
-        by_score = (1 - a - b) / n
+        by_score = ((1 - a - b) / n).astype(np.float32)
         grad_t = np.zeros(n_grades + 1)
         np.add.at(grad_t, grades + 1, -a * (1 - a) / within / n)
         np.add.at(grad_t, grades, b * (1 - b) / within / n)
         g_t = grad_t[1:-1]
-        gaps = np.exp(p[len(used) + 1:])
-        g = np.concatenate([np.bincount(column, weights=by_score[of] * value, minlength=len(used)) + prior / n * w,
+        gaps = np.exp(p[width + 1:])
+        g = np.concatenate([np.bincount(index, weights=by_score[of] * value, minlength=width) + prior / n * w,
                             [g_t.sum()], [g_t[k + 1:].sum() * gaps[k] for k in range(len(gaps))]])
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8) * (1 - step / (steps + 1))
-    weights = np.zeros(1 << bits, np.float32)
-    weights[used] = p[:len(used)]
-    return OrdinalModel(weights, _thresholds(p[len(used):]), bits)
+    return OrdinalModel(p[:width].astype(np.float32), _thresholds(p[width:]), bits)
 
 
 def _thresholds(p: np.ndarray) -> np.ndarray:
@@ -118,8 +117,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
     found = found.sort_values(["doc_id", "grade"], kind="stable")
     if found["grade"].nunique() < 2:
         return None
-    rows = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(found["i"], found["v"])]
-    return fit_ordinal(rows, found["grade"].to_numpy(np.int64), 3, bits)
+    grade, sizes = found["grade"].to_numpy(np.int64), found["i"].map(len).to_numpy() // 4
+    index, value = (np.frombuffer(b"".join(found[c]), kind) for c, kind in (("i", np.int32), ("v", np.float32)))
+    del found
+    return fit_ordinal(index, value, sizes, grade, 3, bits)
 
 
 def rate(docs: DataFrame, model: OrdinalModel | None, keep_at: float = KEEP_AT, into: str = "rating") -> DataFrame:

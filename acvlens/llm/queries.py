@@ -1,4 +1,4 @@
-"""Registered queries of the operators: ``name -> (spark, sf_dir) -> DataFrame``."""
+"""Registered queries of the operators: ``name -> (spark, sf_dir) -> DataFrame``, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (chunk_dedup, decontam, mixing, quality_model, rules, secret_scan, sharding, simhash, token_counts,
                tool_calls)
 from .common import read
+from .oracle import ORACLE_SQL
+
+__all__ = ["MIXTURE", "ORACLE_SQL", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,5 +31,3 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": lambda s, d: sharding.shard_documents(read(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixing_rates(read(s, d, "documents"), read(s, d, "labels"), MIXTURE),
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -177,7 +177,8 @@ def test_thresholds_stay_ordered():
     rng = np.random.default_rng(0)
     rows = [(np.array([k], np.int32), np.array([1.0], np.float32)) for k in rng.integers(0, 3, 300)]
     grades = np.array([int(i[0]) for i, _ in rows])
-    m = quality_model.fit_ordinal(rows, grades, 3, 4)
+    index, value = (np.concatenate([r[k] for r in rows]) for k in range(2))
+    m = quality_model.fit_ordinal(index, value, np.ones(300, int), grades, 3, 4)
     assert m.thresholds[0] < m.thresholds[1]
     tails = m.tails(np.array([m.score(*r) for r in rows]))
     assert (tails[:, 0] >= tails[:, 1]).all() and ((tails > 0.5).sum(1) == grades).all()
