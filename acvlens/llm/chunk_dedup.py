@@ -3,8 +3,10 @@
 A 16-bit gear hash rolls over the bytes of a text (each step shifts it by one
 and adds a number for the byte, so it depends on the last 16 bytes).  A chunk
 ends where its top bits are zero, at least ``LEAST`` bytes after the chunk's start and
-at a character's first byte; ``MOST`` bytes end it in any case.  So chunks depend on
+at a character's first byte.  So chunks depend on
 the text around them alone, and an insertion changes only the chunks it touches.
+Where no place ends a chunk for ``MOST`` bytes (one word over and over) it ends
+at the first smallest hash among them, which depends on the text alone as well.
 
 Chunks are deduplicated by a 64-bit digest: one aggregate gives each digest's
 documents (first and last row, smallest doc_id).  Chunks in more than one
@@ -57,15 +59,15 @@ def cut_points(text: bytes) -> tuple[list[int], np.ndarray]:
     """Ends of the text's chunks (byte positions), and the text as an array."""
     data = np.frombuffer(text, np.uint8)
     size = len(data)
-    ends = np.flatnonzero(gear_hash(data) >> np.uint16(16 - BITS) == 0) + 1
-    ends = ends[ends < size]
-    ends = ends[(data[ends] & 0xC0) != 0x80]
+    # Hash before each position at which a cut is allowed (a character begins there).
+    h = np.full(size + 1, 0xFFFF, np.uint16)
+    h[1:] = gear_hash(data)
+    h[:size][(data & 0xC0) == 0x80] = 0xFFFF
+    ends = np.flatnonzero(h[1:size] >> np.uint16(16 - BITS) == 0) + 1
     cuts, last = [], 0
     for at in [*ends.tolist(), size]:
         while at - last > MOST:
-            last += MOST
-            while data[last] & 0xC0 == 0x80:
-                last -= 1
+            last += LEAST + int(h[last + LEAST:last + MOST + 1].argmin())
             cuts.append(last)
         if at - last >= LEAST or at == size > last:
             cuts.append(at)

@@ -12,8 +12,8 @@ Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate);
 the rates of a few steps are one expression, written out every ``CHUNK`` steps.
 A rate depends on the posterior and the steps' few coefficients alone, so it is
 applied to the documents in the pass that classifies them, without a join.
-The classifier is fitted on a bounded sample (``sample_rows``); the totals
-cover all rows.
+The classifier is fitted on a bounded sample (``SAMPLE_ROWS`` labelled ids);
+the totals cover all rows.
 
 A rate of 2.3 means two copies, and a third one with probability 0.3 by a hash of
 the document's id and text: deterministic, and right in expectation.
@@ -39,7 +39,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .common import batches_bytes, fresh, key_text, slices, stash, with_field
 from .features import hashed, word_counts
 
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 8192
 BITS = 16
 STEPS = 48
 CHUNK = 8
@@ -62,13 +62,12 @@ class DomainModel:
         return e / e.sum()
 
 
-def fit_domains(labelled: DataFrame, domains: list[str], sample_rows: int = SAMPLE_ROWS, bits: int = BITS,
-                steps: int = 100, rate: float = 0.3, ridge: float = 1e-5) -> DomainModel:
-    """Softmax regression on a bounded sample of ``labelled`` (text, domain), those of smallest text hash."""
+def fit_domains(labelled: DataFrame, domains: list[str], bits: int = BITS, steps: int = 100,
+                rate: float = 0.3, ridge: float = 1e-5) -> DomainModel:
+    """Softmax regression on ``labelled`` (text, domain), a bounded sample (see ``labelled_domains``)."""
     known = labelled.select(labelled["text"].cast("string").alias("text"), labelled["domain"].cast("string").alias("domain"))
-    known = known.where(F.col("text").isNotNull() & F.col("domain").isin(domains))
-    chosen = known.select(F.xxhash64("text", "domain").alias("h")).orderBy("h").limit(sample_rows).distinct()
-    sample = known.withColumn("h", F.xxhash64("text", "domain")).join(F.broadcast(chosen), "h", "left_semi")
+    sample = (known.where(F.col("text").isNotNull() & F.col("domain").isin(domains)).distinct()
+              .withColumn("h", F.xxhash64("text", "domain")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -184,12 +183,18 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
     return rates
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang") -> DataFrame:
-    """(text, domain) of the documents that the labelled table rates good and not toxic."""
+def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang",
+                     sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, domain) of documents that the labelled table rates good and not toxic.
+
+    A bounded sample: the ``sample_rows`` such ids of smallest hash (those of
+    them that ``docs`` has), shipped to the scan of ``docs``.
+    """
     good = (labels.where((labels["quality"].cast("int") == 1) & (labels["toxic"].cast("int") == 0))
-            .select(labels["doc_id"].cast("long").alias("id")).distinct())
+            .select(labels["doc_id"].cast("long").alias("id")).where("id IS NOT NULL").distinct())
+    chosen = good.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     named = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"), docs[domain].alias("domain"))
-    return named.join(good, "id", "left_semi").select("text", "domain")
+    return named.join(F.broadcast(chosen), "id", "left_semi").select("text", "domain")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0) -> DataFrame:

@@ -104,7 +104,7 @@ def grades(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> OrdinalModel | None:
     """The model of a bounded sample of labelled documents; None without two grades."""
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    sample = key_text(docs).join(F.broadcast(chosen), "doc_id")
+    sample = key_text(docs).join(F.broadcast(chosen), "doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

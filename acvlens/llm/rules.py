@@ -185,7 +185,7 @@ def learn_rules(stats: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
                .where("doc_id IS NOT NULL AND q IN (0, 1)").groupBy("doc_id").agg(F.min("q").alias("q")))
     chosen = quality.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = (stats.join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", "q", *[F.expr(e).alias(f) for f, e in FEATURES.items()]).toPandas())
+            .select("doc_id", "q", *[F.expr(e).alias(f) for f, e in FEATURES.items()]).distinct().toPandas())
     rows = rows.sort_values(["doc_id", *FEATURES], kind="stable")
     if rows["q"].nunique() < 2:
         return []

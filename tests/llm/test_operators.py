@@ -407,6 +407,8 @@ def test_chunks_resist_an_insertion():
     moved = text[:900] + b" inserted words " + text[900:]
     a, b = (set(chunk_dedup.chunks(t)[0].tolist()) for t in (text, moved))
     assert len(a & b) > 0.9 * len(a)
+    one = [set(chunk_dedup.chunks((lead + b"Der " * 200))[0].tolist()) for lead in (b"", b"of ", b"x" * 7)]
+    assert one[0] & one[1] & one[2]
     digests, places = chunk_dedup.chunks(("é語 " * 300).encode())
     lengths, starts = places >> 8 & 255, places >> 16
     assert (starts[1:] == (starts + lengths)[:-1]).all() and lengths.sum() == 900 and (places & 255).sum() == 300
