@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_bytes, fresh, key_text, slices, stash
 
-LEAST, MOST, BITS = 24, 192, 4
+LEAST, MOST, BITS = 24, 96, 4
 LEAST_WORDS = 16
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 8) & 0xFFFF for b in range(256)], np.uint16)
