@@ -65,35 +65,46 @@ def won_totals_by_side(opp: DataFrame, p: Params) -> DataFrame:
                        {"acv": sum0("ACV_for_Quotas__c"), "tcv": sum0("TCV_Gross__c"), "cnt": n()})
 
 
-def _both_sides(opp: DataFrame, account: DataFrame, p: Params,
-                totals: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(ranked referrers, client/CPA summary) as Q09 (unsorted) and Q16 give them."""
-    tot = materialize(won_totals_by_side(opp, p)) if totals is None else totals
-    ref = tot.where("side = 'ref'").select(
+def ranked_side(totals: DataFrame, account: DataFrame) -> DataFrame:
+    """Ranked referrers as Q09 gives them (unsorted), from the written ``won_totals_by_side``."""
+    ref = totals.where("side = 'ref'").select(
         "Account_Id", F.col("acv").alias("R_total_acv"), F.col("tcv").alias("R_total_tcv"),
         F.col("cnt").alias("referral_opp_count"), F.col("rtn").alias("referral_record_type_count"))
-    ranked = lookup(ref, account_names(account), "Account_Id", write_left=False).select(
+    return lookup(ref, account_names(account), "Account_Id", write_left=False).select(
         "Name", dollar("R_total_acv").alias("R_total_acv"), dollar("R_total_tcv").alias("R_total_tcv"),
         "referral_opp_count", "referral_record_type_count")
-    cc = tot.where("side = 'cc'").select(
+
+
+def client_side(totals: DataFrame, account: DataFrame) -> DataFrame:
+    """The client/CPA summary as Q16 gives it, from the written ``won_totals_by_side``."""
+    cc = totals.where("side = 'cc'").select(
         "Account_Id", dollar("acv").alias("D_total_acv"), dollar("tcv").alias("D_total_tcv"),
         F.col("rtn").alias("record_type_count"))
-    return ranked, lookup(cc, account_names(account), "Account_Id", reduce_dim=False)
+    return lookup(cc, account_names(account), "Account_Id", reduce_dim=False)
+
+
+Sides = tuple[DataFrame, DataFrame]
+
+
+def _sides(opp: DataFrame, account: DataFrame, p: Params) -> Sides:
+    """Both sides of Q17 from one scan of the opportunities, whose totals are written once."""
+    totals = materialize(won_totals_by_side(opp, p))
+    return ranked_side(totals, account), client_side(totals, account)
 
 
-def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params, totals: DataFrame | None = None) -> DataFrame:
+def sales_referral_full(opp: DataFrame, account: DataFrame, p: Params, sides: Sides | None = None) -> DataFrame:
     """Q17: ranked referrers ⟗ client/CPA summary on Name (NA matches NA, many-to-many).
 
-    Both sides come from one scan of the opportunities, written once per
-    account (``totals`` if already written); the branches of the join read that.
+    Each side is read by two branches (matched pairs, unmatched rows), so each
+    is written once (``sides`` if they already are).
     """
-    ranked, cc = _both_sides(opp, account, p, totals)
+    ranked, cc = sides or map(materialize, _sides(opp, account, p))
     return full_join_null_safe(ranked, cc, "Name")
 
 
-def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params, totals: DataFrame | None = None) -> DataFrame:
+def sales_referral_left(opp: DataFrame, account: DataFrame, p: Params, sides: Sides | None = None) -> DataFrame:
     """Q17b: the left-join form of Q17 (both sides from one scan)."""
-    ranked, cc = _both_sides(opp, account, p, totals)
+    ranked, cc = sides or _sides(opp, account, p)
     return left_join_null_safe(ranked, cc, "Name")
 
 

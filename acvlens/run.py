@@ -32,7 +32,9 @@ REP = "report"
 Builder = Callable[[dict, Params], DataFrame]
 SHARED: dict[str, tuple[tuple[str, ...], Builder]] = {
     "referrers": ((OPP,), lambda t, p: referral.referral_summary(t[OPP], p)),
-    "sides": ((OPP,), lambda t, p: clients.won_totals_by_side(t[OPP], p)),
+    "totals": ((OPP,), lambda t, p: clients.won_totals_by_side(t[OPP], p)),
+    "ranked_side": ((ACC, "totals"), lambda t, p: clients.ranked_side(t["totals"], t[ACC])),
+    "client_side": ((ACC, "totals"), lambda t, p: clients.client_side(t["totals"], t[ACC])),
     "cpas": ((OPP,), lambda t, p: clients.cpa_client_summary(t[OPP], p)),
     "win_rates": ((OPP,), lambda t, p: referral.win_pct_summary(t[OPP], p)),
     "dedup": ((REP,), lambda t, p: cycles.report_dedup(t[REP], p)),
@@ -59,11 +61,12 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Builder]] = {
     "referral_share_by_year": ((OPP,), lambda t, p: referral.referral_share_by_year(t[OPP], p)),
     "referral_share_dual_axis": ((OPP,), lambda t, p: referral.referral_share_dual_axis(t[OPP], p)),
     "client_cpa_edges": ((OPP,), lambda t, p: clients.client_cpa_edges(t[OPP], p)),
-    "client_cpa_summary": ((OPP, ACC), lambda t, p: clients.client_cpa_summary(t[OPP], t[ACC], p)),
-    "endclient_referral_summary": ((OPP, ACC, "sides"), lambda t, p: clients.sales_referral_full(
-        t[OPP], t[ACC], p, t["sides"])),
-    "ranked_accounts_with_client_summary": ((OPP, ACC, "sides"), lambda t, p: clients.sales_referral_left(
-        t[OPP], t[ACC], p, t["sides"])),
+    "client_cpa_summary": (("client_side",), lambda t, p: t["client_side"]),
+    "endclient_referral_summary": ((OPP, ACC, "ranked_side", "client_side"), lambda t, p: clients.sales_referral_full(
+        t[OPP], t[ACC], p, (t["ranked_side"], t["client_side"]))),
+    "ranked_accounts_with_client_summary": ((OPP, ACC, "ranked_side", "client_side"),
+                                            lambda t, p: clients.sales_referral_left(
+                                                t[OPP], t[ACC], p, (t["ranked_side"], t["client_side"]))),
     "cpa_client_pairs": ((OPP,), lambda t, p: clients.cpa_client_pairs(t[OPP], p)),
     "cpa_client_summary": (("cpas",), lambda t, p: t["cpas"]),
     "cpa_client_avg": ((OPP, "cpas"), lambda t, p: clients.cpa_client_avg(t[OPP], p, t["cpas"])),

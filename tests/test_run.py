@@ -1,7 +1,7 @@
 """End-to-end runner on landed tables."""
 
 from acvlens.params import FIXTURE_PARAMS as P
-from acvlens.plans import cycles, penetration, referral
+from acvlens.plans import clients, cycles, penetration, referral
 from acvlens.run import ANALYSES, SHARED, load_inputs, run_all
 from acvlens.sources import fixtures as fx
 from acvlens.sources import tables
@@ -25,6 +25,8 @@ def test_run_all_on_landed_inputs(spark, tmp_dir):
         "acv_by_service_lines_fmt": penetration.acv_by_service_lines_fmt(rep, P),
         "win_pct_display": referral.win_pct_display(opp, P),
         "ranked_accounts_by_acv": referral.referral_ranked(opp, acc, P),
+        "client_cpa_summary": clients.client_cpa_summary(opp, acc, P),
+        "endclient_referral_summary": clients.sales_referral_full(opp, acc, P),
         "referral_account_acv": referral.referral_account_acv(opp, P)}
     for name, want in direct.items():
         got = spark.read.parquet(f"{tmp_dir}/out/{name}")
