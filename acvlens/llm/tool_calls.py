@@ -2,9 +2,10 @@
 
 Calls and results are hash-joined on (conversation, call id).  Calls that need
 other calls' results are put in topological order: a level is one more than the
-highest level among the calls it needs, found by peeling off, round by round,
-the calls whose needs are all met (rounds: the longest chain of needs).  The
-arguments are parsed and validated against the tool's schema, and each call is
+highest level among the calls it needs.  Chains of calls with one need each
+are shortened by pointer doubling (rounds: the logarithm of their length);
+calls with several needs are then peeled off, round by round, as their needs
+are met (rounds: how many of them follow one another).  The arguments are parsed and validated against the tool's schema, and each call is
 written as one line of canonical JSON (sorted keys, no spaces, UTF-8).
 
 Scale.  All steps are joins and aggregates on (conversation, call id); no
@@ -99,16 +100,64 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
 
     ``needs`` (conv_id, call_id, need) names calls in ``calls`` only.
     """
-    pending = stash(needs.distinct())
-    waiting = pending.select(*KEY).distinct()
-    ready = stash(_without(calls.select(*KEY).distinct(), waiting))
-    done, level = ready.withColumn("level", F.lit(0)), 0
-    while not ready.isEmpty() and not pending.isEmpty():
-        level += 1
-        left = stash(_without(pending, ready.select("conv_id", F.col("call_id").alias("need")), "need"))
-        ready = stash(_without(pending.select(*KEY).distinct(), left.select(*KEY).distinct()))
-        done = done.union(ready.withColumn("level", F.lit(level)))
-        pending = left
+    needs = stash(needs.distinct())
+    nodes = calls.select(*KEY).distinct()
+    counted = needs.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.min("need").alias("need"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    # Each call points along its chain; the ends of chains (no need, or several) point to themselves.
+    paths = stash(_joined(nodes, counted, "left").select(
+        *KEY, F.when(one, F.col("need")).otherwise(F.col("call_id")).alias("to"), one.cast("long").alias("steps"),
+        (~one).alias("ends")))
+    paths = paths.select(*KEY, "to", "steps", F.col("ends").alias("at_end"))
+    open_, before = _open(paths), None
+    while open_ and open_ != before:
+        ahead = paths.select("conv_id", F.col("call_id").alias("via"), F.col("to").alias("far"),
+                             F.col("steps").alias("more"), F.col("at_end").alias("far_end"))
+        a, b = paths.alias("a"), ahead.alias("b")
+        same = F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & F.col("a.to").eqNullSafe(F.col("b.via"))
+        paths = stash(a.join(b, same).select(
+            "a.conv_id", "a.call_id", F.when(F.col("a.at_end"), F.col("a.to")).otherwise(F.col("b.far")).alias("to"),
+            (F.col("a.steps") + F.when(F.col("a.at_end"), 0).otherwise(F.col("b.more"))).alias("steps"),
+            (F.col("a.at_end") | F.col("b.far_end")).alias("at_end")))
+        before, open_ = open_, _open(paths)
+    paths = paths.where("at_end")
+    return _add_ends(paths, _end_levels(paths, needs, counted))
+
+
+def _open(paths: DataFrame) -> int:
+    return paths.where("NOT at_end").count()
+
+
+def _add_ends(paths: DataFrame, ends: DataFrame) -> DataFrame:
+    """Levels of all calls from the levels of the ends of their chains."""
+    p, e = paths.alias("p"), ends.alias("e")
+    same = F.col("p.conv_id").eqNullSafe(F.col("e.conv_id")) & F.col("p.to").eqNullSafe(F.col("e.call_id"))
+    return p.join(e, same).select("p.conv_id", "p.call_id", (F.col("e.level") + F.col("p.steps")).cast("int").alias("level"))
+
+
+def _end_levels(paths: DataFrame, needs: DataFrame, counted: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the chain ends: 0 without needs, else by peeling off those with several."""
+    several = counted.where("n > 1").select(*KEY)
+    ends = paths.where("steps = 0").select(*KEY)
+    done = stash(_without(ends, several).withColumn("level", F.lit(0).cast("long")))
+    wanted = _joined(needs, several, "left_semi").alias("w")
+    p = paths.alias("p")
+    same = F.col("w.conv_id").eqNullSafe(F.col("p.conv_id")) & F.col("w.need").eqNullSafe(F.col("p.call_id"))
+    # Needs on a circle have no path: the call that has them waits for ever.
+    pending = stash(wanted.join(p, same, "left").select(
+        "w.conv_id", "w.call_id", F.col("p.to").alias("to"), F.col("p.steps").alias("steps"),
+        F.col("p.call_id").isNull().alias("lost")))
+    while not pending.isEmpty():
+        d, q = done.alias("d"), pending.alias("q")
+        same = F.col("q.conv_id").eqNullSafe(F.col("d.conv_id")) & F.col("q.to").eqNullSafe(F.col("d.call_id"))
+        known = q.join(d, same, "left").groupBy("q.conv_id", "q.call_id").agg(
+            F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("q.lost"), F.col("d.level"))).alias("met"),
+            (F.max(F.col("d.level") + F.col("q.steps")) + 1).alias("level"))
+        new = stash(known.where("n = met").select(*KEY, "level"))
+        if new.isEmpty():
+            break
+        done = stash(done.union(new))
+        pending = stash(_without(pending, new))
     return done
 
 

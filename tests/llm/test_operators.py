@@ -292,6 +292,25 @@ def test_levels_and_links(spark):
     assert got[None, None].status == "linked"
 
 
+def test_levels_of_long_chains_and_random_needs(spark):
+    rng = random.Random(14)
+    chain = [(1, f"c{k}", f"c{k - 1}") for k in range(1, 300)]
+    graph = [(2, f"g{k}", f"g{j}") for k in range(1, 40) for j in rng.sample(range(k), min(k, rng.randrange(4)))]
+    circle = [(3, "a", "b"), (3, "b", "c"), (3, "c", "a"), (3, "d", "a"), (3, "d", "e"), (3, "f", "e")]
+    needs = chain + graph + circle
+    nodes = {(c, x) for c, a, b in needs for x in (a, b)}
+    got = tool_calls.levels(spark.createDataFrame(sorted(nodes), "conv_id long, call_id string"),
+                            spark.createDataFrame(needs, "conv_id long, call_id string, need string"))
+    order = {}
+    own = {}
+    for c, a, b in needs:
+        own.setdefault((c, a), []).append((c, b))
+    for n in sorted(nodes, key=lambda n: (n[0], int(n[1][1:]) if n[0] < 3 else 0, n[1] != "e")):
+        if n[0] < 3 or n[1] in "ef":
+            order[n] = max((order[m] + 1 for m in own.get(n, ())), default=0)
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == order
+
+
 def test_conversations_in_order(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"text {t} four words") for t in range(8)]
     rows += [(1, 0, "user", "text 0 four words"), (2, 0, "system", "hi"), (2, 1, "user", None), (None, 0, "user", "a")]
