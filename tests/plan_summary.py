@@ -38,8 +38,8 @@ def main(argv):
     print(f"Generated by `tests/plan_summary.py` at `{sf_dir}` on local[8] (final adaptive plans). "
           "At cluster scale AQE decides broadcast vs sort-merge by the measured sizes, so fact-sized "
           "joins that are broadcast here (orders, part at this scale factor) sort-merge there; the "
-          "shuffle structure is the same. Materialized (checkpointed) intermediates appear as "
-          "`Scan ExistingRDD`; shuffles include those of the materialize jobs' inputs only when in "
+          "shuffle structure is the same. Materialized intermediates appear as Parquet scans; "
+          "shuffles include those of the materialize jobs' inputs only when in "
           "the same plan.\n")
     print("Columns read: the number of columns each Parquet scan reads (after pruning), per scan.\n")
     print("| Query | shuffles | broadcasts | scans (cols read) | joins | aggregates | windows | explode |")
