@@ -150,7 +150,7 @@ def select_good(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) ->
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, expected_grade, p_poor_or_good, p_good, selected for every row of ``docs``."""
+    """doc_id, expected_grade, p_good and selected for every row of ``docs``."""
     rated = rate(key_text(docs), fit(docs, labels)).select("doc_id", "rating.*")
     return rated.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"),
                         F.round("p_good", 9).alias("p_good"), "selected")
