@@ -32,6 +32,7 @@ from .features import text_features
 
 SAMPLE_ROWS = 16384
 BITS = 18
+BLOCK_ROWS = 1024
 KEEP_AT = 0.5
 
 
@@ -61,7 +62,10 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades:
     says how many belong to each row.
     """
     n, width = len(sizes), 1 << bits
-    of = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    # Rows are worked on in blocks, so that a step's temporary arrays stay small.
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    blocks = [(a, min(a + BLOCK_ROWS, n)) for a in range(0, n, BLOCK_ROWS)]
+    parts = [(a, b, index[ends[a]:ends[b]], value[ends[a]:ends[b]], sizes[a:b]) for a, b in blocks]
     share = np.array([(grades > k).mean() for k in range(n_grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     # Thresholds as the first one and the logarithms of the gaps: always ordered.
@@ -70,19 +74,23 @@ def fit_ordinal(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, grades:
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t = p[:width], _thresholds(p[width:])
-        s = np.bincount(of, weights=w.astype(np.float32)[index] * value, minlength=n)
+        short = w.astype(np.float32)
+        s = np.concatenate([np.bincount(np.repeat(np.arange(b - a), k), weights=short[i] * x, minlength=b - a)
+                            for a, b, i, x, k in parts])
         bound = np.concatenate([[-np.inf], t, [np.inf]])
-        a, b = _sigmoid(bound[grades + 1] - s), _sigmoid(bound[grades] - s)
-        a, b = np.where(grades == n_grades - 1, 1.0, a), np.where(grades == 0, 0.0, b)
-        within = np.maximum(a - b, 1e-9)
-        by_score = ((1 - a - b) / n).astype(np.float32)
+        up, down = _sigmoid(bound[grades + 1] - s), _sigmoid(bound[grades] - s)
+        up, down = np.where(grades == n_grades - 1, 1.0, up), np.where(grades == 0, 0.0, down)
+        within = np.maximum(up - down, 1e-9)
+        by_score = ((1 - up - down) / n).astype(np.float32)
         grad_t = np.zeros(n_grades + 1)
-        np.add.at(grad_t, grades + 1, -a * (1 - a) / within / n)
-        np.add.at(grad_t, grades, b * (1 - b) / within / n)
+        np.add.at(grad_t, grades + 1, -up * (1 - up) / within / n)
+        np.add.at(grad_t, grades, down * (1 - down) / within / n)
         g_t = grad_t[1:-1]
         gaps = np.exp(p[width + 1:])
-        g = np.concatenate([np.bincount(index, weights=by_score[of] * value, minlength=width) + prior / n * w,
-                            [g_t.sum()], [g_t[k + 1:].sum() * gaps[k] for k in range(len(gaps))]])
+        g_w = prior / n * w
+        for a, b, i, x, k in parts:
+            g_w += np.bincount(i, weights=np.repeat(by_score[a:b], k) * x, minlength=width)
+        g = np.concatenate([g_w, [g_t.sum()], [g_t[j + 1:].sum() * gaps[j] for j in range(len(gaps))]])
         m = 0.9 * m + 0.1 * g
         v = 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8) * (1 - step / (steps + 1))
