@@ -11,8 +11,8 @@ at the first smallest hash among them, which depends on the text alone as well.
 Chunks are deduplicated by a 64-bit digest: one aggregate gives each digest's
 documents (first and last row, smallest doc_id).  Chunks in more than one
 document are joined back, runs of adjacent ones in a document are put
-together, and runs of ``least_words`` words or more are reported.  Chance
-repeats of a single short chunk and shared short lines fall below that.
+together, and runs of ``least_words`` words or more are reported, in one span
+for each stretch of chunks with the same keeper.  Chance repeats of a single short chunk and shared short lines fall below that.
 
 Scale.  Chunking is map-only and stored packed (one row per document).  The
 aggregate by digest is map-side combined, so a passage that a third of the
@@ -105,8 +105,10 @@ def chunk_table(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Repeated passages: doc_id, start, end (characters), n_words, n_chunks, keep_doc_id, removable.
 
-    One row per run of chunks that other documents hold too.  keep_doc_id is
-    the smallest doc_id among the holders; ``removable`` is false in the keeper.
+    One row per span: adjacent chunks that other documents hold too, with the
+    same keep_doc_id (the smallest doc_id among a chunk's holders).  The word
+    threshold holds for a run of spans side by side, so a span may be shorter.
+    ``removable`` is false in the keeper.
     """
     return _spans(docs, least_words).select("doc_id", "start", "end", "n_words", "n_chunks", "keep_doc_id", "removable")
 
@@ -125,13 +127,15 @@ def _spans(docs: DataFrame, least_words: int) -> DataFrame:
              .withColumn("end", F.col("start") + F.shiftright("at", 8).bitwiseAND(255))
              .withColumn("words", F.col("at").bitwiseAND(255)))
     opens = (~F.lag("end").over(own).eqNullSafe(F.col("start"))).cast("int")
-    runs = place.withColumn("opens", opens).withColumn("run", F.sum("opens").over(own))
-    return (runs.groupBy("row", "run")
+    turns = F.col("opens").bitwiseOR((~F.lag("keep").over(own).eqNullSafe(F.col("keep"))).cast("int"))
+    runs = (place.withColumn("opens", opens).withColumn("turns", turns)
+            .withColumn("run", F.sum("opens").over(own)).withColumn("span", F.sum("turns").over(own)))
+    return (runs.groupBy("row", "run", "span")
             .agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keep").alias("keep_doc_id"),
-                 F.max((~F.col("doc_id").eqNullSafe(F.col("keep"))).cast("int")).alias("other"))
-            .where(F.col("n_words") >= least_words)
-            .withColumn("removable", F.col("other") == 1))
+                 F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keep").alias("keep_doc_id"))
+            .withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")))
+            .where(F.col("run_words") >= least_words)
+            .withColumn("removable", ~F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))))
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

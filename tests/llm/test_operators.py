@@ -444,6 +444,22 @@ def test_remove_repeats_leaves_one_copy(spark):
     assert got[2].endswith(b[60:]) and len(got[2]) < len(b) + 200
 
 
+def test_every_shared_chunk_stays_in_its_keeper(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(_words(rng, 120, 9000)) for _ in range(3))
+    rows = [(1, a), (2, f"{a} {b}"), (3, f"{a} {b}"), (4, b), (5, f"{c} {a} {b}"), (6, f"{c} {a} {b}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = chunk_dedup.repeated_spans(docs).collect()
+    assert all(r.removable == (r.doc_id != r.keep_doc_id) for r in spans)
+    assert {r.keep_doc_id for r in spans if r.doc_id == 2} == {1, 2}
+    left = {r.doc_id: r.text for r in chunk_dedup.remove_repeats(docs).collect()}
+    assert left[1] == a and b[200:-200] in left[2] and c[200:-200] in left[5]
+    text = dict(rows)
+    for r in spans:
+        assert text[r.doc_id][r.start:r.end] in left[r.keep_doc_id]
+    assert sum(len(t) for t in left.values()) < 1.7 * len(a + b + c)
+
+
 # Sharding
 
 def _capacity(sizes, shards):
