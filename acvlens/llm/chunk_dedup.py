@@ -1,23 +1,31 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 A 16-bit gear hash rolls over the bytes of a text (each step shifts it by one
-and adds a number for the byte, so it depends on the last 16 bytes).  A chunk
-ends where its top bits are zero, at least ``LEAST`` bytes after the chunk's start and
-at a character's first byte.  So chunks depend on
-the text around them alone, and an insertion changes only the chunks it touches.
-Where no place ends a chunk for ``MOST`` bytes (one word over and over) it ends
-at the first smallest hash among them, which depends on the text alone as well.
-
-Chunks are deduplicated by a 64-bit digest: one aggregate gives each digest's
-documents (first and last row, smallest doc_id).  Chunks in more than one
-document are joined back, runs of adjacent ones in a document are put
-together, and runs of ``least_words`` words or more are reported, in one span
-for each stretch of chunks with the same keeper.  Chance repeats of a single short chunk and shared short lines fall below that.
+and adds a number for the byte, so it depends on the last 16 bytes).  Cuts are
+allowed where words begin, and anywhere in a stretch of 16 bytes in which none
+begins.  Of each ``WINDOW`` adjacent allowed places the one of smallest hash (the
+last of equal ones) is a cut.  So a place is chosen by the text around it alone, never by
+the cut before it: two texts that share a passage have the same cuts from the
+choice of its first whole window to that of its last, however they differ outside.
+
+Chunks are compared as blocks: a chunk and those that follow it until
+``least_words`` words have begun.  One aggregate gives the 64-bit digest of each block its
+documents (first and last row, smallest doc_id, the keeper).  Blocks in more than one
+document are joined back, and the text that they cover is reported, in one span
+for each stretch with the same keeper.  Every block in common is a
+shared passage of ``least_words`` words or more, so chance repeats of short chunks and shared short
+lines do not count.  Every shared passage of
+least_words + 2 WINDOW + 7 words is found: 8 words at most begin in the 16 bytes
+the first hash needs, and less than WINDOW words are lost at either end, so
+``least_words`` are left (51 words for the values below).
+
+The keeper of a block holds the whole block, and is not removable in any part of it; so what
+is removed elsewhere stays, with least_words words around it, in its keeper.
 
 Scale.  Chunking is map-only and stored packed (one row per document).  The
 aggregate by digest is map-side combined, so a passage that a third of the
 documents share costs one row per task; the join back is an inner join that AQE
-can split; runs are formed per document, whose chunks its own length bounds.
+can split; spans are formed per document, whose chunks its own length bounds.
 No pairs of documents are formed: each passage is linked to its keeper.
 
 Defined cases: null or empty text has no chunks; a repeat inside one document
@@ -28,17 +36,19 @@ a null keeper); an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_bytes, fresh, key_text, slices, stash
 
-LEAST, MOST, BITS = 24, 96, 4
+WINDOW = 14
 LEAST_WORDS = 16
 
 _GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 8) & 0xFFFF for b in range(256)], np.uint16)
@@ -59,20 +69,20 @@ def cut_points(text: bytes) -> tuple[list[int], np.ndarray]:
     """Ends of the text's chunks (byte positions), and the text as an array."""
     data = np.frombuffer(text, np.uint8)
     size = len(data)
-    # Hash before each position at which a cut is allowed (a character begins there).
-    h = np.full(size + 1, 0xFFFF, np.uint16)
-    h[1:] = gear_hash(data)
-    h[:size][(data & 0xC0) == 0x80] = 0xFFFF
-    ends = np.flatnonzero(h[1:size] >> np.uint16(16 - BITS) == 0) + 1
-    cuts, last = [], 0
-    for at in [*ends.tolist(), size]:
-        while at - last > MOST:
-            last += LEAST + int(h[last + LEAST:last + MOST + 1].argmin())
-            cuts.append(last)
-        if at - last >= LEAST or at == size > last:
-            cuts.append(at)
-            last = at
-    return cuts, data
+    space = _IS_SPACE[data]
+    begins = np.zeros(size, bool)   # a word begins at this byte
+    begins[1:] = space[:-1] & ~space[1:]
+    known = np.concatenate([[0], np.cumsum(begins)])
+    bare = np.zeros(size, bool)     # none begins at this byte and the 15 before it
+    if size > 16:
+        bare[16:] = known[17:] == known[1:size - 15]
+    at = np.flatnonzero(begins | (bare & ((data & 0xC0) != 0x80)))
+    if len(at) < WINDOW:
+        return [size], data
+    h = gear_hash(data)[at - 1]
+    windows = np.lib.stride_tricks.sliding_window_view(h[::-1], WINDOW)
+    last = len(at) - 1 - np.arange(len(windows)) - windows.argmin(axis=1)   # of equal ones the last
+    return [*at[np.unique(last)].tolist(), size], data
 
 
 def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -89,53 +99,100 @@ def chunks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return digests, chars[:-1] << 16 | np.diff(chars) << 8 | np.diff(begun)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, digests, places): the packed chunks of every row of ``docs``."""
+def blocks(digests: np.ndarray, places: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digest and end (in chunks) of the blocks at the first chunks, and the chunks' edges: start << 32 | words before."""
+    words = np.concatenate([[0], np.cumsum(places & 255)])
+    chars = np.concatenate([[0], np.cumsum(places >> 8 & 255)])
+    ends = np.searchsorted(words, words[:-1] + least_words)
+    ends = ends[ends < len(words)]
+    h, body = xxhash.xxh3_64_intdigest, digests.tobytes()
+    of = np.fromiter((h(body[8 * k:8 * e]) for k, e in enumerate(ends.tolist())), np.uint64, len(ends)).view(np.int64)
+    return of, ends, chars << 32 | words
+
+
+def block_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc_id, row, digests, ends, edges): the packed blocks of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            rows = [chunks(t) for t in batches_bytes(batch, "text")]
+            rows = [blocks(*chunks(t), least_words) for t in batches_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([d for d, _ in rows], pa.list_(pa.int64())),
-                 pa.array([p for _, p in rows], pa.list_(pa.int64()))], names=["doc_id", "row", "digests", "places"])
+                [batch.column("doc_id"), batch.column("row"),
+                 *(pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64())))],
+                names=["doc_id", "row", "digests", "ends", "edges"])
 
     named = key_text(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    return named.mapInArrow(run, "doc_id long, row long, digests array<long>, places array<long>")
+    return named.mapInArrow(run, "doc_id long, row long, digests array<long>, ends array<int>, edges array<long>")
+
+
+def spans_of(doc_id: int | None, found: list[tuple]) -> list[tuple]:
+    """Spans (start, end, words, chunks, keeper) of one document from its repeated blocks.
+
+    A block is (first chunk, end, edge there, edge at the end, keeper).  A piece
+    between ends of blocks belongs to the document itself if it keeps a block
+    over it, and else to the smallest keeper.
+    """
+    found = sorted(found, key=itemgetter(0))
+    edge = {x[0]: x[2] for x in found} | {x[1]: x[3] for x in found}
+    cuts, spans = sorted(edge), []
+    least, own, n = deque(), -1, 0   # (keeper, end) from the smallest keeper on; end of the last block kept here
+    for p, q in zip(cuts, cuts[1:]):
+        while n < len(found) and found[n][0] <= p:
+            end, keep = found[n][1], found[n][4]
+            if keep == doc_id:
+                own = end
+            else:
+                while least and least[-1][0] >= keep:
+                    least.pop()
+                least.append((keep, end))
+            n += 1
+        while least and least[0][1] <= p:
+            least.popleft()
+        if own <= p and not least:
+            continue
+        keep = doc_id if own > p else least[0][0]
+        if spans and spans[-1][1:] == (p, keep):
+            spans[-1] = (spans[-1][0], q, keep)
+        else:
+            spans.append((p, q, keep))
+    return [(edge[p] >> 32, edge[q] >> 32, (edge[q] & 0xFFFFFFFF) - (edge[p] & 0xFFFFFFFF), q - p, keep)
+            for p, q, keep in spans]
 
 
 def repeated_spans(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Repeated passages: doc_id, start, end (characters), n_words, n_chunks, keep_doc_id, removable.
 
-    One row per span: adjacent chunks that other documents hold too, with the
-    same keep_doc_id (the smallest doc_id among a chunk's holders).  The word
-    threshold holds for a run of spans side by side, so a span may be shorter.
+    One row per span: text in blocks that other documents hold too, with the
+    same keep_doc_id (the smallest doc_id among a block's holders).  The word
+    threshold holds for the blocks, so a span between others may be shorter.
     ``removable`` is false in the keeper.
     """
     return _spans(docs, least_words).select("doc_id", "start", "end", "n_words", "n_chunks", "keep_doc_id", "removable")
 
 
 def _spans(docs: DataFrame, least_words: int) -> DataFrame:
-    table = stash(chunk_table(docs), compression="zstd")
+    table = stash(block_table(docs, least_words), compression="zstd")
     held = (table.select("doc_id", "row", F.explode("digests").alias("digest")).groupBy("digest")
             .agg(F.min("row").alias("low"), F.max("row").alias("high"), F.min("doc_id").alias("keep")))
     shared = stash(held.where("low != high").select("digest", "keep"))
-    found = (table.select("doc_id", "row", F.explode(F.arrays_zip("digests", "places")).alias("c"))
-             .select("doc_id", "row", F.col("c.digests").alias("digest"), F.col("c.places").alias("at"))
-             .join(shared, "digest").select("doc_id", "row", "at", "keep"))
-    own = Window.partitionBy("row").orderBy("at")
-    place = (found.withColumn("again", F.lag("at").over(own).eqNullSafe(F.col("at"))).where("NOT again")
-             .withColumn("start", F.shiftright("at", 16))
-             .withColumn("end", F.col("start") + F.shiftright("at", 8).bitwiseAND(255))
-             .withColumn("words", F.col("at").bitwiseAND(255)))
-    opens = (~F.lag("end").over(own).eqNullSafe(F.col("start"))).cast("int")
-    turns = F.col("opens").bitwiseOR((~F.lag("keep").over(own).eqNullSafe(F.col("keep"))).cast("int"))
-    runs = (place.withColumn("opens", opens).withColumn("turns", turns)
-            .withColumn("run", F.sum("opens").over(own)).withColumn("span", F.sum("turns").over(own)))
-    return (runs.groupBy("row", "run", "span")
-            .agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
-                 F.sum("words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keep").alias("keep_doc_id"))
-            .withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")))
-            .where(F.col("run_words") >= least_words)
-            .withColumn("removable", ~F.col("doc_id").eqNullSafe(F.col("keep_doc_id"))))
+    block = "transform(digests, (d, k) -> struct(d AS digest, k, ends[k] AS e, edges[k] AS a, edges[ends[k]] AS b))"
+    found = (table.select("doc_id", "row", F.inline(F.expr(block))).join(shared, "digest")
+             .groupBy("row").agg(F.min("doc_id").alias("doc_id"),
+                                 F.collect_set(F.struct("k", "e", "a", "b", "keep")).alias("found")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, rows = batch.column("found"), []
+            at, parts = found.offsets.to_pylist(), found.values.flatten()
+            for i, (row, doc_id) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id")))):
+                own = [x.slice(at[i], at[i + 1] - at[i]).to_pylist() for x in parts]
+                rows += [(row, doc_id, *span, span[-1] != doc_id) for span in spans_of(doc_id, list(zip(*own)))]
+            kinds = [pa.int64()] * 7 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                names=["row", "doc_id", "start", "end", "n_words", "n_chunks", "keep_doc_id", "removable"])
+
+    return found.mapInArrow(run, "row long, doc_id long, start long, end long, n_words long, n_chunks long, "
+                                 "keep_doc_id long, removable boolean")
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

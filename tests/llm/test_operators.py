@@ -433,6 +433,40 @@ def test_chunks_resist_an_insertion():
     assert (starts[1:] == (starts + lengths)[:-1]).all() and lengths.sum() == 900 and (places & 255).sum() == 300
 
 
+@pytest.mark.parametrize("letters, shortest, longest", [("abcdefg", 1, 1), ("a", 1, 1), ("abcdefghij", 2, 4), ("the", 3, 3), ("aé語", 1, 60)])
+def test_every_passage_of_51_words_shares_a_block(letters, shortest, longest):
+    rng = random.Random(11)
+    def words(n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(shortest, longest))) for _ in range(n))
+
+    for _ in range(150):
+        passage, found = words(51), []
+        for _ in range(2):
+            text = f"{words(rng.randrange(80))}\n {passage} {words(rng.randrange(80))}"
+            digests, places = chunk_dedup.chunks(text.encode())
+            assert (places >> 8 & 255).sum() == len(text)
+            found.append(set(chunk_dedup.blocks(digests, places, 16)[0].tolist()))
+        assert found[0] & found[1]
+
+
+def test_every_pair_that_shares_51_words_is_reported(spark):
+    rng = random.Random(12)
+    def text(n, longest):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(min(2, longest), longest))) for _ in range(n))
+
+    rows = []
+    for i in range(0, 600, 2):
+        longest = (1, 4, 9)[i // 2 % 3]
+        passage = text(51, longest)
+        rows += [(k, f"{text(rng.randrange(90), longest)}\n{passage} {text(rng.randrange(90), longest)}") for k in (i, i + 1)]
+    got = chunk_dedup.repeated_spans(spark.createDataFrame([*rows, (999, text(300, 9)), (998, " ".join(text(9, 4).split() * 2))],
+                                                           "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in got} == {i for i, _ in rows}
+    assert all(r.keep_doc_id == r.doc_id // 2 * 2 and r.removable == (r.doc_id % 2 == 1) and r.n_words >= 16 for r in got)
+    text_of = dict(rows)
+    assert all(text_of[r.doc_id][r.start:r.end] in text_of[r.keep_doc_id] for r in got)
+
+
 def test_remove_repeats_leaves_one_copy(spark):
     rng = random.Random(9)
     p = " ".join(_words(rng, 80, 9000))
