@@ -29,7 +29,7 @@ can split; spans are formed per document, whose chunks its own length bounds.
 No pairs of documents are formed: each passage is linked to its keeper.
 
 Defined cases: null or empty text has no chunks; a repeat inside one document
-alone does not count; identical rows (same doc_id and text) count as one
+alone does not count (``repeats_within`` reports those); identical rows (same doc_id and text) count as one
 document; a null doc_id is kept (a passage whose documents all lack an id has
 a null keeper); an empty table gives an empty result.
 """
@@ -195,6 +195,52 @@ def _spans(docs: DataFrame, least_words: int) -> DataFrame:
                                  "keep_doc_id long, removable boolean")
 
 
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    if not spans or text is None:
+        return text
+    return "".join(text[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(text)]))
+
+
+def inner_spans(text: bytes, least_words: int = LEAST_WORDS) -> list[tuple]:
+    """Spans (start, end, words, chunks, 0 first / 1 again) of the blocks that occur more than once in a text."""
+    digests, ends, edges = blocks(*chunks(text), least_words)
+    _, first, which, times = np.unique(digests, return_index=True, return_inverse=True, return_counts=True)
+    at = np.flatnonzero(times[which] > 1)
+    again = (first[which[at]] != at).astype(int)
+    return spans_of(0, list(zip(*(x.tolist() for x in (at, ends[at], edges[at], edges[ends[at]], again)))))
+
+
+def repeats_within(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Passages that a document holds more than once: doc_id, start, end, n_words, n_chunks, removable.
+
+    Map-only and apart from ``repeated_spans``.  The first occurrence of each
+    block is whole and not ``removable``; what lies only in later ones is.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            rows = [(doc_id, *span) for doc_id, t in zip(batch.column("doc_id").to_pylist(), batches_bytes(batch, "text"))
+                    for span in inner_spans(t, least_words)]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([r[k] for r in rows], pa.int64()) for k in range(5)), pa.array([r[5] == 1 for r in rows], pa.bool_())],
+                names=["doc_id", "start", "end", "n_words", "n_chunks", "removable"])
+
+    return key_text(docs).mapInArrow(run, "doc_id long, start long, end long, n_words long, n_chunks long, removable boolean")
+
+
+def remove_within(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the first of the passages that a document repeats alone (all columns, texts shortened)."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = [_without(t, [s[:2] for s in inner_spans((t or "").encode(), least_words) if s[4]])
+                     for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with each repeated passage left in its keeper alone (all columns, texts shortened)."""
     row, cut = fresh("row", docs), fresh("cuts", docs)
@@ -206,11 +252,7 @@ def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
         for batch in batches:
             texts = []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column(cut).to_pylist()):
-                if spans and text is not None:
-                    ends = [0, *(s["end"] for s in spans)]
-                    starts = [*(s["start"] for s in spans), len(text)]
-                    text = "".join(text[a:b] for a, b in zip(ends, starts))
-                texts.append(text)
+                texts.append(_without(text, [(s["start"], s["end"]) for s in spans or []]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
 

@@ -494,6 +494,20 @@ def test_every_shared_chunk_stays_in_its_keeper(spark):
     assert sum(len(t) for t in left.values()) < 1.7 * len(a + b + c)
 
 
+def test_repeats_within_a_document(spark):
+    rng = random.Random(13)
+    p, a, b, c = (" ".join(_words(rng, n, 9000)) for n in (60, 90, 90, 90))
+    rows = [(1, f"{a} {p} {b} {p} {c}", "x"), (2, f"{a[:200]} {c}", "y"), (3, None, "z"), (4, "", "z"), (None, "same " * 90, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(2)
+    got = chunk_dedup.repeats_within(docs).collect()
+    assert {(r.doc_id, r.removable) for r in got} == {(1, False), (1, True), (None, False), (None, True)}
+    assert all(rows[0][1][r.start:r.end] in p + " " and r.n_words >= 16 for r in got if r.doc_id == 1)
+    left = {r.doc_id: (r.text, r.row) for r in chunk_dedup.remove_within(docs).collect()}
+    assert left[1][0].startswith(f"{a} {p} {b}") and left[1][0].endswith(c) and len(left[1][0]) < len(rows[0][1]) - 100
+    assert [left[k] for k in (2, 3, 4)] == [r[1:] for r in rows[1:4]]
+    assert left[None][0] in {"same " * n for n in range(16, 46)}
+
+
 # Sharding
 
 def _capacity(sizes, shards):
