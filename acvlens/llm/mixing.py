@@ -7,6 +7,9 @@ sum_i r_i * tokens_i * p_i match the targets, by projected gradient steps on
 the (scaled) squared error.  Steps are taken in the token-weighted inner
 product, where the gradient of a document is its posterior times the scaled
 error: documents of equal posterior get equal rates whatever their length.
+Where these steps stall or run out before the targets are met (overlapping
+posteriors), Newton steps on the dual follow; an error that remains after them
+is in ``Rates`` and in a warning, per domain.
 
 Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate);
 the rates of a few steps are one expression, written out every ``CHUNK`` steps.
@@ -27,6 +30,7 @@ alike.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -114,6 +118,10 @@ class Rates:
     targets: np.ndarray
     totals: np.ndarray
 
+    def off(self) -> float:
+        """Largest error of a domain's total."""
+        return float(np.abs(self.totals - self.targets).max())
+
     def of(self, posteriors: np.ndarray) -> np.ndarray:
         rate = np.full(len(posteriors), self.start)
         for move in self.moves:
@@ -167,22 +175,72 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
     scale = 1 / np.maximum(np.diag(h), 1e-12)
     step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * h * np.sqrt(scale)).max()
     state, rate = mixed.select("mix.tokens", "mix.p"), f"{start!r}D"
-    while len(rates.moves) < steps:
-        if np.abs(rates.totals - rates.targets).max() <= TOLERANCE * total:
-            break
-        move = step * scale * (rates.totals - rates.targets)
+
+    def moved(move: np.ndarray) -> str:
         slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
-        rate = f"greatest({rates.least!r}D, {rate} - ({slope}))"
+        return f"greatest({rates.least!r}D, {rate} - ({slope}))"
+
+    def reached(rate: str) -> np.ndarray:
+        return np.array(state.agg(*[F.sum(F.expr(f"tokens * p[{a}] * {rate}")) for a in range(k)]).first())
+
+    def take(move: np.ndarray) -> None:
+        nonlocal state, rate
+        rate = moved(move)
         rates.moves.append(move)
         if len(rates.moves) % CHUNK == 0:
             state, rate = stash(state.select("tokens", "p", F.expr(rate).alias("rate"))), "rate"
-        got = state.agg(*[F.sum(F.expr(f"tokens * p[{a}] * {rate}")) for a in range(k)]).first()
-        before, rates.totals = rates.totals, np.array(got)
+
+    while len(rates.moves) < steps and rates.off() > TOLERANCE * total:
+        take(step * scale * (rates.totals - rates.targets))
+        before, rates.totals = rates.totals, reached(rate)
         if np.abs(rates.totals - before).max() <= STALL * total:
             break
+    if rates.off() > TOLERANCE * total:
+        _ascend(mixed.select("mix.tokens", "mix.p"), pairs, start, rates, total, steps)
+    if rates.off() > TOLERANCE * total:
+        warnings.warn("mixing: domain totals are off target by " + ", ".join(
+            f"{d} {x:+.6g}" for d, x in zip(model.domains, rates.totals - rates.targets)) + f" of {total:.6g} tokens")
     return rates
 
 
+def _ascend(state: DataFrame, pairs: list[tuple[int, int]], start: float, rates: Rates, total: float, steps: int) -> None:
+    """Newton ascent of the concave dual, for posteriors that overlap so much that gradient steps stall.
+
+    Of all rates that meet the targets it leads to those nearest ``start``: one
+    move, clipped at ``least``.  ``rates`` is changed where the error gets smaller.
+    """
+    k = len(rates.targets)
+
+    def at(move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
+        rated = state.select("tokens", "p", F.expr(f"greatest({rates.least!r}D, {start!r}D - ({slope}))").alias("r"))
+        got = rated.agg(*[F.sum(F.expr(f"tokens * p[{a}] * r")) for a in range(k)],
+                        F.sum(F.expr(f"tokens * (r - {start!r}D) * (r - {start!r}D) / 2")),
+                        *[F.sum(F.expr(f"IF(r > {rates.least!r}D, tokens * p[{a}] * p[{b}], 0D)")) for a, b in pairs]).first()
+        totals, h = np.array(got[:k]), np.zeros((k, k))
+        for (a, b), x in zip(pairs, got[k + 1:]):
+            h[a, b] = h[b, a] = x
+        return totals, h, got[k] + float(move @ (totals - rates.targets))
+
+    move = np.zeros(k)
+    totals, h, height = at(move)
+    for _ in range(steps):
+        error = totals - rates.targets
+        if np.abs(error).max() < rates.off():
+            rates.moves, rates.totals = [move], totals
+        if rates.off() <= TOLERANCE * total:
+            return
+        up = np.linalg.solve(h + 1e-9 * (np.trace(h) + total * 1e-6) * np.eye(k), error)
+        for n in range(12):
+            there = at(move + up / 2 ** n)
+            if there[2] >= height + 1e-4 * float(up @ error) / 2 ** n:
+                break
+        else:
+            return
+        move = move + up / 2 ** n
+        totals, h, height = there
+
+
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang",
                      sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, domain) of documents that the labelled table rates good and not toxic.

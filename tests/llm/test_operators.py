@@ -606,6 +606,21 @@ def test_rates_stay_nonnegative_and_match_a_direct_solution(spark):
     assert np.abs((tokens * r) @ p - rates.targets).max() < 0.01 * tokens.sum()
 
 
+def test_rates_of_overlapping_posteriors_reach_the_targets(spark):
+    def mixed(rows):
+        return spark.createDataFrame([((10 + i % 7, p),) for i, p in enumerate(rows)], "mix struct<tokens: bigint, p: array<double>>")
+
+    model = mixing.DomainModel(["a", "b"], np.zeros((2, 2)), np.zeros(2))
+    rows = [[0.5 + x, 0.5 - x] for x in (0.01, -0.01, 0.004, 0.0) for _ in range(20)]
+    rates = mixing.fit_rates(mixed(rows), model, {"a": 0.506, "b": 0.494})
+    tokens = np.array([10 + i % 7 for i in range(80)])
+    got = (tokens * rates.of(np.array(rows))) @ np.array(rows)
+    assert np.abs(got - tokens.sum() * np.array([0.506, 0.494])).max() <= 1e-4 * tokens.sum()
+    with pytest.warns(UserWarning, match="off target by a"):
+        rates = mixing.fit_rates(mixed(rows), model, {"a": 0.9, "b": 0.1})
+    assert rates.off() > 0.1 * tokens.sum()
+
+
 def test_mixing_defined_cases(spark, docs, none):
     labels = spark.createDataFrame([(None, 1, 0)], "doc_id long, quality int, toxic int")
     got = mixing.mixing_rates(docs, labels, {"en": 1.0, "de": 1.0}).collect()
