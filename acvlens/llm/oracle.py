@@ -59,4 +59,38 @@ SELECT any_value(d.doc_id) AS doc_id, {counts},
 FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r"""
 
 
-ORACLE_SQL = {"op1_decontamination": CONTAMINATION, "op2_secret_scan": secrets_sql()}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(text: str) -> str:
+    return (f"list_transform(regexp_extract_all(coalesce({text}, ''), '{_TERMS}'), "
+            f"lambda x: translate(x, '{_UPPER}', '{_LOWER}'))")
+
+
+SEARCH = f"""WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, {_terms('text')} AS t FROM documents
+), b AS (
+  SELECT item_id, row_number() OVER () AS q, {_terms('text')} AS t FROM benchmark
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM d WHERE len(t) > 0
+), q AS (
+  SELECT q, term, count(*) AS times FROM (SELECT q, unnest(t) AS term FROM b) u GROUP BY ALL
+), post AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) u
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), freq AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM post, total GROUP BY term, big_n
+), scored AS (
+  SELECT q.q, p.r, sum(q.times * f.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * len(d.t) * big_n) // big_l)))) AS score
+  FROM q JOIN post p ON p.term = q.term JOIN freq f ON f.term = q.term JOIN d ON d.r = p.r, total GROUP BY q.q, p.r
+), ranked AS (
+  SELECT q, r, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored JOIN d USING (r) WHERE score > 0
+)
+SELECT b.item_id, CAST(rank AS INTEGER) AS rank, d.doc_id, CAST(score AS BIGINT) AS score
+FROM ranked JOIN b USING (q) JOIN d USING (r) WHERE rank <= 10"""
+
+
+ORACLE_SQL = {"op1_decontamination": CONTAMINATION, "op2_secret_scan": secrets_sql(),
+              "op12_ranked_search": SEARCH}
