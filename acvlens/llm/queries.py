@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, chunk_dedup, decontam, mixing, quality_model, rules, search, secret_scan, sharding, simhash,
-               token_counts, tool_calls)
+from . import (alignment, bpe, chunk_dedup, decontam, mixing, quality_model, rules, search, secret_scan, sharding,
+               simhash, token_counts, tool_calls)
 from .common import read
 from .oracle import ORACLE_SQL
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
     "op8_chunk_dedup": lambda s, d: chunk_dedup.repeated_spans(read(s, d, "documents")),
     "op9_sharding": lambda s, d: sharding.shard_documents(read(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixing_rates(read(s, d, "documents"), read(s, d, "labels"), MIXTURE),
+    "op11_alignment": lambda s, d: alignment.aligned_documents(read(s, d, "documents")),
     "op12_ranked_search": lambda s, d: search.rank_documents(read(s, d, "documents"), read(s, d, "benchmark")),
     "op13_bpe": lambda s, d: bpe.digest(bpe.round_trip(read(s, d, "documents"))),
 }
