@@ -5,6 +5,7 @@ whole-stage codegen); no Python UDF anywhere.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -132,25 +133,49 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 PIVOT_YEAR = 69
 
 
+# How almost every date is written; other forms take the lenient way.
+PLAIN_DATE = r"^\d{1,2}/\d{1,2}/\d{4}$"
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _year_month_day(plain: Column) -> Column:
+    """The date of ``month/day/year`` in digits, from text with single slashes."""
+    def date(parts: Column) -> Column:
+        year = F.get(parts, F.lit(2))
+        century = F.when(F.length(year) == 4, F.lit("")).when(year >= F.lit(str(PIVOT_YEAR)), F.lit("19")).otherwise(F.lit("20"))
+        return F.try_to_date(F.concat_ws("-", F.concat(century, year), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), "yyyy-M-d")
+
+    digits = F.rlike(plain, F.lit(r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$"))
+    return _bound(F.split(F.when(digits, plain), "/"), date)
+
+
+def _lenient_date(t: Column) -> Column:
+    """The date of trimmed lower-case text in any of the forms of ``mdy``."""
+    def named(name: Column) -> Column:
+        number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(name, 1, 3)).cast("string")
+        full = F.lit(" january february march april may june july august september october november december ")
+        known = F.contains(full, F.concat(F.lit(" "), name)) & (number != "0")
+        return F.when(known, F.concat(number, F.regexp_replace(t, r"^[a-z]{3,9}\.?", "/")))
+
+    compact = F.when(F.rlike(t, F.lit(r"^(\d{6}|\d{8})$")), F.regexp_replace(t, r"^(\d\d)(\d\d)", "$1/$2/"))
+    by_name = F.when(F.rlike(t, F.lit("^[a-z]")), _bound(F.regexp_extract(t, r"^([a-z]{3,9})", 1), named))
+    return _bound(F.regexp_replace(F.coalesce(by_name, compact, t), r"[-/., ]+", "/"), _year_month_day)
+
+
 def mdy(c: str | Column) -> Column:
     """Lenient month/day/year parse: unparseable text becomes NULL, never an error.
 
     Month as a number or an English name (three letters or more), any run of
     ``/ - . ,`` and blanks as separator, or digits alone (``01052020``,
-    ``010520``); years of four or two digits.
+    ``010520``); years of four or two digits.  Plain ``M/d/yyyy`` takes one pattern
+    and one parse; for other forms every intermediate text is computed once.
     """
-    t = F.lower(F.trim(_c(c)))
-    name = F.regexp_extract(t, r"^([a-z]{3,9})", 1)
-    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.substring(name, 1, 3)).cast("string")
-    full = F.lit("january february march april may june july august september october november december")
-    known = F.contains(F.concat(F.lit(" "), full, F.lit(" ")), F.concat(F.lit(" "), name)) & (number != "0")
-    named = F.when(known, F.concat(number, F.regexp_replace(t, r"^[a-z]{3,9}\.?", "/")))
-    compact = F.when(F.rlike(t, F.lit(r"^(\d{6}|\d{8})$")), F.regexp_replace(t, r"^(\d\d)(\d\d)", "$1/$2/"))
-    plain = F.regexp_replace(F.coalesce(F.when(F.rlike(t, F.lit("^[a-z]")), named), compact, t), r"[-/., ]+", "/")
-    parts = F.split(F.when(F.rlike(plain, F.lit(r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$")), plain), "/")
-    year = F.get(parts, F.lit(2))
-    century = F.when(F.length(year) == 4, F.lit("")).when(year >= F.lit(str(PIVOT_YEAR)), F.lit("19")).otherwise(F.lit("20"))
-    return F.try_to_date(F.concat_ws("-", F.concat(century, year), F.get(parts, F.lit(0)), F.get(parts, F.lit(1))), "yyyy-M-d")
+    t = F.trim(_c(c))
+    return F.when(F.rlike(t, F.lit(PLAIN_DATE)), F.try_to_date(t, "M/d/yyyy")).otherwise(_bound(F.lower(t), _lenient_date))
 
 
 def mdy_strict(c: str | Column) -> Column:

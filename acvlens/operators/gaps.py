@@ -37,11 +37,13 @@ def _rank_of(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_col:
 
 
 def purchase_gaps(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_col: str,
-                  max_gap_days: int) -> DataFrame:
+                  max_gap_days: int, unique_rows: bool = False) -> DataFrame:
     """Every row with its gap in days to the previous purchase of its group.
 
     Rows are ordered by date, ties by ``id_col``; rows without a date or
     without a previous purchase, and gaps over ``max_gap_days``, are dropped.
+    ``unique_rows`` says that no two rows are equal in all columns: the first
+    row of a day is then known without shuffling the rows once more.
     """
     g = list(group_cols)
     keys = g + [date_col]
@@ -54,9 +56,11 @@ def purchase_gaps(rows: DataFrame, group_cols: Sequence[str], date_col: str, id_
         c = F.col(f"__r.`{k}`").eqNullSafe(F.col(f"__d.`{k}`"))
         on = c if on is None else on & c
     j = r.join(daily, on, "inner").select("__r.*", "__d.__first", "__d.__prev")
-    # Identical rows meet here, and nothing else: one of them can be the first.
-    same = Window.partitionBy(*keys, F.xxhash64("__rank")).orderBy("__rank")
-    first = F.col("__rank").eqNullSafe(F.col("__first")) & (F.row_number().over(same) == 1)
+    first = F.col("__rank").eqNullSafe(F.col("__first"))
+    if not unique_rows:
+        # Identical rows meet here, and nothing else: one of them can be the first.
+        same = Window.partitionBy(*keys, F.xxhash64("__rank")).orderBy("__rank")
+        first = first & (F.row_number().over(same) == 1)
     gap = F.when(first, F.datediff(F.col(date_col), F.col("__prev"))).otherwise(F.lit(0)).cast("double")
     out = j.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__rank"], gap.alias("cycle_days"))
     return out.filter(F.col("cycle_days").isNotNull() & (F.col("cycle_days") <= max_gap_days))

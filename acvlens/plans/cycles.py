@@ -79,9 +79,19 @@ def service_line_counts(report: DataFrame, p: Params, dedup: DataFrame | None =
         n_distinct("Acct_Id", p.approx_distinct).alias("distinct_accts"), n().alias("num_opps"))
 
 
-def _dated(rows: DataFrame) -> DataFrame:
-    return rows.select("Opp_ID", "Acct_Id", "Record_Type_Name", mdy("Close_Date").alias("Close_Date"),
-                       "ACV_for_Quotas")
+def dated(dedup: DataFrame) -> DataFrame:
+    """The rows of Q25 with their parsed date, the text as ``date_text`` behind it.
+
+    To be written before use: every row's date is then parsed once, and no parse is
+    pushed below the de-duplication or repeated in a filter, a key and a
+    projection.  (Opp_ID, Record_Type_Name, date_text) tells the rows apart.
+    """
+    return dedup.select("Opp_ID", "Acct_Id", "Record_Type_Name", mdy("Close_Date").alias("Close_Date"),
+                        "ACV_for_Quotas", F.col("Close_Date").alias("date_text"))
+
+
+def _written_dates(report: DataFrame, p: Params, dedup: DataFrame | None) -> DataFrame:
+    return materialize(dated(report_dedup(report, p) if dedup is None else dedup))
 
 
 def report_dedup_sorted(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
@@ -91,20 +101,22 @@ def report_dedup_sorted(report: DataFrame, p: Params, dedup: DataFrame | None =
             .orderBy(F.col("Acct_Id").asc_nulls_last(), F.col("parsed_date").asc_nulls_last(), "Opp_ID"))
 
 
-def purchase_gaps(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
+def purchase_gaps(report: DataFrame, p: Params, dedup: DataFrame | None = None,
+                  dates: DataFrame | None = None) -> DataFrame:
     """Q27: gap in days to the previous purchase per (account, service line), ≤ max.
 
-    The de-duplicated rows feed both the per-day pre-aggregate and the
-    join back, so they are written once rather than derived twice.
+    The dated rows feed both the per-day pre-aggregate and the join back
+    (``dates``: ``dated`` rows if they are already written).
     """
-    rows = materialize(report_dedup(report, p)) if dedup is None else dedup
-    return _gaps(_dated(rows), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    rows = _written_dates(report, p, dedup) if dates is None else dates
+    return _gaps(rows, GROUP, "Close_Date", "Opp_ID", p.max_gap_days, unique_rows=True).drop("date_text")
 
 
-def purchase_cycles(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
+def purchase_cycles(report: DataFrame, p: Params, dedup: DataFrame | None = None,
+                    dates: DataFrame | None = None) -> DataFrame:
     """Q28: mean / median gap, purchases and last purchase per (account, service line)."""
-    rows = report_dedup(report, p) if dedup is None else dedup
-    return _cycles(_dated(rows), GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    rows = _written_dates(report, p, dedup) if dates is None else dates
+    return _cycles(rows, GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
 
 
 def _written_cycles(report: DataFrame, p: Params, cycles: DataFrame | None) -> DataFrame:

@@ -38,7 +38,8 @@ SHARED: dict[str, tuple[tuple[str, ...], Builder]] = {
     "cpas": ((OPP,), lambda t, p: clients.cpa_client_summary(t[OPP], p)),
     "win_rates": ((OPP,), lambda t, p: referral.win_pct_summary(t[OPP], p)),
     "dedup": ((REP,), lambda t, p: cycles.report_dedup(t[REP], p)),
-    "cycles": ((REP, "dedup"), lambda t, p: cycles.purchase_cycles(t[REP], p, dedup=t["dedup"])),
+    "dates": ((REP, "dedup"), lambda t, p: cycles.dated(t["dedup"])),
+    "cycles": ((REP, "dates"), lambda t, p: cycles.purchase_cycles(t[REP], p, dates=t["dates"])),
     "accounts": ((REP,), lambda t, p: penetration.acct_sales_both(t[REP], p)),
 }
 
@@ -78,7 +79,7 @@ ANALYSES: dict[str, tuple[tuple[str, ...], Builder]] = {
     "report_dedup": ((REP, "dedup"), lambda t, p: cycles.report_dedup_sorted(t[REP], p, t["dedup"]).drop("parsed_date")),
     "report_dedup_by_party": ((REP,), lambda t, p: cycles.report_dedup_by_party(t[REP], p)),
     "service_line_counts": ((REP, "dedup"), lambda t, p: cycles.service_line_counts(t[REP], p, t["dedup"])),
-    "purchase_gaps": ((REP, "dedup"), lambda t, p: cycles.purchase_gaps(t[REP], p, t["dedup"])),
+    "purchase_gaps": ((REP, "dates"), lambda t, p: cycles.purchase_gaps(t[REP], p, dates=t["dates"])),
     "purchase_cycles": (("cycles",), lambda t, p: t["cycles"]),
     "cycle_boxplot": ((REP, "cycles"), lambda t, p: cycles.cycle_boxplot(t[REP], p, t["cycles"])),
     "cycle_boxplot_outliers": ((REP, "cycles"), lambda t, p: cycles.cycle_boxplot_outliers(t[REP], p, t["cycles"])),
