@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_records import read_records
 from .schemas import ACCOUNT, OPP_REPORT, OPPORTUNITY
 
 
@@ -72,18 +73,24 @@ def report_columns(raw: DataFrame) -> DataFrame:
     return raw.select(*cols)
 
 
-def read_opp_report_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_opp_report_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True,
+                        whole_files: bool = False) -> DataFrame:
     """The flat opportunity export: columns by header name, in any order, others ignored.
 
     A missing column, or files with different headers, are errors.  Quoted
-    cells may hold doubled quotes and (``multi_line``) line breaks; the latter
-    makes a file one task, so turn it off for large files without them.
+    cells may hold doubled quotes and (``multi_line``) line breaks; a file of either
+    kind is read by many tasks (``csv_records``).  ``whole_files`` takes Spark's own reader for
+    line breaks in cells instead, which makes a file one task (and knows lines that end with ``\\r`` alone).
     Rows that do not fit are kept as far as they parse; ``unparsed_rows`` shows them.
     """
-    return report_columns(_raw_csv(spark, path, multi_line))
+    return report_columns(_raw_csv(spark, path, multi_line, whole_files))
 
 
-def _raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+def _raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool, whole_files: bool = False) -> DataFrame:
+    if multi_line and not whole_files:
+        options = {k: str(v).lower() if isinstance(v, bool) else v for k, v in CSV_OPTIONS.items() if k != "header"}
+        return read_records(spark, path, csv_schema(csv_header(spark, path)), {
+            **options, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_ROW})
     return csv_reader(spark.read, csv_schema(csv_header(spark, path)), multi_line).csv(path)
 
 
