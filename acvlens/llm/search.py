@@ -1,6 +1,6 @@
 """Ranked lexical search: Block-Max MaxScore over a document-sharded inverted index.
 
-The index holds every term of the corpus.  A segment has about a million words
+The index holds every term of the corpus.  A segment has about half a million words
 of consecutive documents and is one row of a stored Parquet table: its terms
 in order, and for each a posting list (document, term frequency) in compressed
 blocks of ``BLOCK`` postings.  A block's head tells its last document, its
@@ -34,9 +34,9 @@ items are each answered; a term of weight 0 adds nothing; empty tables give no r
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +47,8 @@ from .common import batches_bytes, key_text, slices, stash
 from .decontam import words
 
 BLOCK = 128
-WINDOW = 512           # candidates looked at between two looks at the heap
-_WIDTHS = (np.uint8, np.uint16, np.uint32)
+WINDOW = 2048          # candidates looked at between two looks at the heap
+SEGMENT_WORDS = 1 << 19
 
 SEGMENT = ("doc_ids array<long>, lengths array<long>, terms binary, ends binary, lists binary, heads binary, data binary")
 HEAP = "item int, doc_id long, score long"
@@ -70,62 +70,81 @@ def weight(n_docs: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def _packed(values: np.ndarray) -> tuple[int, bytes]:
-    """Width code and bytes of non-negative numbers."""
-    code = 0 if (top := int(values.max())) < 1 << 8 else 1 if top < 1 << 16 else 2
-    return code, values.astype(_WIDTHS[code]).tobytes()
+HEAD = np.dtype([("first", "<i4"), ("last", "<i4"), ("count", "<i4"), ("most", "<i4"), ("shortest", "<i8"),
+                 ("at", "<i4"), ("gap", "u1"), ("tf", "u1")])
 
 
-def segment(doc_ids: list[int | None], texts: list[list[bytes]]) -> pa.RecordBatch:
-    """One segment: terms in order, and per term the blocks of its postings.
+def _width(top: np.ndarray) -> np.ndarray:
+    """Bytes of a number: 1, 2 or 4."""
+    return np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 4))
 
-    ``lists`` has where each term's blocks end in ``heads``; a head is (last document, count, greatest
-    frequency, shortest length, place in ``data``, width codes), eight bytes each.
+
+def _put(data: np.ndarray, values: np.ndarray, at: np.ndarray, width: np.ndarray) -> None:
+    """Writes numbers of the given widths, little-endian, at the given places."""
+    for k in range(4):
+        own = width > k
+        data[at[own] + k] = values[own] >> 8 * k & 255
+
+
+def segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, vocabulary: list[bytes]) -> pa.RecordBatch:
+    """One segment from its documents' words (as places in ``vocabulary``, one after the other).
+
+    ``lists`` has where each term's blocks end in ``heads``; a head is (first and last document, count,
+    greatest frequency, shortest length, place in ``data``, widths of gaps and frequencies).
     """
-    lengths = np.array([len(x) for x in texts], np.int64)
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(texts)), np.int64, int(lengths.sum()))
-    vocabulary = sorted(number)
-    rank = np.empty(len(number), np.int64)
-    rank[[number[w] for w in vocabulary]] = np.arange(len(number))
-    key, tf = np.unique(rank[ids] * max(1, len(texts)) + np.repeat(np.arange(len(texts)), lengths), return_counts=True)
-    term, doc = np.divmod(key, max(1, len(texts)))
-    first = np.searchsorted(term, np.arange(len(number) + 1))
-    heads, data, at, lists = [], [], 0, []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        for i in range(a, b, BLOCK):
-            j = min(b, i + BLOCK)
-            d, t = doc[i:j], tf[i:j]
-            gap_code, gaps = _packed(np.diff(d, prepend=d[0]))
-            tf_code, counts = _packed(t - 1)
-            heads.append((int(d[-1]), j - i, int(t.max()), int(lengths[d].min()), at, int(d[0]) << 8 | gap_code << 4 | tf_code))
-            data += [gaps, counts]
-            at += len(gaps) + len(counts)
-        lists.append(len(heads))
-    body = b"".join(vocabulary)
+    n_docs, length = len(doc_ids), np.array(lengths, np.int64)
+    order = sorted(range(len(vocabulary)), key=vocabulary.__getitem__)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key, tf = np.unique(rank[ids] * max(1, n_docs) + np.repeat(np.arange(n_docs), length), return_counts=True)
+    term, doc = np.divmod(key, max(1, n_docs))
+    start = np.searchsorted(term, np.arange(len(order) + 1))
+    place = (np.arange(len(key)) - start[term]) % BLOCK
+    first = np.flatnonzero(place == 0)                     # the postings that begin a block
+    block = np.cumsum(place == 0) - 1
+    heads = np.zeros(len(first), HEAD)
+    data = np.zeros(0, np.uint8)
+    if len(first):
+        gaps = np.where(place > 0, np.diff(doc, prepend=0), 0)
+        heads["first"], heads["last"] = doc[first], doc[np.append(first[1:], len(doc)) - 1]
+        heads["count"] = np.diff(first, append=len(doc))
+        heads["most"] = np.maximum.reduceat(tf, first)
+        heads["shortest"] = np.minimum.reduceat(length[doc], first)
+        heads["gap"] = _width(np.maximum.reduceat(gaps, first))
+        heads["tf"] = _width(heads["most"] - 1)
+        size = heads["count"].astype(np.int64) * (heads["gap"] + heads["tf"])
+        heads["at"] = np.cumsum(size) - size
+        data = np.zeros(int(size.sum()), np.uint8)
+        at, gap, width = (heads[c].astype(np.int64)[block] for c in ("at", "gap", "tf"))
+        _put(data, gaps, at + place * gap, gap)
+        _put(data, tf - 1, at + heads["count"][block] * gap + place * width, width)
+    ordered = [vocabulary[i] for i in order]
     return pa.RecordBatch.from_arrays([
-        pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())),
-        pa.array([body], pa.binary()), pa.array([np.cumsum([len(w) for w in vocabulary], dtype=np.int64).tobytes()], pa.binary()),
-        pa.array([np.array(lists, np.int64).tobytes()], pa.binary()),
-        pa.array([np.array(heads, np.int64).reshape(-1, 6).tobytes()], pa.binary()),
-        pa.array([b"".join(data)], pa.binary())], names=[f.split()[0] for f in SEGMENT.split(", ")])
+        pa.array([doc_ids], pa.list_(pa.int64())), pa.array([length], pa.list_(pa.int64())),
+        pa.array([b"".join(ordered)], pa.binary()),
+        pa.array([np.cumsum(list(map(len, ordered)), dtype=np.int64).astype("<i4").tobytes()], pa.binary()),
+        pa.array([np.searchsorted(first, start[1:]).astype("<i4").tobytes()], pa.binary()),
+        pa.array([heads.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())],
+        names=[f.split()[0] for f in SEGMENT.split(", ")])
 
 
-def build_index(docs: DataFrame, segment_words: int = 1 << 20) -> DataFrame:
+def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Segments of the index of all rows of ``docs`` (doc_id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, n = [], [], 0
+        doc_ids, lengths, held = [], [], []
+        number = defaultdict(count().__next__)
         for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batches_bytes(batch, "text")):
                 found = words(text)
-                if ids and n + len(found) > segment_words:
-                    yield segment(ids, texts)
-                    ids, texts, n = [], [], 0
-                ids.append(doc_id)
-                texts.append(found)
-                n += len(found)
-        if ids:
-            yield segment(ids, texts)
+                if doc_ids and sum(lengths) + len(found) > segment_words:
+                    yield segment(doc_ids, lengths, np.concatenate(held), list(number))
+                    doc_ids, lengths, held = [], [], []
+                    number = defaultdict(count().__next__)
+                doc_ids.append(doc_id)
+                lengths.append(len(found))
+                held.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+        if doc_ids:
+            yield segment(doc_ids, lengths, np.concatenate(held), list(number))
 
     return key_text(docs).mapInArrow(run, SEGMENT)
 
@@ -142,10 +161,9 @@ class Shard:
     def __init__(self, row: dict):
         self.lengths = np.array(row["lengths"], np.int64)
         self.doc_ids = row["doc_ids"]
-        ends = np.frombuffer(row["ends"], np.int64)
-        self.body, self.ends = row["terms"], ends
-        self.lists = np.frombuffer(row["lists"], np.int64)
-        self.heads = np.frombuffer(row["heads"], np.int64).reshape(-1, 6)
+        self.body, self.ends = row["terms"], np.frombuffer(row["ends"], "<i4")
+        self.lists = np.frombuffer(row["lists"], "<i4")
+        self.heads = np.frombuffer(row["heads"], HEAD)
         self.data = row["data"]
         self.opened = 0   # blocks decompressed
 
@@ -169,14 +187,13 @@ class Shard:
     def open(self, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents, frequencies) of a block."""
         self.opened += 1
-        count, at, code = int(head[1]), int(head[4]), int(head[5])
-        gap, tf = _WIDTHS[code >> 4 & 15], _WIDTHS[code & 15]
-        gaps = np.frombuffer(self.data, gap, count, at)
-        counts = np.frombuffer(self.data, tf, count, at + gaps.nbytes)
-        return (code >> 8) + np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64) + 1
+        first, _, n, _, _, at, gap, tf = head.item()
+        gaps = np.frombuffer(self.data, f"<u{gap}", n, at)
+        counts = np.frombuffer(self.data, f"<u{tf}", n, at + gaps.nbytes)
+        return first + np.cumsum(gaps, dtype=np.int64), counts.astype(np.int64) + 1
 
     def document_frequency(self, number: int) -> int:
-        return int(self.blocks(number)[:, 1].sum())
+        return int(self.blocks(number)["count"].sum())
 
 
 class Heap:
@@ -212,11 +229,13 @@ class Lists:
         for term, times in query:
             if times and found[term] is not None:
                 b = shard.blocks(found[term])
-                bound = times * impact(b[:, 2], m_of_length(b[:, 3]))
+                bound = times * impact(b["most"].astype(np.int64), m_of_length(b["shortest"]))
                 held.append((int(bound.max()), term, times, b, bound))
         held.sort(key=lambda x: (-x[0], x[1]))
         self.times = [x[2] for x in held]
         self.heads = [x[3] for x in held]
+        self.first = [x[3]["first"].astype(np.int64) for x in held]
+        self.last = [x[3]["last"].astype(np.int64) for x in held]
         self.block_bound = [x[4] for x in held]
         self.bound = np.array([x[0] for x in held], np.int64)
         self.rest = np.concatenate([np.cumsum(self.bound[::-1])[::-1], [0]])   # bound of this list and all behind it
@@ -231,11 +250,8 @@ class Lists:
 
     def between(self, k: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """The postings of list k in documents low .. high - 1."""
-        last = self.heads[k][:, 0]
         doc, gain = [], []
-        for j in range(int(np.searchsorted(last, low)), len(last)):
-            if int(self.heads[k][j, 5]) >> 8 >= high:
-                break
+        for j in range(int(np.searchsorted(self.last[k], low)), int(np.searchsorted(self.first[k], high))):
             d, g = self.block(k, j)
             inside = slice(np.searchsorted(d, low), np.searchsorted(d, high))
             doc.append(d[inside])
@@ -263,10 +279,9 @@ def search_shard(shard: Shard, lists: Lists, heap: Heap) -> None:
         got = score[at]
         for k in range(essential, len(lists.times)):
             # What the remaining lists can add at most: here the block's maximum, behind it the lists' bounds.
-            heads = lists.heads[k]
-            j = np.searchsorted(heads[:, 0], at + low)
-            there = j < len(heads)
-            most = np.where(there, lists.block_bound[k][np.minimum(j, len(heads) - 1)], 0)
+            j = np.searchsorted(lists.last[k], at + low)
+            there = j < len(lists.last[k])
+            most = np.where(there, lists.block_bound[k][np.minimum(j, len(lists.last[k]) - 1)], 0)
             hopeful = got + most + lists.rest[k + 1] >= floor
             at, got, j, there = at[hopeful], got[hopeful], j[hopeful], there[hopeful]
             if not len(at):
@@ -324,7 +339,7 @@ def search(index: DataFrame, queries: list[list[bytes]], k: int = 10) -> DataFra
     return index.mapInArrow(run, HEAP)
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, segment_words: int = 1 << 20,
+def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, segment_words: int = SEGMENT_WORDS,
                    block_words: int = 200_000) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents for every row of ``items`` (item_id, text)."""
     index = stash(build_index(docs, segment_words))

@@ -162,7 +162,9 @@ def test_search_equals_its_sql(docs, items, spark):
 def test_block_maxima_spare_blocks():
     rng = random.Random(2)
     texts = [[rng.choice([b"rare%d" % (i // 400), b"common", b"also", b"too"]) for _ in range(rng.randrange(5, 60))] for i in range(6000)]
-    row = search.segment(list(range(6000)), texts).to_pylist()[0]
+    vocabulary = sorted({w for x in texts for w in x}, reverse=True)
+    ids = np.array([vocabulary.index(w) for x in texts for w in x], np.int32)
+    row = search.segment(list(range(6000)), list(map(len, texts)), ids, vocabulary).to_pylist()[0]
     shard = search.Shard(row)
     n_words = sum(map(len, texts))
     m = search.norms(shard.lengths, 6000, n_words)
