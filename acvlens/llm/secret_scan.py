@@ -40,12 +40,21 @@ from .common import key_text, stash
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of ``pattern``, kept where group ``group`` has at least ``least`` characters."""
+    """Matches of ``pattern``, kept where group ``group`` has at least ``least`` characters.
+
+    ``scan`` is a pattern of the same matches that Spark runs instead: a look behind leaves out places where a match
+    cannot begin because an earlier place of the same run would have matched, so that a
+    long run is not scanned again from each of its characters.
+    """
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    scan: str = ""
+
+    def searched(self) -> str:
+        return self.scan or self.pattern
 
 
 # The three base kinds.
@@ -61,8 +70,9 @@ MORE = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 0, 39),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("url_login", r"[a-z]+://[^\s:/@]+:[^\s:/@]+@"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+",
+         scan=r"eyJ(?<!eyJ[A-Za-z0-9_-]{0,2000}?eyJ)[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("url_login", r"[a-z]+://[^\s:/@]+:[^\s:/@]+@", scan=r"(?<![a-z])[a-z]+://[^\s:/@]+:[^\s:/@]+@"),
 )
 RULES = BASE + MORE
 MOST_SPELLINGS = 64
@@ -164,7 +174,7 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def _literal(text: str) -> str:
     """A SQL string literal of any text."""
-    return "'" + "".join(c if c.isalnum() else f"\\u{ord(c):04x}" for c in text) + "'"
+    return "'" + "".join(c if c.isalnum() else f"\\u{ord(c):04x}" if ord(c) < 1 << 16 else f"\\U{ord(c):08x}" for c in text) + "'"
 
 
 def _relation(near: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
@@ -189,28 +199,33 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         d = d.withColumn("rules", F.lit(0).cast("long"))
     spans = []
     for k, rule in enumerate(rules):
-        test = f"coalesce(rules, 0) & {1 << k}L != 0" if queries[k] else f"regexp_like(text, {_literal(rule.pattern)})"
+        test = f"coalesce(rules, 0) & {1 << k}L != 0" if queries[k] else f"regexp_like(text, {_literal(rule.searched())})"
         spans.append(f"IF({test}, {_spans(rule, k)}, CAST(array() AS {SPANS}))")
     return d.select("doc_id", F.expr(f"array_sort(concat({', '.join(spans)}))").alias("spans"))
 
 
+PART = 256
 SPANS = "array<struct<start:int,rule:int,end:int>>"
 
 
 def _spans(rule: Rule, number: int) -> str:
     """Spans of the rule's matches: each match starts where the pieces and matches before it end."""
-    p = _literal(rule.pattern)
-    return f"""aggregate(
-        arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0),
-                   regexp_extract_all(text, {p}, {rule.group})),
-        struct(0 AS at, CAST(array() AS {SPANS}) AS found),
-        (a, x) -> struct(
+    p = _literal(rule.searched())
+    piece = f"""(a, x) -> struct(
             a.at + length(x.`0`) + coalesce(length(x.`1`), 0) AS at,
             IF(length(x.`2`) >= {max(1, rule.least)},
                concat(a.found, array(struct(a.at + length(x.`0`) AS start, {number} AS rule,
                                             a.at + length(x.`0`) + length(x.`1`) AS end))),
-               a.found) AS found),
-        a -> a.found)"""
+               a.found) AS found)"""
+    # The spans of PART pieces at a time are gathered, so that a text of many matches is not copied with each of them.
+    return f"""flatten(aggregate(
+        transform(array(arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0),
+                                   regexp_extract_all(text, {p}, {rule.group}))),
+                  z -> transform(sequence(1, size(z), {PART}), i -> slice(z, i, {PART})))[0],
+        struct(0 AS at, CAST(array() AS array<{SPANS}>) AS found),
+        (t, part) -> transform(array(aggregate(part, struct(t.at AS at, CAST(array() AS {SPANS}) AS found), {piece})),
+                               u -> struct(u.at AS at, concat(t.found, array(u.found)) AS found))[0],
+        t -> t.found))"""
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
