@@ -4,12 +4,13 @@ Calls and results are hash-joined on (conversation, call id).  Calls that need
 other calls' results are put in topological order: a level is one more than the
 highest level among the calls it needs.  Chains of calls with one need each
 are shortened by pointer doubling (rounds: the logarithm of their length);
-calls with several needs are then peeled off, round by round, as their needs
-are met (rounds: how many of them follow one another).  The arguments are parsed and validated against the tool's schema, and each call is
+calls with several needs are then put in order, conversation by
+conversation where one has at most ``MOST_ROWS`` calls and needs left, else by peeling off, round by round, those whose
+needs are met.  The arguments are parsed and validated against the tool's schema, and each call is
 written as one line of canonical JSON (sorted keys, no spaces, UTF-8).
 
 Scale.  All steps are joins and aggregates on (conversation, call id); no
-conversation is gathered in one place, so one that holds a third of all calls
+conversation is gathered in one place beyond ``MOST_ROWS`` rows, so one that holds a third of all calls
 is spread like any other.  The lines of a conversation are in order by
 (level, position, call_id).  The schemas (a table of tools) are the only thing
 shipped to the tasks, checked against ``MOST_SCHEMA_BYTES``.
@@ -20,15 +21,17 @@ count once (the first position, then the smallest text, stays; ``copies``
 tells how many there were), and so do results; a need that names no call of
 the conversation is an error of that call and is otherwise ignored; calls on or behind a
 circle of needs have status "circular" and no level; arguments that are no
-JSON object, or an unknown tool, are invalid; a null conversation or call id
+JSON object (see ``_parse`` for what is refused), or an unknown tool, are invalid; a null conversation or call id
 is a key like any other.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +39,9 @@ from pyspark.sql import functions as F
 from .common import stash
 
 MOST_SCHEMA_BYTES = 8 << 20
+MOST_DIGITS = 4000
+DEEPEST = 200
+MOST_ROWS = 1 << 17   # calls and needs of one conversation that are put in order in one task
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
 KEY = ("conv_id", "call_id")
 
@@ -44,15 +50,39 @@ def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _is(value: object, kind: str) -> bool:
+    """Whether a JSON value is of a schema's type; a type that schemas don't have fits no value."""
+    if kind == "null":
+        return value is None
+    if kind == "integer" and isinstance(value, float):
+        return value.is_integer()
+    return isinstance(value, _TYPES.get(kind, ())) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def _equal(a: object, b: object) -> bool:
+    """Equality of JSON values: true is not 1, but 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_equal(a[k], b[k]) for k in a)
+    return a == b
+
+
 def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
-    """What is wrong with a JSON value by a schema (type, enum, bounds, required, properties, items)."""
-    kind = schema.get("type")
-    if kind and (not isinstance(value, _TYPES[kind]) or kind != "boolean" and isinstance(value, bool)):
-        return [f"{at}: not {kind}"]
+    """What is wrong with a JSON value by a schema (type, enum, bounds, required, properties, items).
+
+    A type may be a list of types.  A value nested deeper than Python recurses never gets here (see ``_parse``).
+    """
+    kinds = schema.get("type", [])
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: not {' or '.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_equal(value, e) for e in schema["enum"]):
         found.append(f"{at}: not in enum")
-    if isinstance(value, (int, float)):
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
         found += [f"{at}: below minimum"] * ("minimum" in schema and value < schema["minimum"])
         found += [f"{at}: above maximum"] * ("maximum" in schema and value > schema["maximum"])
     if isinstance(value, dict):
@@ -70,15 +100,40 @@ def schema_errors(value: object, schema: dict, at: str = "$") -> list[str]:
 
 
 def _parse(text: str | None) -> object:
+    """The JSON value of a text, None where it is none that can be written again.
+
+    Refused: NaN and infinities (also as numbers too large for a double), whole numbers of
+    over ``MOST_DIGITS`` digits, strings with half a surrogate pair, nesting over ``DEEPEST`` levels.
+    """
     def refuse(name: str) -> None:
         raise ValueError(name)
 
+    def finite(number: str) -> float:
+        value = float(number)
+        return value if math.isfinite(value) else refuse(number)
+
+    def whole(number: str) -> int:
+        return int(number) if len(number) <= MOST_DIGITS else refuse(number)
+
     try:
-        return json.loads(text or "", parse_constant=refuse)
-    except (ValueError, RecursionError):
+        value = json.loads(text or "", parse_constant=refuse, parse_float=finite, parse_int=whole)
+        if _depth(value) > DEEPEST:
+            return None
+        canonical(value).encode()
+        return value
+    except (ValueError, RecursionError):   # UnicodeEncodeError is a ValueError
         return None
 
 
+def _depth(value: object) -> int:
+    """Levels of nesting, counted up to just over ``DEEPEST``."""
+    level, depth = [value], 0
+    while level and depth <= DEEPEST:
+        level = [x for v in level if isinstance(v, (list, dict)) for x in (v.values() if isinstance(v, dict) else v)]
+        depth += 1
+    return depth
+
+
 def call_line(call_id: str | None, name: str | None, arguments: str | None, result: str | None, needs: list[str],
               unknown: list[str], schemas: dict[str, dict]) -> tuple[bool, str, str]:
     """(valid, errors, canonical line) of a call."""
@@ -147,6 +202,15 @@ def _end_levels(paths: DataFrame, needs: DataFrame, counted: DataFrame) -> DataF
     pending = stash(wanted.join(p, same, "left").select(
         "w.conv_id", "w.call_id", F.col("p.to").alias("to"), F.col("p.steps").alias("steps"),
         F.col("p.call_id").isNull().alias("lost")))
+    # Conversations of bounded size are put in order in one go; larger ones are peeled off in rounds.
+    rows = (done.withColumns({"to": F.lit(None).cast("string"), "steps": F.lit(None).cast("long"), "lost": F.lit(False)})
+            .unionByName(pending.withColumn("level", F.lit(None).cast("long"))))
+    size = (rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level").isNull()).alias("open"))
+            .where("open > 0"))
+    small = (_among(rows, size.where(F.col("n") <= MOST_ROWS)).groupBy("conv_id")
+             .applyInPandas(_ordered, "conv_id long, call_id string, level long"))
+    pending = stash(_among(pending, size.where(F.col("n") > MOST_ROWS)))
+    done = stash(done.union(small))
     while not pending.isEmpty():
         d, q = done.alias("d"), pending.alias("q")
         same = F.col("q.conv_id").eqNullSafe(F.col("d.conv_id")) & F.col("q.to").eqNullSafe(F.col("d.call_id"))
@@ -161,6 +225,38 @@ def _end_levels(paths: DataFrame, needs: DataFrame, counted: DataFrame) -> DataF
     return done
 
 
+def _among(rows: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The rows of the given conversations (nulls are equal)."""
+    r, n = rows.alias("r"), conversations.alias("n")
+    return r.join(n, F.col("r.conv_id").eqNullSafe(F.col("n.conv_id")), "left_semi")
+
+
+def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
+    """Levels of one conversation's calls with several needs, by taking off those whose needs are met."""
+    known = rows["level"].notna()
+    level = dict(zip(rows.loc[known, "call_id"], rows.loc[known, "level"].astype(int)))
+    start = set(level)
+    open_: dict[str | None, int] = {}
+    behind: dict[str | None, list[tuple[str | None, int]]] = {}
+    for call, to, steps, lost in rows.loc[~known, ["call_id", "to", "steps", "lost"]].itertuples(index=False):
+        open_[call] = open_.get(call, 0) + 1
+        if not lost:
+            behind.setdefault(to, []).append((call, int(steps)))
+    most: dict[str | None, int] = {}
+    ready = [c for c in behind if c in level]
+    while ready:
+        done = ready.pop()
+        for call, steps in behind.get(done, ()):
+            most[call] = max(most.get(call, 0), level[done] + steps + 1)
+            open_[call] -= 1
+            if not open_[call]:
+                level[call] = most[call]
+                ready.append(call)
+    new = [(c, n) for c, n in level.items() if c not in start]
+    return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]] * len(new), "call_id": [c for c, _ in new],
+                         "level": [n for _, n in new]})
+
+
 def _without(rows: DataFrame, other: DataFrame, name: str = "call_id") -> DataFrame:
     """Rows whose (conv_id, name) is not among ``other``'s (nulls are equal)."""
     a, b = rows.alias("a"), other.alias("b")
