@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import MONEY_SUM
@@ -35,6 +35,20 @@ def year_at_least(date_col: str | Column, min_year: int) -> Column:
     return _c(date_col) >= F.make_date(F.lit(min_year), F.lit(1), F.lit(1))
 
 
+# Partition column of tables laid out by close year (``sources.tables.write_opportunity``).
+CLOSE_YEAR = "close_year"
+
+
+def closed_since(df: DataFrame, date_col: str, min_year: int) -> Column:
+    """Rows of ``df`` dated in ``min_year`` or later.
+
+    Where ``df`` is laid out by close year the bound is on that column too, so
+    that the folders of earlier years (and of rows without a date) are not even listed.
+    """
+    bound = year_at_least(date_col, min_year)
+    return bound & (F.col(CLOSE_YEAR) >= F.lit(min_year)) if CLOSE_YEAR in df.columns else bound
+
+
 def year_of(date_col: str | Column) -> Column:
     return F.year(_c(date_col)).cast("long")
 

@@ -13,6 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+# Even ranks at which a wide bracket of a quantile is sketched to narrow it.
+GRID = 512
 
 
 def _null_safe_on(left: str, right: str, keys: Sequence[str]) -> Column | None:
@@ -48,20 +52,22 @@ def _join_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> D
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
                     probs: Sequence[float], names: Sequence[str], accuracy: int = 10000,
                     midpoint: bool = False, extra_aggs: Sequence[Column] = (),
-                    exact: bool = True) -> DataFrame:
+                    exact: bool = True, most: int | None = None) -> DataFrame:
     """Exact quantiles per group (R type 7) without gathering a group in one task.
 
     For each probability p the target ranks are floor(h) and ceil(h) with
-    h = (n - 1)·p + 1.  Pass 1 builds a bounded ``percentile_approx`` sketch per
-    group (merged map-side); its answers at p ± 2/accuracy bracket both ranks,
-    because the sketch's rank error is at most n/accuracy.  Pass 2 counts the
-    rows below each bracket and keeps the values inside it, as (value, count)
-    pairs — about 4·n/accuracy of them.  The ranks are then resolved from
-    running counts over those candidates only.  Groups with at most
-    ``10·accuracy`` rows take every value as a candidate (the sketch's bound is
-    not tight there), which bounds each window partition by 10·accuracy
-    distinct values or by the bracket, whichever applies.  A rank outside its
-    bracket (a sketch off by more than its bound) is an error.
+    h = (n - 1)·p + 1, and a bracket of values holds both; it is narrowed until at
+    most ``most`` distinct values (10·accuracy by default, at least 2·accuracy and 2·``GRID``) lie in it.  At first it is the whole group.  If that is too
+    many, a bounded ``percentile_approx`` sketch per group (merged map-side, taken in the
+    pass that counts the rows) gives the bracket: its answers at p ± 2/accuracy enclose
+    the ranks, because its rank error is at most n/accuracy.  Brackets that are
+    still too wide are narrowed by further passes: each counts the rows below and inside and
+    sketches the inside at ``GRID`` even ranks, of which those around the target are the next
+    bracket.  The last pass keeps the values inside as (value, count) pairs, and the ranks are resolved
+    from running counts over those alone: a rank task of a group and probability holds at most ``most`` values.
+    (Only where nearly all rows inside equal its two ends can a bracket stay wider.)  The
+    per-group statistics of each pass are written, and one number is read from them to see whether another pass is
+    needed.  A rank outside its bracket (a sketch off by more than its bound) is an error.
 
     ``midpoint=True`` gives ``(x[lo] + x[hi]) / 2`` (R's ``median``) instead of
     ``(1 - f)·x[lo] + f·x[hi]`` (R's ``quantile``).  ``extra_aggs`` (over the
@@ -71,6 +77,7 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     (rank error at most n/accuracy).
     """
     g = list(group_cols)
+    most = max(10 * accuracy if most is None else most, 2 * accuracy, 2 * GRID)   # below that a sketch's ranks are off by less than a row
     if not exact:
         a = df.select(*g, F.col(value_col).cast("double").alias("__v")).where("__v IS NOT NULL") \
               .groupBy(*g).agg(F.percentile_approx("__v", list(probs), accuracy).alias("__a"), *extra_aggs)
@@ -90,14 +97,14 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
         F.expr(f"percentile_approx(__v, array({', '.join(f'{b!r}D' for b in bp)}), {accuracy}) AS __b"),
         *extra_aggs)
     extra = [c for c in sk.columns if c not in (*g, "__n", "__b")]
-    small = f"__n <= {10 * accuracy}"
+    small = f"__n <= {most}"
     cols = [*gq, "__n"]
     for i, p in enumerate(probs):
         h = f"(CAST(__n - 1 AS DOUBLE) * {p!r}D + 1.0D)"
         cols += [f"CASE WHEN {small} THEN CAST('-Infinity' AS DOUBLE) ELSE __b[{2 * i}] END AS __lo{i}",
                  f"CASE WHEN {small} THEN CAST('Infinity' AS DOUBLE) ELSE __b[{2 * i + 1}] END AS __hi{i}",
                  f"floor({h}) AS __klo{i}", f"ceil({h}) AS __khi{i}", f"{h} - floor({h}) AS __f{i}"]
-    sk = sk.selectExpr(*cols, *extra)
+    sk = _narrowed(base, materialize(sk.selectExpr(*cols, *extra)), g, len(probs), accuracy, most)
     stat_cols = [c for c in sk.columns if c not in g and c not in extra]
     j = _join_group_stats(base, sk, g)
     in_any = " OR ".join(f"(__v >= __lo{i} AND __v <= __hi{i})" for i in k)
@@ -133,6 +140,43 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
     return r.selectExpr(*gq, *outs, *extra)
 
 
+def _narrowed(base: DataFrame, brackets: DataFrame, g: list[str], n_probs: int, accuracy: int, most: int) -> DataFrame:
+    """``brackets`` (per group __n, and per probability __lo, __hi, __klo, __khi), narrowed to ``most`` distinct values each.
+
+    A pass is made only if some bracket may hold more: of n rows, a first bracket holds about 4·n/accuracy.
+    """
+    k, names = range(n_probs), brackets.columns
+    most_rows = brackets.agg(F.max("__n")).first()[0] or 0
+    if most_rows <= most or (4.0 / accuracy) * most_rows + 2 <= most:
+        return brackets
+    margin = math.ceil(2 * GRID / accuracy) + 1
+    ranks = ", ".join(f"{i / GRID!r}D" for i in range(GRID + 1))
+    while True:
+        j = _join_group_stats(base, brackets.select(*g, *[f"__{e}{i}" for i in k for e in ("lo", "hi")]), g)
+        inside = [f"(__v >= __lo{i} AND __v <= __hi{i})" for i in k]
+        counted = j.groupBy(*g).agg(*[F.expr(x) for i in k for x in (
+            f"count_if(__v < __lo{i}) AS __below{i}", f"count_if({inside[i]}) AS __m{i}",
+            f"approx_count_distinct(CASE WHEN {inside[i]} THEN __v END) AS __d{i}",
+            f"percentile_approx(CASE WHEN {inside[i]} THEN __v END, array({ranks}), {accuracy}) AS __grid{i}")])
+        held = _join_group_stats(brackets, counted, g)
+        cols = {}
+        for i in k:
+            # Where the target ranks lie among the grid's, and the grid's values around them.
+            low = f"(CAST(floor((__klo{i} - __below{i} - 1) * {GRID}D / __m{i}) AS int) - {margin})"
+            high = f"(CAST(ceil((__khi{i} - __below{i}) * {GRID}D / __m{i}) AS int) + {margin})"
+            wide = f"__d{i} > {most}"
+            cols[f"__lo{i}"] = f"CASE WHEN {wide} AND {low} >= 0 THEN get(__grid{i}, {low}) ELSE __lo{i} END"
+            cols[f"__hi{i}"] = f"CASE WHEN {wide} AND {high} <= {GRID} THEN get(__grid{i}, {high}) ELSE __hi{i} END"
+        changed = " OR ".join(f"__lo{i}_ != __lo{i} OR __hi{i}_ != __hi{i}" for i in k)
+        held = held.withColumns({f"{c}_": F.expr(x) for c, x in cols.items()}).withColumn("__changed", F.expr(changed))
+        held = materialize(held.select(*[F.col(f"{c}_").alias(c) if c in cols else F.col(f"`{c}`")
+                                         for c in names], "__changed"))
+        again = held.where("__changed").limit(1).count() > 0
+        brackets = held.drop("__changed")
+        if not again:
+            return brackets
+
+
 def median_exact(df: DataFrame, group_cols: Sequence[str], value_col: str,
                  alias: str = "median") -> DataFrame:
     """Exact median per group, ``(x[lo] + x[hi]) / 2`` in double like R's ``median``."""

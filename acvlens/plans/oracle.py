@@ -472,6 +472,9 @@ FROM s JOIN m ON m.distinct_service_lines = s.distinct_service_lines"""
 
 # The same rows by another path: without explicit pivot years, through a CSV file, over all stages.
 ORACLE_SQL |= {
+    "q10p_referral_yearly_unique_by_year": ORACLE_SQL["q10_referral_yearly_unique"],
+    "q11p_referral_yearly_credit_by_year": ORACLE_SQL["q11_referral_yearly_credit"],
+    "q13p_referral_share_by_year": ORACLE_SQL["q13_referral_share_by_year"],
     "q06d_win_pct_summary_any_year": ORACLE_SQL["q06_win_pct_summary"],
     "q10d_referral_yearly_unique_any_year": ORACLE_SQL["q10_referral_yearly_unique"],
     "q11d_referral_yearly_credit_any_year": ORACLE_SQL["q11_referral_yearly_credit"],

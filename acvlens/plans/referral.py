@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (any_present, dollar, dollar_auto, n, n_distinct, pct_text,
-                               safe_ratio, sum0, year_at_least, year_of)
+from ..functions.exprs import (closed_since, any_present, dollar, dollar_auto, n, n_distinct, pct_text,
+                               safe_ratio, sum0, year_of)
 from ..operators.categories import by_category
 from ..operators.edges import edges
 from ..operators.joins import lookup
@@ -59,7 +59,7 @@ def opp_referral_flag(opp: DataFrame, p: Params) -> DataFrame:
 # --- Q04–Q06, Q40: win rate by year ---------------------------------------------
 
 def _closed_since(opp: DataFrame, p: Params) -> DataFrame:
-    return opp.filter(year_at_least("CloseDate", p.min_year)
+    return opp.filter(closed_since(opp, "CloseDate", p.min_year)
                       & F.col("StageName").isin(p.won, p.lost))
 
 
@@ -155,7 +155,7 @@ def referral_ranked(opp: DataFrame, account: DataFrame, p: Params,
 
 def _won_referral_edges_since(opp: DataFrame, p: Params) -> DataFrame:
     """Edges of the won opportunities since the first year; both bounds reach the scan."""
-    won = opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year))
+    won = opp.filter((F.col("StageName") == p.won) & closed_since(opp, "CloseDate", p.min_year))
     return referral_merged(won, p).select("Id", "Account_Id", year_of("CloseDate").alias("year"),
                                           F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv"))
 
@@ -166,7 +166,7 @@ def referral_yearly_unique(opp: DataFrame, p: Params) -> DataFrame:
     if p.unique_opportunity_id:
         # One scan: the first edge of each opportunity carries its figures, so
         # no de-duplication by Id (and no shuffle on Id) is needed.
-        e = (edges(opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year)),
+        e = (edges(opp.filter((F.col("StageName") == p.won) & closed_since(opp, "CloseDate", p.min_year)),
                    REFERRER_COLUMNS, carry=("CloseDate", "ACV_for_Quotas__c"), first_flag="__first")
              .select("Account_Id", "__first", year_of("CloseDate").alias("year"),
                      F.coalesce(F.col("ACV_for_Quotas__c"), F.lit(0)).alias("acv")))
@@ -217,7 +217,7 @@ def referral_account_acv(opp: DataFrame, p: Params, summary: DataFrame | None =
 
 def referral_share_by_year(opp: DataFrame, p: Params) -> DataFrame:
     """Q13: total won ACV, referral ACV and the referral share (%) per year."""
-    won = opp.filter((F.col("StageName") == p.won) & year_at_least("CloseDate", p.min_year))
+    won = opp.filter((F.col("StageName") == p.won) & closed_since(opp, "CloseDate", p.min_year))
     y = won.groupBy(year_of("CloseDate").alias("year")).agg(
         sum0("ACV_for_Quotas__c").alias("total_sales"),
         sum0(F.when(has_referral(), F.col("ACV_for_Quotas__c"))).alias("referral_sales"))

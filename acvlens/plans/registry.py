@@ -49,6 +49,13 @@ def _report_through_csv(s: SparkSession, d: str) -> DataFrame:
     return tables.read_opp_report_csv(s, path)
 
 
+def _opp_by_year(s: SparkSession, d: str) -> DataFrame:
+    """The opportunities landed by close year in the shared folder and read from there."""
+    path = f"{checkpoint_dir(s)}/opportunity-{uuid.uuid4().hex}"
+    tables.write_opportunity(_opp(s, d), path)
+    return tables.read_opportunity(s, path)
+
+
 # Without explicit pivot years: the years in the data.
 P_ANY_YEAR = replace(P, years=None)
 
@@ -69,6 +76,9 @@ QUERIES: dict[str, Query] = {
     "q11_referral_yearly_credit": lambda s, d: referral.referral_yearly_credit(_opp(s, d), P),
     "q10d_referral_yearly_unique_any_year": lambda s, d: referral.referral_yearly_unique(_opp(s, d), P_ANY_YEAR),
     "q11d_referral_yearly_credit_any_year": lambda s, d: referral.referral_yearly_credit(_opp(s, d), P_ANY_YEAR),
+    "q10p_referral_yearly_unique_by_year": lambda s, d: referral.referral_yearly_unique(_opp_by_year(s, d), P),
+    "q11p_referral_yearly_credit_by_year": lambda s, d: referral.referral_yearly_credit(_opp_by_year(s, d), P),
+    "q13p_referral_share_by_year": lambda s, d: referral.referral_share_by_year(_opp_by_year(s, d), P),
     "q12_referral_account_acv": lambda s, d: referral.referral_account_acv(_opp(s, d), P),
     "q13_referral_share_by_year": lambda s, d: referral.referral_share_by_year(_opp(s, d), P),
     "q14_referral_share_dual_axis": lambda s, d: referral.referral_share_dual_axis(_opp(s, d), P),

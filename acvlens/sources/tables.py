@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import CLOSE_YEAR
 from .csv_records import read_records
 from .schemas import ACCOUNT, OPP_REPORT, OPPORTUNITY
 
@@ -27,8 +28,24 @@ def read_table(spark: SparkSession, path_or_name: str, schema: T.StructType | No
     return df
 
 
+def write_opportunity(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Land opportunities laid out by close year (``close_year=…`` folders, rows without a date in one of their own).
+
+    Rows are dealt out by year and rebalanced by size: AQE splits a large year over
+    several tasks and files and puts small ones together.  Within a file rows are in order of date,
+    so that a bound inside a year skips row groups.
+    """
+    year = F.year("CloseDate")
+    (df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OPPORTUNITY.fields], year.alias(CLOSE_YEAR))
+     .hint("rebalance", CLOSE_YEAR).sortWithinPartitions(CLOSE_YEAR, "CloseDate")
+     .write.mode(mode).partitionBy(CLOSE_YEAR).parquet(path))
+
+
 def read_opportunity(spark: SparkSession, path_or_name: str) -> DataFrame:
-    return read_table(spark, path_or_name, OPPORTUNITY)
+    """Landed opportunities; one laid out by close year keeps that column, which year bounds then use."""
+    table = read_table(spark, path_or_name)
+    layout = [F.col(CLOSE_YEAR)] if CLOSE_YEAR in table.columns else []
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OPPORTUNITY.fields], *layout)
 
 
 def read_account(spark: SparkSession, path_or_name: str) -> DataFrame:
