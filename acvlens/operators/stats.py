@@ -251,8 +251,8 @@ def density(df: DataFrame, group_cols: Sequence[str], value_col: str, n_grid: in
 
     Bandwidth ``bw.nrd0``; groups with fewer than two values are dropped (as
     ``geom_density`` does).  ``binned=True`` (default) linearly bins the values
-    onto the grid first, as R's ``density`` does: the kernel sum is then
-    ≤ n_grid × n_grid terms per group however many rows there are.
+    onto the grid first, as R's ``density`` does, and convolves each group's bin weights
+    with the kernel as arrays: a group is one row of at most n_grid bins however many rows it has.
     ``binned=False`` sums the kernel over every value (n_rows × n_grid terms).
     """
     g = list(group_cols)
@@ -283,10 +283,8 @@ def density(df: DataFrame, group_cols: Sequence[str], value_col: str, n_grid: in
                 .filter(F.col("__p.w") > 0)
                 .groupBy(*g, *gstats, F.col("__p.b").alias("__b"))
                 .agg(F.sum("__p.w").alias("__w")))
-        pts = pts.select(*g, *gstats, (F.col("__from") + F.col("__b") * F.col("__delta")).alias("__x"),
-                         "__w")
-    else:
-        pts = j.select(*g, *gstats, F.col("__v").alias("__x"), F.lit(1.0).alias("__w"))
+        return _convolved(pts, g, n_grid)
+    pts = j.select(*g, *gstats, F.col("__v").alias("__x"), F.lit(1.0).alias("__w"))
     grid = F.explode(F.sequence(F.lit(0), F.lit(n_grid - 1))).alias("__j")
     z = ((F.col("__from") + F.col("__j") * F.col("__delta")) - F.col("__x")) / F.col("__bw")
     k = F.col("__w") * F.exp(F.lit(-0.5) * z * z) / (F.lit(math.sqrt(2 * math.pi)) * F.col("__bw") * F.col("__n"))
@@ -299,6 +297,31 @@ def density(df: DataFrame, group_cols: Sequence[str], value_col: str, n_grid: in
                       "density", "bw", "n")
 
 
+def _convolved(bins: DataFrame, g: list[str], n_grid: int) -> DataFrame:
+    """Density at every grid point from a group's bin weights (__b, __w): one row per group until the last step.
+
+    The kernel at all distances between grid points is computed once per group; a
+    point's density is the sum of the bins' weights times the kernel at their distance.
+    """
+    gstats = ["__n", "__from", "__delta", "__bw"]
+    rows = bins.groupBy(*g, *gstats).agg(F.collect_list(F.struct(F.col("__b").alias("b"), F.col("__w").alias("w"))).alias("__bins"))
+    points = F.sequence(F.lit(0), F.lit(n_grid - 1))
+    step = F.col("__delta") / F.col("__bw")
+    scale = F.lit(math.sqrt(2 * math.pi)) * F.col("__bw") * F.col("__n")
+    kernel = F.transform(points, lambda d: F.exp(F.lit(-0.5) * d * step * d * step) / scale)
+
+    def at_points(held: Column) -> Column:
+        return F.transform(points, lambda i: F.aggregate(
+            held["bins"], F.lit(0.0), lambda sum_, bin_: sum_ + bin_["w"] * F.get(held["kernel"], F.abs(i - bin_["b"]))))
+
+    # Bound in an array, so that the kernel is not computed again for every point.
+    bound = F.transform(F.array(F.struct(F.col("__bins").alias("bins"), kernel.alias("kernel"))), at_points)
+    rows = rows.select(*g, *gstats, F.posexplode(F.get(bound, F.lit(0))).alias("__i", "density"))
+    return rows.select(*g, F.col("__i").cast("long").alias("grid_index"),
+                       (F.col("__from") + F.col("__i") * F.col("__delta")).alias("x"),
+                       "density", F.col("__bw").alias("bw"), F.col("__n").alias("n"))
+
+
 # --- regression / correlation ---------------------------------------------------
 
 def lm_fit(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:
