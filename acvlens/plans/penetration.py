@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import corr0, currency, n, sum0
-from ..operators.categories import by_category
+from ..operators.categories import by_category, category_totals, key_totals
 from ..operators.stats import boxplot_stats, lm_fit, lm_fit_line, median_exact
 from ..params import SUMMARY_LABELS, Params
 from ..session import materialize
@@ -63,17 +63,17 @@ def acct_sales(report: DataFrame, p: Params, scope: str = "won", accounts: DataF
         .select("Acct_Id", "num_opportunities", "distinct_service_lines", "total_acv")
 
 
-def acct_sales_both(report: DataFrame, p: Params) -> DataFrame:
-    """Q34a and Q34b in one pass: per account, the all-stage and the won-only figures.
-
-    One scan and one shuffle instead of one per scope.  Accounts without a won
-    row have NULL won figures (they are absent from the won scope).
-    """
+def acct_line_totals(report: DataFrame, p: Params) -> DataFrame:
+    """Rows and ACV per (account, service line), over all stages and won: additive, so parts of a report can be merged."""
     won = F.coalesce(F.col("Stage") == p.won, F.lit(False))
-    a = by_category(report, ["Acct_Id"], "Record_Type_Name", "all_distinct_service_lines",
-                    {"all_num_opportunities": n(), "all_total_acv": sum0("ACV_for_Quotas"),
-                     "__won_n": F.count_if(won), "__won_acv": sum0(F.when(won, F.col("ACV_for_Quotas")))},
-                    distinct_if={"__won_lines": "__won_n"})
+    return category_totals(report, ["Acct_Id"], "Record_Type_Name", {
+        "all_num_opportunities": n(), "all_total_acv": sum0("ACV_for_Quotas"),
+        "__won_n": F.count_if(won), "__won_acv": sum0(F.when(won, F.col("ACV_for_Quotas")))})
+
+
+def acct_sales_of(totals: DataFrame) -> DataFrame:
+    """Q34a and Q34b per account from its totals per service line (``acct_line_totals``)."""
+    a = key_totals(totals, ["Acct_Id"], "all_distinct_service_lines", distinct_if={"__won_lines": "__won_n"})
     has_won = F.col("__won_n") > 0
     return a.select(
         "Acct_Id", "all_num_opportunities", "all_distinct_service_lines", "all_total_acv",
@@ -82,6 +82,15 @@ def acct_sales_both(report: DataFrame, p: Params) -> DataFrame:
         F.when(has_won, F.col("__won_acv")).alias("won_total_acv"))
 
 
+def acct_sales_both(report: DataFrame, p: Params) -> DataFrame:
+    """Q34a and Q34b in one pass: per account, the all-stage and the won-only figures.
+
+    One scan and one shuffle instead of one per scope.  Accounts without a won
+    row have NULL won figures (they are absent from the won scope).
+    """
+    return acct_sales_of(acct_line_totals(report, p))
+
+
 def sales_correlation(report: DataFrame, p: Params, scopes=("won", "all"),
                       accounts: DataFrame | None = None) -> DataFrame:
     """Q35: corr(opportunities, ACV) and corr(service lines, ACV) per scope, as rows."""
