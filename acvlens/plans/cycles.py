@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import mdy, mdy_strict, n, n_distinct, present
+from ..operators.bitmaps import distinct_bitmaps, distinct_counts, numbered_ids
 from ..operators.dedup import keep_first
 from ..operators.gaps import purchase_cycles as _cycles
 from ..operators.gaps import purchase_gaps as _gaps
@@ -79,6 +80,19 @@ def service_line_counts(report: DataFrame, p: Params, dedup: DataFrame | None =
         n_distinct("Acct_Id", p.approx_distinct).alias("distinct_accts"), n().alias("num_opps"))
 
 
+def service_line_bitmaps(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
+    """Accounts of Q25 per service line as bitmaps: the table from which Q26's distinct counts merge."""
+    rows = materialize((report_dedup(report, p) if dedup is None else dedup).select("Record_Type_Name", "Acct_Id").distinct())
+    return distinct_bitmaps(rows, ["Record_Type_Name"], "Acct_Id", materialize(numbered_ids(rows, "Acct_Id")))
+
+
+def service_line_accounts(bitmaps: DataFrame) -> DataFrame:
+    """Distinct accounts per service line, and over all lines (``total``), from one table of bitmaps."""
+    lines = distinct_counts(bitmaps, ["Record_Type_Name"], "distinct_accts").withColumn("total", F.lit(False))
+    return lines.unionByName(distinct_counts(bitmaps, [], "distinct_accts")
+                             .withColumns({"Record_Type_Name": F.lit(None).cast("string"), "total": F.lit(True)}))
+
+
 def dated(dedup: DataFrame) -> DataFrame:
     """The rows of Q25 with their parsed date, the text as ``date_text`` behind it.
 

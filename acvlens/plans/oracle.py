@@ -282,6 +282,9 @@ FROM opportunity""",
   UNION ALL SELECT year, 'opportunity_count', opportunity_count FROM t
   UNION ALL SELECT year, 'distinct_referral_accounts', distinct_referral_accounts FROM t
 )""") + f"SELECT metric, {pivot_years('value')} FROM l GROUP BY metric",
+    "q10b_referrers_by_year_and_total": with_(OPP, REF_EDGES, MERGED, WON_EDGES_SINCE)
+    + """SELECT year, COUNT(DISTINCT Account_Id) AS distinct_referral_accounts FROM e2 GROUP BY year
+  UNION ALL SELECT NULL, COUNT(DISTINCT Account_Id) FROM e2""",
     "q11_referral_yearly_credit": with_(OPP, REF_EDGES, MERGED, WON_EDGES_SINCE, f"""t AS (
   SELECT year, {dollar_auto('SUM(acv)')} AS referral_acv, CAST(COUNT(*) AS VARCHAR) AS opportunity_count
   FROM e2 GROUP BY year
@@ -343,6 +346,9 @@ FROM cps c LEFT JOIN account a ON a.Id = c.CPA_Contact_Account__c""",
 WHERE rn = 1""",
     "q26_service_line_counts": with_(REP, REPORT_WON, G1, G2, DEDUP) + f"""SELECT Record_Type_Name,
   {nd('Acct_Id')} AS distinct_accts, COUNT(*) AS num_opps FROM dedup GROUP BY Record_Type_Name""",
+    "q26b_accounts_by_line_and_total": with_(REP, REPORT_WON, G1, G2, DEDUP) + f"""SELECT Record_Type_Name,
+  {nd('Acct_Id')} AS distinct_accts, false AS total FROM dedup GROUP BY Record_Type_Name
+  UNION ALL SELECT NULL, {nd('Acct_Id')}, true FROM dedup""",
     "q27_purchase_gaps": with_(REP, REPORT_WON, G1, G2, DEDUP, GAPS) + "SELECT * FROM gaps",
     "q28_purchase_cycles": with_(REP, REPORT_WON, G1, G2, DEDUP, GAPS, CYCLES) + """SELECT Acct_Id,
   Record_Type_Name, round(avg_cycle, 6) AS avg_cycle, round(median_cycle, 6) AS median_cycle,

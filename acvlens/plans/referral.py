@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import (closed_since, any_present, dollar, dollar_auto, n, n_distinct, pct_text,
-                               safe_ratio, sum0, year_of)
+from ..functions.exprs import (any_present, closed_since, dollar, dollar_auto, n, n_distinct, pct_text, safe_ratio,
+                               sum0, year_of)
+from ..operators.bitmaps import distinct_bitmaps, distinct_counts, numbered_ids
 from ..operators.categories import by_category
 from ..operators.edges import edges
 from ..operators.joins import lookup
@@ -213,6 +214,19 @@ def referral_account_acv(opp: DataFrame, p: Params, summary: DataFrame | None =
             .agg(sum0("ACV_for_Quotas__c").alias("total_acv"), n().alias("opportunity_count")))
 
 
+def referrer_bitmaps(opp: DataFrame, p: Params) -> DataFrame:
+    """Referrers of the won opportunities per year as bitmaps: the table from which Q10's distinct counts merge."""
+    e = materialize(_won_referral_edges_since(opp, p).select("year", "Account_Id").distinct())
+    return distinct_bitmaps(e, ["year"], "Account_Id", materialize(numbered_ids(e, "Account_Id")))
+
+
+def referrer_counts(bitmaps: DataFrame) -> DataFrame:
+    """Distinct referrers per year, and over all years (year missing), from one table of bitmaps."""
+    total = distinct_counts(bitmaps, [], "distinct_referral_accounts")
+    return (distinct_counts(bitmaps, ["year"], "distinct_referral_accounts")
+            .unionByName(total.withColumn("year", F.lit(None).cast("long"))))
+
+
 # --- Q13–Q14: referral share of sales -------------------------------------------
 
 def referral_share_by_year(opp: DataFrame, p: Params) -> DataFrame:

@@ -79,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "q10p_referral_yearly_unique_by_year": lambda s, d: referral.referral_yearly_unique(_opp_by_year(s, d), P),
     "q11p_referral_yearly_credit_by_year": lambda s, d: referral.referral_yearly_credit(_opp_by_year(s, d), P),
     "q13p_referral_share_by_year": lambda s, d: referral.referral_share_by_year(_opp_by_year(s, d), P),
+    "q10b_referrers_by_year_and_total": lambda s, d: referral.referrer_counts(referral.referrer_bitmaps(_opp(s, d), P)),
     "q12_referral_account_acv": lambda s, d: referral.referral_account_acv(_opp(s, d), P),
     "q13_referral_share_by_year": lambda s, d: referral.referral_share_by_year(_opp(s, d), P),
     "q14_referral_share_dual_axis": lambda s, d: referral.referral_share_dual_axis(_opp(s, d), P),
@@ -101,6 +102,8 @@ QUERIES: dict[str, Query] = {
     "q25b_report_dedup_by_party": lambda s, d: cycles.report_dedup_by_party(_rep(s, d), P),
     "q25c_report_dedup_sorted": lambda s, d: cycles.report_dedup_sorted(_rep(s, d), P),
     "q26_service_line_counts": lambda s, d: cycles.service_line_counts(_rep(s, d), P),
+    "q26b_accounts_by_line_and_total": lambda s, d: cycles.service_line_accounts(
+        cycles.service_line_bitmaps(_rep(s, d), P)),
     "q27_purchase_gaps": lambda s, d: cycles.purchase_gaps(_rep(s, d), P),
     "q28_purchase_cycles": lambda s, d: _round(cycles.purchase_cycles(_rep(s, d), P),
                                                {"avg_cycle": 6, "median_cycle": 6}),
