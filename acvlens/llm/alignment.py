@@ -62,12 +62,15 @@ class Tokenizers:
         self.b = sentencepiece.SentencePieceProcessor()
         self.b.LoadFromSerializedProto(b)
         self.n_b = self.b.get_piece_size()
-        n_a = max(self.a.bytes_of) + 1
-        self.a_bytes = [self.a.bytes_of.get(i, b"") for i in range(n_a)]
+        self.n_a = max(self.a.bytes_of) + 1
+        self.a_bytes = [self.a.bytes_of.get(i, b"") for i in range(self.n_a)]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(self.b.id_to_piece(list(range(self.n_b))))]
         self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
+        # Numbers as written in a groups text: inside and at the end of its part of a group.
+        self.written = [x for n, end in ((self.n_a, b"|"), (self.n_b, b";"))
+                        for i in range(n) for x in (b"%d," % i, b"%d%s" % (i, end))]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Token numbers of both for each text; none where the text is not given back."""
@@ -79,12 +82,24 @@ class Tokenizers:
                 continue
             raw = b" " + text.encode()
             a, b = np.frombuffer(ids, "<u4").astype(np.int64), self.b.encode(text, num_threads=1)
-            same = (b"".join(map(self.b_bytes.__getitem__, b)) == raw
-                    and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw)
+            # A's tokens are the text's bytes, only put together (tests hold this); it takes their number to be sure.
+            same = b"".join(map(self.b_bytes.__getitem__, b)) == raw and int(self.a_length[a].sum()) == len(raw)
             out.append((a, np.array(b, np.int64)) if same else (none, none))
         return out
 
 
+_opened: dict[tuple[int, int], Tokenizers] = {}
+
+
+def opened(a: bytes, b: bytes) -> Tokenizers:
+    """The tokenizers of two files' bytes, built once per worker."""
+    key = hash(a), hash(b)
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = Tokenizers(a, b)
+    return _opened[key]
+
+
 class Groups:
     """The groups of a document's two token rows."""
 
@@ -98,14 +113,17 @@ class Groups:
         self.count_b = np.diff(self.upto_b, prepend=0)
         self.n_links = int((self.count_a * self.count_b).sum())
 
-    def text(self) -> str:
+    def text(self, t: Tokenizers) -> bytes:
         """``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        out, i, k = [], 0, 0
-        for j, m in zip(self.upto_a.tolist(), self.upto_b.tolist()):
-            out.append(f"{','.join(a[i:j])}|{','.join(b[k:m])}" if j - i + m - k > 2 else f"{a[i]}|{b[k]}")
-            i, k = j, m
-        return ";".join(out)
+        if not len(self.a):
+            return b""
+        # Each token is written with the mark behind it, at its place among the tokens of both.
+        last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
+        last_a[self.upto_a - 1] = last_b[self.upto_b - 1] = True
+        out = np.empty(len(self.a) + len(self.b), np.int64)
+        out[np.arange(len(self.a)) + np.repeat(self.upto_b - self.count_b, self.count_a)] = 2 * self.a + last_a
+        out[np.arange(len(self.b)) + np.repeat(self.upto_a, self.count_b)] = 2 * (t.n_a + self.b) + last_b
+        return b"".join(map(t.written.__getitem__, out.tolist()))[:-1]
 
     def links(self, n_b: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """(pair numbers a * n_b + b, how often each; None: once) of the links, in pieces of bounded size."""
@@ -191,7 +209,7 @@ def index_documents(docs: DataFrame, a_file: str = VOCABULARY, b_file: str = PIE
             [pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, bits = Tokenizers(a_data, b_data), RANGE.bit_length() - 1
+        t, bits = opened(a_data, b_data), RANGE.bit_length() - 1
         number, begun = 0, TaskContext.get().partitionId() << 32   # documents of this task so far; its first range
         held, held_links = [], 0
 
@@ -213,9 +231,9 @@ def index_documents(docs: DataFrame, a_file: str = VOCABULARY, b_file: str = PIE
             for doc_id, (a, b) in zip(slice_.column("doc_id").to_pylist(), t.encode(slice_.column("text").to_pylist())):
                 range_no, slot = begun + (number >> bits), number & RANGE - 1
                 g = Groups(a, b, t)
-                text = g.text()
+                text = g.text(t)
                 out.append((range_no, slot, doc_id, len(a), len(b), len(g.count_a), g.n_links,
-                            hashlib.sha256(text.encode()).hexdigest() if text else "", text if with_groups else None))
+                            hashlib.sha256(text).hexdigest() if text else "", text.decode() if with_groups else None))
                 for pair, times in g.links(t.n_b) if len(a) else ():
                     held.append((pair << bits | slot, times))
                     held_links += len(pair)
@@ -262,15 +280,26 @@ def merge_postings(records: DataFrame) -> DataFrame:
         count = np.diff(first, append=rows.num_rows)
         if len(alone := first[count == 1]):
             yield rows.take(pa.array(alone))
-        for i, n in zip(first[count > 1].tolist(), count[count > 1].tolist()):
-            held, times = np.zeros(RANGE, bool), np.zeros(RANGE, np.int64)
-            for r in rows.slice(i, n).to_pylist():
-                slot = slots_of(r["docs"], r["bits"])
-                held[slot] = True
-                times[slot] += times_of(r["docs"], r["planes"])
-            slot = np.flatnonzero(held)
-            whole = pack(np.full(len(slot), r["pair"]), slot, times[slot])
-            yield pa.RecordBatch.from_arrays([whole[0], pa.array([r["range"]], pa.int64()), *whole[1:]], names=names)
+        parts = np.flatnonzero(np.repeat(count > 1, count))
+        if not len(parts):
+            return
+        several = rows.take(pa.array(parts))
+        of = np.repeat(np.arange(int((count > 1).sum())), count[count > 1])   # which merged posting a part belongs to
+        docs = several.column("docs").to_numpy().astype(np.int64)
+        links = several.column("links").to_numpy()
+        bits, planes = several.column("bits").to_pylist(), several.column("planes").to_pylist()
+        at = np.cumsum(docs) - docs
+        slot, times = np.empty(int(docs.sum()), np.int64), np.ones(int(docs.sum()), np.int64)
+        listed = docs <= _BITSET
+        slot[np.repeat(listed, docs)] = np.frombuffer(b"".join(b for b, x in zip(bits, listed) if x), "<u2")
+        for i in np.flatnonzero(~listed).tolist():
+            slot[at[i]:at[i] + docs[i]] = slots_of(int(docs[i]), bits[i])
+        for i in np.flatnonzero(links > docs).tolist():
+            times[at[i]:at[i] + docs[i]] = times_of(int(docs[i]), planes[i])
+        key, times = _summed(np.repeat(of, docs) * RANGE + slot, times)   # the same document in two parts: once, times added
+        whole = pack(key // RANGE, key % RANGE, times)
+        lead = rows.take(pa.array(first[count > 1]))
+        yield pa.RecordBatch.from_arrays([lead.column("pair"), lead.column("range"), *whole[1:]], names=names)
 
     return (records.where("pair IS NOT NULL").select(*names).repartition("pair", "range")
             .sortWithinPartitions("pair", "range").mapInArrow(run, POSTING))

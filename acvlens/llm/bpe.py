@@ -64,11 +64,10 @@ def _newer_letters() -> tuple[re.Pattern, regex.Pattern]:
     The two have Unicode tables of different age; what is newer than Python's own
     tables is held against the library's.
     """
-    unassigned = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000))))
     theirs = ByteLevel(add_prefix_space=False).pre_tokenize_str
     # Beside a full stop a letter or digit starts a piece of its own.
-    new = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, unassigned)))
-           if len(theirs(f".{c}")) == 1]
+    new = [ord(c) for c in known if unicodedata.category(c) == "Cn" and len(theirs(f".{c}")) == 1]
     runs: list[list[int]] = []
     for c in new:
         if runs and runs[-1][1] == c - 1:
