@@ -12,7 +12,8 @@ index of a few bytes a line.
 The index gives the lines that continue a record.  All other lines are records as they
 stand and are parsed where they are read; the lines of records over several
 lines meet by record.  So the text is read twice and, but for those records,
-never shuffled; no file, however large, is one task.  The scan holds one row per block of
+never shuffled; no file, however large, is one task.  Where no line, begun outside quotes, ends
+inside them, there are no such records, and the scan is left out.  The scan holds one row per block of
 a file in one task.
 
 Lines end with ``\\n`` or ``\\r\\n`` (as the first line of a file does); ``\\r\\n`` inside
@@ -117,17 +118,22 @@ def read_records(spark: SparkSession, path: str | list[str], schema: T.StructTyp
     lines = read_lines(spark, sorted(spark.read.text(path).inputFiles()))
     first = lines.groupBy("file").agg(F.min(F.struct("block", "line", "value")).alias("f"))
     first = first.select("file", F.struct("f.block", "f.line").alias("first"), F.endswith("f.value", F.lit("\r")).alias("crlf"))
-    records = assembled(lines, multi_line_members(line_index(lines))).join(first, "file")
+    index = line_index(lines)
+    if index.where(F.col("outside") == IN).limit(1).count():
+        records = assembled(lines, multi_line_members(index))
+    else:   # no line opens a cell and leaves it open: every line begins outside quotes and is a record
+        records = lines.select("file", F.struct("block", "line").alias("begins"), "value")
+    records = records.join(first, "file")
     header = F.col("begins") == F.col("first")
     text = F.when(F.col("crlf"), F.regexp_replace(F.regexp_replace("value", "\r$", ""), "\r\n", "\n")).otherwise(F.col("value"))
     text = F.when(header, F.ltrim(text, F.lit("\ufeff"))).otherwise(text)
     rows = records.select(header.alias("header"), text.alias("value")).where("value != ''")
     names = [f.name for f in schema.fields[:-1]]
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema.fields)
-    rows = rows.select("header", F.from_csv("value", F.lit(ddl), options).alias("cells"))
+    # A generator parses each record once, whatever reads its cells.
+    rows = rows.select(F.col("header").alias("__header"), F.inline(F.array(F.from_csv("value", F.lit(ddl), options))))
     same = F.lit(True)
     for n in names:
-        same = same & F.col("cells").getField(n).eqNullSafe(F.lit(n))
+        same = same & F.col(f"`{n.replace('`', '``')}`").eqNullSafe(F.lit(n))
     differs = F.raise_error(F.lit("a file's header differs from the columns " + ", ".join(names))).cast("boolean")
-    return (rows.where(F.when(~F.col("header"), F.lit(True)).when(same, F.lit(False)).otherwise(differs))
-            .select(*[F.col("cells").getField(f.name).alias(f.name) for f in schema.fields]))
+    return rows.where(F.when(~F.col("__header"), F.lit(True)).when(same, F.lit(False)).otherwise(differs)).drop("__header")
