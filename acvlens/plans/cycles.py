@@ -104,8 +104,16 @@ def dated(dedup: DataFrame) -> DataFrame:
                         "ACV_for_Quotas", F.col("Close_Date").alias("date_text"))
 
 
-def _written_dates(report: DataFrame, p: Params, dedup: DataFrame | None) -> DataFrame:
-    return materialize(dated(report_dedup(report, p) if dedup is None else dedup))
+def report_dated(report: DataFrame, p: Params) -> DataFrame:
+    """``dated`` rows of Q25 straight from the report.
+
+    The parsed date is a payload of the keep-first aggregate: one parse a row, and a
+    filter on it cannot be pushed below the aggregate and parse again.
+    """
+    rows = report_won(report, p).select(*ROW_COLS, mdy("Close_Date").alias("date"))
+    first = keep_first(rows, DEDUP_KEYS, ["Acct_Id", "ACV_for_Quotas"])
+    return first.select("Opp_ID", "Acct_Id", "Record_Type_Name", F.col("date").alias("Close_Date"), "ACV_for_Quotas",
+                        F.col("Close_Date").alias("date_text"))
 
 
 def report_dedup_sorted(report: DataFrame, p: Params, dedup: DataFrame | None = None) -> DataFrame:
@@ -122,15 +130,17 @@ def purchase_gaps(report: DataFrame, p: Params, dedup: DataFrame | None = None,
     The dated rows feed both the per-day pre-aggregate and the join back
     (``dates``: ``dated`` rows if they are already written).
     """
-    rows = _written_dates(report, p, dedup) if dates is None else dates
-    return _gaps(rows, GROUP, "Close_Date", "Opp_ID", p.max_gap_days, unique_rows=True).drop("date_text")
+    if dates is None:
+        dates = materialize(report_dated(report, p) if dedup is None else dated(dedup))
+    return _gaps(dates, GROUP, "Close_Date", "Opp_ID", p.max_gap_days, unique_rows=True).drop("date_text")
 
 
 def purchase_cycles(report: DataFrame, p: Params, dedup: DataFrame | None = None,
                     dates: DataFrame | None = None) -> DataFrame:
     """Q28: mean / median gap, purchases and last purchase per (account, service line)."""
-    rows = _written_dates(report, p, dedup) if dates is None else dates
-    return _cycles(rows, GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
+    if dates is None:
+        dates = report_dated(report, p) if dedup is None else materialize(dated(dedup))
+    return _cycles(dates, GROUP, "Close_Date", "Opp_ID", p.max_gap_days)
 
 
 def _written_cycles(report: DataFrame, p: Params, cycles: DataFrame | None) -> DataFrame:
