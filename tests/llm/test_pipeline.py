@@ -83,6 +83,6 @@ def test_oracle_sql(spark, name):
 
 def test_entry_has_the_queries():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op")}
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(entry.oracle_sql())
     assert sharding.BUCKETS < 20_000
