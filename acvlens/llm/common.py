@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ..session import checkpoint_dir
@@ -29,6 +30,23 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(rows: DataFrame, key: str, size: Column, limit: int, parts: int = 1 << 16) -> DataFrame:
+    """The rows of smallest ``key`` (a 64-bit hash) whose sizes add up to ``limit`` or less: a sample bounded in bytes.
+
+    The keys are cut into ``parts`` ranges, of which the first ones that fit are kept; only
+    the ranges' sums reach the driver.  All rows where they fit together.
+    """
+    rows = stash(rows)
+    part = F.floor((F.col(key) / 2.0 ** 64 + 0.5) * parts).cast("int")
+    held, first_over = 0, parts + 1
+    for p, n in sorted(map(tuple, rows.groupBy(part.alias("p")).agg(F.sum(size)).collect())):
+        held += n
+        if held > limit:
+            first_over = p
+            break
+    return rows.where(part < first_over)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, lengthened until no column of ``df`` has it (in any case)."""
     taken = {c.lower() for c in df.columns}

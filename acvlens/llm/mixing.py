@@ -2,21 +2,27 @@
 
 A classifier fitted on labelled rows gives every document a posterior over
 domains; its tokens count for the domains in these proportions.  Document
-rates r >= 0 are fitted so that the expected domain totals
-sum_i r_i * tokens_i * p_i match the targets, by projected gradient steps on
-the (scaled) squared error.  Steps are taken in the token-weighted inner
-product, where the gradient of a document is its posterior times the scaled
-error: documents of equal posterior get equal rates whatever their length.
-Where these steps stall or run out before the targets are met (overlapping
-posteriors), Newton steps on the dual follow; an error that remains after them
-is in ``Rates`` and in a warning, per domain.
-
-Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate);
+rates r >= least are fitted by projected gradient so that the expected domain
+totals sum_i r_i * tokens_i * p_i match the targets.  What is minimised is half
+the squared error of the totals, over the largest curvature, plus ``RIDGE`` / 2 times
+the token-weighted squares of r - start, which makes the rates unique:
+of all that reach the targets those nearest ``start``, and where no rates do, bounded ones nearest
+to them.  Steps are taken in the token-weighted inner product, where the gradient
+of a document depends on its posterior and rate alone: documents of equal posterior
+get equal rates whatever their length.  Step lengths are spectral (the curvature along
+the step before), tried at several lengths in one pass.
+
+The fit ends when every domain is within ``TOLERANCE`` of its target, or at the optimum of the
+problem (a projected gradient step would move the rates by under ``OPTIMAL``, root mean square): then the
+targets cannot be met, and the error that remains is in ``Rates``, in the result (``off_target``) and in a warning.
+Separable domains take a few passes, targets that strongly overlapping posteriors hardly reach some hundred.
+
+Scale.  A step is one pass: an aggregate of D + 2 sums over (tokens, posterior, rate) for each length tried;
 the rates of a few steps are one expression, written out every ``CHUNK`` steps.
 A rate depends on the posterior and the steps' few coefficients alone, so it is
 applied to the documents in the pass that classifies them, without a join.
-The classifier is fitted on a bounded sample (``SAMPLE_ROWS`` labelled ids);
-the totals cover all rows.
+The classifier is fitted on a bounded sample (``SAMPLE_ROWS`` labelled ids, of those the
+``SAMPLE_ENTRIES`` features of smallest hash); the totals cover all rows.
 
 A rate of 2.3 means two copies, and a third one with probability 0.3 by a hash of
 the document's id and text: deterministic, and right in expectation.
@@ -40,15 +46,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_bytes, fresh, key_text, slices, stash, with_field
+from .common import batches_bytes, bounded, fresh, key_text, slices, stash, with_field
 from .features import hashed, word_counts
 
 SAMPLE_ROWS = 8192
 BITS = 16
-STEPS = 48
+SAMPLE_ENTRIES = 1 << 23
+STEPS = 400
 CHUNK = 8
 TOLERANCE = 1e-4   # of the total: largest error of a domain at which the fit ends
-STALL = 1e-6       # of the total: change of the domain totals at which it ends as well
+OPTIMAL = 1e-4     # of a rate: root mean square of a unit step at which it ends as well
+RIDGE = 1e-5
+LENGTHS = (1.0, 0.25, 0.0625)
+MEMORY = 8         # passes whose largest value a step has to undercut
 SEED = 10
 
 
@@ -80,7 +90,8 @@ def fit_domains(labelled: DataFrame, domains: list[str], bits: int = BITS, steps
                 [batch.column("h"), batch.column("domain"), pa.array([i.tobytes() for i, _ in rows], pa.binary()),
                  pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["h", "domain", "i", "v"])
 
-    found = sample.mapInArrow(run, "h long, domain string, i binary, v binary").toPandas()
+    found = bounded(sample.mapInArrow(run, "h long, domain string, i binary, v binary"), "h",
+                    F.expr("octet_length(i) div 4"), SAMPLE_ENTRIES).toPandas()
     found = found.drop_duplicates(["h", "domain"]).sort_values(["h", "domain"], kind="stable")
     names = [d for d in domains if (found["domain"] == d).any()]
     if not names:
@@ -110,13 +121,18 @@ def fit_domains(labelled: DataFrame, domains: list[str], bits: int = BITS, steps
 
 @dataclass
 class Rates:
-    """Fitted rates: the steps' coefficients, and what they reach."""
+    """Fitted rates: the steps (length, coefficients), and what they reach."""
 
-    moves: list[np.ndarray]
+    moves: list[tuple[float, np.ndarray]]
     least: float
     start: float
     targets: np.ndarray
     totals: np.ndarray
+    optimal: bool = False   # the targets are met, or no rates come nearer to them
+
+    def errors(self) -> np.ndarray:
+        """Error of every domain's total, as a share of the tokens wanted."""
+        return (self.totals - self.targets) / max(float(self.targets.sum()), 1e-12)
 
     def off(self) -> float:
         """Largest error of a domain's total."""
@@ -124,8 +140,9 @@ class Rates:
 
     def of(self, posteriors: np.ndarray) -> np.ndarray:
         rate = np.full(len(posteriors), self.start)
-        for move in self.moves:
-            rate = np.maximum(self.least, rate - posteriors @ move)
+        for length, move in self.moves:
+            back = length * RIDGE
+            rate = np.maximum(self.least, rate * (1 - back) + back * self.start - posteriors @ (length * move))
         return rate
 
 
@@ -172,75 +189,61 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
         wanted = share > 0
         total = (there[wanted] * least / share[wanted]).max() if least else there.sum()
     rates.targets = share * total
-    scale = 1 / np.maximum(np.diag(h), 1e-12)
-    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * h * np.sqrt(scale)).max()
+    scale = 1 / float(np.linalg.eigvalsh(h).max())   # with it, a unit step is one over the largest curvature
     state, rate = mixed.select("mix.tokens", "mix.p"), f"{start!r}D"
 
-    def moved(move: np.ndarray) -> str:
-        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
-        return f"greatest({rates.least!r}D, {rate} - ({slope}))"
-
-    def reached(rate: str) -> np.ndarray:
-        return np.array(state.agg(*[F.sum(F.expr(f"tokens * p[{a}] * {rate}")) for a in range(k)]).first())
+    def moved(length: float, move: np.ndarray) -> str:
+        back = length * RIDGE
+        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate((length * move).tolist()))
+        return f"greatest({rates.least!r}D, {rate} * {1 - back!r}D + {back * start!r}D - ({slope}))"
+
+    def tried(lengths: list[float], move: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
+        """Per length: the totals reached, squares of r - start, squares of the change of r."""
+        rated = state.select("tokens", "p", F.expr(rate).alias("r"),
+                             *[F.expr(moved(x, move)).alias(f"r{j}") for j, x in enumerate(lengths)])
+        got = rated.agg(*[F.sum(F.expr(e)) for j in range(len(lengths)) for e in (
+            *[f"tokens * p[{a}] * r{j}" for a in range(k)],
+            f"tokens * (r{j} - {start!r}D) * (r{j} - {start!r}D)", f"tokens * (r{j} - r) * (r{j} - r)")]).first()
+        rows = [got[j * (k + 2):(j + 1) * (k + 2)] for j in range(len(lengths))]
+        return [(np.array(x[:k]), x[k], x[k + 1]) for x in rows]
+
+    def value(totals: np.ndarray, squares: float) -> float:
+        error = totals - rates.targets
+        return 0.5 * scale * float(error @ error) + 0.5 * RIDGE * squares
 
-    def take(move: np.ndarray) -> None:
-        nonlocal state, rate
-        rate = moved(move)
-        rates.moves.append(move)
+    mass = float(there.sum())
+    unit, length, values = 1 / (1 + RIDGE), 1 / (1 + RIDGE), [value(rates.totals, 0.0)]
+    while True:
+        if rates.off() <= TOLERANCE * total:
+            rates.optimal = True
+            break
+        if len(rates.moves) == steps:
+            break
+        move = scale * (rates.totals - rates.targets)
+        lengths = [unit, *[length * x for x in LENGTHS]]
+        found = tried(lengths, move)
+        if found[0][2] <= (OPTIMAL ** 2) * mass:
+            rates.optimal = True
+            break
+        # The first length that undercuts the values of late by enough; else the unit step, which always descends.
+        taken = next((j for j in range(1, len(lengths))
+                      if value(*found[j][:2]) <= max(values[-MEMORY:]) - 1e-4 / lengths[j] * found[j][2]), 0)
+        totals, squares, change = found[taken]
+        rate = moved(lengths[taken], move)
+        rates.moves.append((lengths[taken], move))
+        shift = totals - rates.totals
+        length = min(change / (scale * float(shift @ shift) + RIDGE * change), 1 / RIDGE) if change else unit
+        rates.totals = totals
+        values.append(value(totals, squares))
         if len(rates.moves) % CHUNK == 0:
             state, rate = stash(state.select("tokens", "p", F.expr(rate).alias("rate"))), "rate"
-
-    while len(rates.moves) < steps and rates.off() > TOLERANCE * total:
-        take(step * scale * (rates.totals - rates.targets))
-        before, rates.totals = rates.totals, reached(rate)
-        if np.abs(rates.totals - before).max() <= STALL * total:
-            break
-    if rates.off() > TOLERANCE * total:
-        _ascend(mixed.select("mix.tokens", "mix.p"), pairs, start, rates, total, steps)
     if rates.off() > TOLERANCE * total:
-        warnings.warn("mixing: domain totals are off target by " + ", ".join(
+        why = "out of reach" if rates.optimal else f"not reached in {steps} steps"
+        warnings.warn(f"mixing: targets {why}; domain totals are off target by " + ", ".join(
             f"{d} {x:+.6g}" for d, x in zip(model.domains, rates.totals - rates.targets)) + f" of {total:.6g} tokens")
     return rates
 
 
-def _ascend(state: DataFrame, pairs: list[tuple[int, int]], start: float, rates: Rates, total: float, steps: int) -> None:
-    """Newton ascent of the concave dual, for posteriors that overlap so much that gradient steps stall.
-
-    Of all rates that meet the targets it leads to those nearest ``start``: one
-    move, clipped at ``least``.  ``rates`` is changed where the error gets smaller.
-    """
-    k = len(rates.targets)
-
-    def at(move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
-        rated = state.select("tokens", "p", F.expr(f"greatest({rates.least!r}D, {start!r}D - ({slope}))").alias("r"))
-        got = rated.agg(*[F.sum(F.expr(f"tokens * p[{a}] * r")) for a in range(k)],
-                        F.sum(F.expr(f"tokens * (r - {start!r}D) * (r - {start!r}D) / 2")),
-                        *[F.sum(F.expr(f"IF(r > {rates.least!r}D, tokens * p[{a}] * p[{b}], 0D)")) for a, b in pairs]).first()
-        totals, h = np.array(got[:k]), np.zeros((k, k))
-        for (a, b), x in zip(pairs, got[k + 1:]):
-            h[a, b] = h[b, a] = x
-        return totals, h, got[k] + float(move @ (totals - rates.targets))
-
-    move = np.zeros(k)
-    totals, h, height = at(move)
-    for _ in range(steps):
-        error = totals - rates.targets
-        if np.abs(error).max() < rates.off():
-            rates.moves, rates.totals = [move], totals
-        if rates.off() <= TOLERANCE * total:
-            return
-        up = np.linalg.solve(h + 1e-9 * (np.trace(h) + total * 1e-6) * np.eye(k), error)
-        for n in range(12):
-            there = at(move + up / 2 ** n)
-            if there[2] >= height + 1e-4 * float(up @ error) / 2 ** n:
-                break
-        else:
-            return
-        move = move + up / 2 ** n
-        totals, h, height = there
-
-
 def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang",
                      sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, domain) of documents that the labelled table rates good and not toxic.
@@ -256,18 +259,24 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, domain: str = "lang",
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], least: float = 0.0) -> DataFrame:
-    """doc_id, tokens, domain (most likely), p_domain, rate, copies for every row of ``docs``."""
+    """doc_id, tokens, domain (most likely), p_domain, rate, copies, off_target for every row of ``docs``.
+
+    ``off_target``: by how much the total of the row's domain misses its target, as a share of the tokens wanted.
+    """
     model = fit_domains(labelled_domains(docs, labels), list(weights))
     mixed = stash(with_posteriors(key_text(docs), model)
                   .select("doc_id", F.xxhash64("text").alias("h"), "mix"))
     rates = fit_rates(mixed, model, weights, least)
     names = F.array(*[F.lit(d) for d in model.domains])
+    errors = F.array(*[F.lit(float(x)) for x in rates.errors()])
     top = F.array_max("mix.p")
+    place = F.array_position("mix.p", top).cast("int")
     return (_rated(mixed, rates)
             .select("doc_id", F.col("mix.tokens").alias("tokens"),
-                    F.element_at(names, F.array_position("mix.p", top).cast("int")).alias("domain"),
+                    F.element_at(names, place).alias("domain"),
                     F.round(top, 6).alias("p_domain"), F.round("rate", 6).alias("rate"),
-                    F.expr(_copies("rate", "doc_id", "h")).alias("copies")))
+                    F.expr(_copies("rate", "doc_id", "h")).alias("copies"),
+                    F.round(F.element_at(errors, place), 6).alias("off_target")))
 
 
 def _rated(mixed: DataFrame, rates: Rates) -> DataFrame:

@@ -7,7 +7,8 @@ these come the expected grade and the probability of the top grade, by which
 documents are selected.
 
 The model is fitted on a bounded sample (``sample_rows`` labelled documents,
-those with the smallest hash of their id) by gradient steps on the likelihood;
+those with the smallest hash of their id, and of them the ``SAMPLE_ENTRIES`` features
+of smallest hash of id and text) by gradient steps on the likelihood;
 only the hashed features of the sample reach the driver.  Scoring is map-only
 over whole texts; the weights (2^bits floats) are the only thing shipped.
 
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, fresh, key_text, slices, with_field
+from .common import batches_bytes, bounded, fresh, key_text, slices, with_field
 from .features import text_features
 
 SAMPLE_ROWS = 16384
+SAMPLE_ENTRIES = 1 << 23   # hashed features of them that the driver takes at most
 BITS = 18
 BLOCK_ROWS = 1024
 KEEP_AT = 0.5
@@ -118,10 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
         for batch in slices(batches, "text"):
             rows = [text_features(t, bits) for t in batches_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("grade"), pa.array([i.tobytes() for i, _ in rows], pa.binary()),
-                 pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["doc_id", "grade", "i", "v"])
+                [batch.column("doc_id"), batch.column("grade"), batch.column("h"), pa.array([i.tobytes() for i, _ in rows], pa.binary()),
+                 pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["doc_id", "grade", "h", "i", "v"])
 
-    found = sample.mapInArrow(run, "doc_id long, grade int, i binary, v binary").toPandas()
+    hashes = sample.withColumn("h", F.xxhash64("doc_id", "text"))
+    features = bounded(hashes.mapInArrow(run, "doc_id long, grade int, h long, i binary, v binary"), "h",
+                       F.expr("octet_length(i) div 4"), SAMPLE_ENTRIES)
+    found = features.drop("h").toPandas()
     found = found.sort_values(["doc_id", "grade"], kind="stable")
     if found["grade"].nunique() < 2:
         return None

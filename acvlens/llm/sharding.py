@@ -5,8 +5,9 @@ SHA-256 of the text.  The smallest shard capacity for which a greedy filling
 needs at most ``shards`` shards is found by binary search, and the order is
 cut where the greedy filling at that capacity closes a shard.
 
-Scale.  A group is one row after a map-side combined aggregate, so a text that
-a third of the rows share costs one row here; its documents are numbered
+Scale.  Rows of equal id and text are counted first and are one row until the last step, where those
+of over ``CHUNK`` copies are spread over tasks by chunk.  A group is one row after a map-side combined aggregate,
+so a text that a third of the rows share costs one row here; its ids are numbered
 per (text, salt), so no task holds a whole group.  Prefix sums run per bucket
 of the digest (uniform) with an offset per bucket (at most ``BUCKETS`` rows).
 The search needs only "the largest group end <= x".  The driver holds block
@@ -34,18 +35,20 @@ BUCKETS = 4096
 BLOCKS = 8192
 SUB_BLOCKS = 512
 SPLIT_AT_ONCE = 32
+CHUNK = 1 << 16
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, salts: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, salts: int = 64, chunk: int = CHUNK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     d = key_text(docs)
     body = F.coalesce("text", F.lit(""))
-    base = stash(d.select(
+    rows = d.select(
         "doc_id",
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.sha2(body, 256).alias("digest"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")))
+        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    base = stash(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")))
     units = stash(_ordered_units(base))
     cuts = minimax_cuts(units.where("opens").select("end"), shards)
     shard = sum([(F.col("end") > c).cast("int") for c in cuts], F.lit(0))
@@ -54,23 +57,30 @@ def shard_documents(docs: DataFrame, shards: int = 8, salts: int = 64) -> DataFr
     first = F.lit(0).cast("long")
     for k, at in starts.items():
         first = F.when(F.col("shard") == k, F.lit(at)).otherwise(first)
-    rank = F.row_number().over(Window.partitionBy("digest", "salt").orderBy("doc_id"))
+    earlier = Window.partitionBy("digest", "salt").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     place = units.select("digest", "salt", "shard", (F.col("rows_before") - first).alias("before"))
-    return (base.withColumn("rank", rank).join(place, ["digest", "salt"])
-            .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                    (F.col("before") + F.col("rank") - 1).alias("slot"),
-                    F.lit(None).cast("int").alias("grown_shard")))
+    placed = (base.withColumn("inside", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(place, ["digest", "salt"])
+              .withColumn("at", F.col("before") + F.col("inside")))
+    slots = placed.where(F.col("n") <= chunk).withColumn("slot", F.explode(F.expr("sequence(at, at + n - 1)")))
+    if not base.where(F.col("n") > chunk).isEmpty():
+        cut = placed.where(F.col("n") > chunk).withColumn("part", F.explode(F.expr(f"sequence(at, at + n - 1, {chunk}L)")))
+        # A number is named, so that chunks, few bytes before they are unfolded, are not put together again.
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slots = slots.union(cut.repartition(tasks, "digest", "doc_id", "part").withColumn(
+            "slot", F.explode(F.expr(f"sequence(part, least(part + {chunk}L, at + n) - 1)"))).drop("part"))
+    return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _ordered_units(base: DataFrame) -> DataFrame:
     """Per (digest, salt): rows before it, and the byte prefix at the end of its group."""
     bucket = F.conv(F.substring("digest", 1, 3), 16, 10).cast("int")
     units = (base.groupBy("digest", "salt")
-             .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+             .agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("bytes"))
              .withColumn("bucket", bucket))
     run = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (base.withColumn("bucket", bucket).groupBy("bucket")
-               .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+               .agg(F.sum("n").alias("n"), F.sum(F.col("size") * F.col("n")).alias("bytes"))
                .select("bucket", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("off_n"),
                        F.coalesce(F.sum("bytes").over(run), F.lit(0)).alias("off_bytes")))
     by = Window.partitionBy("bucket")

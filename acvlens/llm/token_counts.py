@@ -28,11 +28,14 @@ equal to the separator inside a text cannot occur (the vocabulary lacks it).
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +48,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 18
 GROUP = 1024
+SPAN = 1 << 16        # blocks of a file listed in one array
+NEIGHBOURS = 16       # adjacent blocks that one task reads
+TASK_BYTES = 1 << 28  # read by a task, about
 BLOCKS = "file string, block long, payload binary, doc_ids array<long>"
 
 _encodings: dict[int, tiktoken.Encoding] = {}
@@ -95,19 +101,44 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, separator: i
 
 
 def read_token_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """Blocks of flat token files in a folder (each file below Spark's 2 GB a value)."""
+    """Blocks of flat token files in a folder, of any size: each byte range is read by the task that has its row.
+
+    The files are listed with their lengths (their content is not read) and cut into ranges of ``block_bytes``
+    (a multiple of the tokens' width), which are spread over tasks by hash.  Ranges are opened through ``pyarrow.fs``
+    (local, HDFS, S3 and Google storage addresses).  A file must not change between listing and reading: a range that
+    ends early is an error.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = opened = None
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                view = content.as_buffer() or pa.py_buffer(b"")
-                for number, at in enumerate(range(0, view.size, block_bytes)):
-                    payload = view.slice(at, min(block_bytes, view.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name]), pa.array([number], pa.int64()), pa.array([payload], pa.binary()),
-                         pa.nulls(1, pa.list_(pa.int64()))], names=["file", "block", "payload", "doc_ids"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, BLOCKS)
+            for at in batch.to_pylist():
+                if at["path"] != name:
+                    if opened:
+                        opened.close()
+                    address = quote(re.sub("^s3[an]:", "s3:", at["path"]), safe="/:@")   # Spark's paths are not quoted
+                    files, place = pafs.FileSystem.from_uri(address)
+                    name, opened = at["path"], files.open_input_file(place)
+                start = at["block"] * block_bytes
+                payload = opened.read_at(min(block_bytes, at["length"] - start), start)
+                if len(payload) != min(block_bytes, at["length"] - start):
+                    raise EOFError(f"{name}: {len(payload)} bytes at {start}, the file was listed with {at['length']}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name]), pa.array([at["block"]], pa.int64()), pa.array([payload], pa.binary()),
+                     pa.nulls(1, pa.list_(pa.int64()))], names=["file", "block", "payload", "doc_ids"])
+        if opened:
+            opened.close()
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    spans = files.where("length > 0").selectExpr(
+        "path", "length", f"explode(sequence(0L, (length - 1) div {block_bytes}, {SPAN}L)) AS span")
+    ranges = spans.selectExpr(
+        "path", "length", f"explode(sequence(span, least(span + {SPAN} - 1, (length - 1) div {block_bytes}))) AS block")
+    # The number is named, so that ranges, a few bytes each here, are not put together again.
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    spread = (ranges.repartition(tasks, F.col("path"), F.floor(F.col("block") / NEIGHBOURS))
+              .sortWithinPartitions("path", "block"))
+    return spread.mapInArrow(run, BLOCKS)
 
 
 def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
