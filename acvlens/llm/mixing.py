@@ -55,8 +55,8 @@ SAMPLE_ENTRIES = 1 << 23
 STEPS = 400
 CHUNK = 8
 TOLERANCE = 1e-4   # of the total: largest error of a domain at which the fit ends
-OPTIMAL = 1e-4     # of a rate: root mean square of a unit step at which it ends as well
-RIDGE = 1e-5
+OPTIMAL = 1e-6     # of a rate: root mean square of a unit step at which it ends as well
+RIDGE = 1e-8
 LENGTHS = (1.0, 0.25, 0.0625)
 MEMORY = 8         # passes whose largest value a step has to undercut
 SEED = 10
