@@ -4,101 +4,9 @@ import math
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from acvlens.llm import common, mixing, quality_model, sharding, token_counts
-
-
-def nonnegative_least_squares(a, b):
-    """Lawson and Hanson's active sets: x >= 0 nearest to a x = b."""
-    n = a.shape[1]
-    free, x = np.zeros(n, bool), np.zeros(n)
-    while True:
-        w = a.T @ (b - a @ x)
-        w[free] = -np.inf
-        if free.all() or w.max() <= 1e-9:
-            return x
-        free[w.argmax()] = True
-        while True:
-            s = np.zeros(n)
-            s[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
-            if s[free].min() > 0:
-                break
-            low = free & (s <= 0)
-            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
-            free &= x > 1e-12
-            x[~free] = 0
-        x = s
-
-
-def value_of(r, tokens, p, targets, start):
-    scale = 1 / np.linalg.eigvalsh((tokens[:, None] * p).T @ p).max()
-    e = (tokens * r) @ p - targets
-    return 0.5 * scale * e @ e + 0.5 * mixing.RIDGE * (tokens * (r - start) ** 2).sum()
-
-
-def direct(tokens, p, targets, least, start):
-    """The rates that ``fit_rates`` looks for, as one nonnegative least-squares problem in r - least."""
-    root = np.sqrt(1 / np.linalg.eigvalsh((tokens[:, None] * p).T @ p).max())
-    ridge = np.sqrt(mixing.RIDGE * tokens)
-    a = np.vstack([root * (tokens[:, None] * p).T, np.diag(ridge)])
-    b = np.concatenate([root * (targets - least * tokens @ p), ridge * (start - least)])
-    return least + nonnegative_least_squares(a, b)
-
-
-def passes(monkeypatch):
-    """Counts the passes over the documents that a fit makes (its aggregates)."""
-    from pyspark.sql.classic.dataframe import DataFrame
-    made, real = [], DataFrame.agg
-    monkeypatch.setattr(DataFrame, "agg", lambda self, *a: (made.append(1), real(self, *a))[1])
-    return made
-
-
-@pytest.mark.parametrize("spread, shares, least, reach, most", [
-    (0.6, [0.6, 0.3, 0.1], 0.0, True, 40),
-    (0.05, [0.2, 0.3, 0.5], 0.0, True, 8),
-    (8.0, [0.9, 0.05, 0.05], 0.0, False, 200),
-    (0.6, [0.5, 0.3, 0.2], 1.0, False, 200),
-])
-def test_rates_equal_a_direct_solution(spark, monkeypatch, spread, shares, least, reach, most):
-    rng = np.random.default_rng(13)
-    p, tokens = rng.dirichlet([spread] * 3, 300), rng.integers(1, 500, 300).astype(float)
-    df = common.stash(spark.createDataFrame([((int(t), [float(v) for v in x], 1.0),) for t, x in zip(tokens, p)],
-                                            "mix struct<tokens:long,p:array<double>,rate:double>").coalesce(2))
-    model = mixing.DomainModel(["a", "b", "c"], np.zeros((2, 3)), np.zeros(3))
-    made = passes(monkeypatch)
-    if reach:
-        rates = mixing.fit_rates(df, model, dict(zip("abc", shares)), least)
-    else:
-        with pytest.warns(UserWarning, match="out of reach"):
-            rates = mixing.fit_rates(df, model, dict(zip("abc", shares)), least)
-    assert len(made) <= most and rates.optimal
-    r = rates.of(p)
-    assert r.min() >= least
-    assert np.allclose((tokens * r) @ p, rates.totals, rtol=1e-9)
-    best = direct(tokens, p, rates.targets, least, max(1.0, least))
-    assert np.abs((tokens * best) @ p - rates.targets).max() < (2e-3 if reach else 1) * rates.targets.sum()
-    if reach:     # the fit ends within the tolerance, before the optimum
-        assert rates.off() <= mixing.TOLERANCE * rates.targets.sum()
-    else:
-        got, lowest, first = (value_of(x, tokens, p, rates.targets, max(1.0, least)) for x in (r, best, np.ones(300)))
-        assert -1e-6 * first <= got - lowest <= 1e-2 * (first - lowest)
-        off, best_off = (((tokens * x) @ p - rates.targets) / rates.targets.sum() for x in (r, best))
-        assert np.abs(off - best_off).max() < 5e-3
-        assert np.allclose(rates.errors(), off)
-
-
-def test_remaining_error_is_in_the_result(spark):
-    docs = spark.createDataFrame([(i, f"{'ab'[i % 2]}{i % 5} {'ab'[i % 2]}{i % 3}", "ab"[i % 2]) for i in range(60)],
-                                 "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
-    got = mixing.mixing_rates(docs, labels, {"a": 0.7, "b": 0.3}).collect()
-    assert all(abs(r.off_target) <= mixing.TOLERANCE for r in got)
-    with pytest.warns(UserWarning, match="off target"):
-        got = mixing.mixing_rates(docs, labels, {"a": 0.97, "b": 0.03}, least=1.0).collect()
-    off = {r.domain: r.off_target for r in got}
-    assert off["b"] > 0 and min(r.rate for r in got) >= 1
+from acvlens.llm import common, quality_model, sharding, token_counts
 
 
 def test_a_sample_is_bounded_by_size(spark):
