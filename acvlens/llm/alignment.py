@@ -68,9 +68,10 @@ class Tokenizers:
                         for i, p in enumerate(self.b.id_to_piece(list(range(self.n_b))))]
         self.a_length = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_length = np.array(list(map(len, self.b_bytes)), np.int64)
-        # Numbers as written in a groups text: inside and at the end of its part of a group.
-        self.written = [x for n, end in ((self.n_a, b"|"), (self.n_b, b";"))
-                        for i in range(n) for x in (b"%d," % i, b"%d%s" % (i, end))]
+        # Numbers as written in a groups text, filled up with NUL: inside and at the end of its part of a group.
+        written = [x for n, end in ((self.n_a, b"|"), (self.n_b, b";"))
+                   for i in range(n) for x in (b"%d," % i, b"%d%s" % (i, end))]
+        self.written = np.array(written, f"S{max(8, *map(len, written))}")
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Token numbers of both for each text; none where the text is not given back."""
@@ -106,9 +107,9 @@ class Groups:
     def __init__(self, a: np.ndarray, b: np.ndarray, t: Tokenizers):
         self.a, self.b = a, b
         end_a, end_b = np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b])
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        self.upto_a = np.searchsorted(end_a, common, side="right")
-        self.upto_b = np.searchsorted(end_b, common, side="right")
+        # Both end at the text's last byte: a mark for each byte tells where the other ends too.
+        self.last_a, self.last_b = _marked(end_b, end_a), _marked(end_a, end_b)
+        self.upto_a, self.upto_b = np.flatnonzero(self.last_a) + 1, np.flatnonzero(self.last_b) + 1
         self.count_a = np.diff(self.upto_a, prepend=0)
         self.count_b = np.diff(self.upto_b, prepend=0)
         self.n_links = int((self.count_a * self.count_b).sum())
@@ -118,12 +119,10 @@ class Groups:
         if not len(self.a):
             return b""
         # Each token is written with the mark behind it, at its place among the tokens of both.
-        last_a, last_b = np.zeros(len(self.a), bool), np.zeros(len(self.b), bool)
-        last_a[self.upto_a - 1] = last_b[self.upto_b - 1] = True
         out = np.empty(len(self.a) + len(self.b), np.int64)
-        out[np.arange(len(self.a)) + np.repeat(self.upto_b - self.count_b, self.count_a)] = 2 * self.a + last_a
-        out[np.arange(len(self.b)) + np.repeat(self.upto_a, self.count_b)] = 2 * (t.n_a + self.b) + last_b
-        return b"".join(map(t.written.__getitem__, out.tolist()))[:-1]
+        out[np.arange(len(self.a)) + np.repeat(self.upto_b - self.count_b, self.count_a)] = 2 * self.a + self.last_a
+        out[np.arange(len(self.b)) + np.repeat(self.upto_a, self.count_b)] = 2 * (t.n_a + self.b) + self.last_b
+        return t.written.take(out).tobytes().translate(None, b"\0")[:-1]
 
     def links(self, n_b: int) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         """(pair numbers a * n_b + b, how often each; None: once) of the links, in pieces of bounded size."""
@@ -142,6 +141,13 @@ class Groups:
             yield pair, times_a[own][left] * times_b[right]
 
 
+def _marked(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of ``others`` are among ``ends`` (both ascending, with the same last one)."""
+    mark = np.zeros(int(ends[-1]) + 1 if len(ends) else 0, bool)
+    mark[ends] = True
+    return mark[others]
+
+
 def _distinct(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, id, how often) of the distinct tokens of each group."""
     key, times = np.unique(group << 32 | ids, return_counts=True)

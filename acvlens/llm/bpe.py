@@ -6,7 +6,8 @@ for every symbol, the rank of the pair that it makes with the next one: its root
 is the leftmost pair of lowest rank.  That pair is merged, which changes three
 leaves (the merged symbol's, its left neighbour's, and the one that is gone), each in as
 many steps as the tree is high; when the root holds no pair the piece is done.
-A piece of n bytes takes O(n log n), however long it is.
+A piece of n bytes takes O(n log n), however long it is.  Pieces of at most
+``LONGEST_REMEMBERED`` bytes are merged many at a time; there the levels above the leaves are taken anew as a whole.
 
 Scale.  Encoding and decoding are map-only: rows neither meet nor shuffle, so a
 hot source or group of copies costs its own rows alone.  Pieces that recur are
@@ -45,6 +46,7 @@ LONGEST_REMEMBERED = 65
 MOST_PIECES = 1 << 17
 _SMALL = 1 << 12
 _NONE = 1 << 62
+_HIGH = re.compile("[\U00010000-\U0010FFFF]")
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,26 +60,36 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-def _newer_letters() -> tuple[re.Pattern, regex.Pattern]:
-    """Letters and digits that the ``regex`` module knows and the tokenizers library doesn't, and a pattern without them.
+def _newer_letters() -> tuple[re.Pattern, regex.Pattern, re.Pattern]:
+    """Letters and digits that the ``regex`` module knows and the tokenizers library doesn't, and two patterns without them.
 
     The two have Unicode tables of different age; what is newer than Python's own
-    tables is held against the library's.
+    tables is held against the library's.  The last pattern is for texts without
+    characters from U+10000 on: its classes are lists of characters, which ``re`` looks up in a bitmap.
     """
     known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(0x110000))))
     theirs = ByteLevel(add_prefix_space=False).pre_tokenize_str
     # Beside a full stop a letter or digit starts a piece of its own.
     new = [ord(c) for c in known if unicodedata.category(c) == "Cn" and len(theirs(f".{c}")) == 1]
+    odd = _ranges(new) or r"\U0010FFFF"
+    careful = (PATTERN.replace(r"[^\s\p{L}\p{N}]", f"(?:[{odd}]|[^\\s\\p{{L}}\\p{{N}}])")
+               .replace(r" ?\p{L}+", f" ?(?:(?![{odd}])\\p{{L}})+").replace(r" ?\p{N}+", f" ?(?:(?![{odd}])\\p{{N}})+"))
+    low = "".join(map(chr, range(0x10000)))
+    letters, digits, spaces = (_ranges(sorted({*map(ord, regex.findall(c, low))} - {*new})) for c in (r"\p{L}", r"\p{N}", r"\s"))
+    plain = (f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+"
+             f"|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+    return re.compile(f"[{odd}]"), regex.compile(careful), re.compile(plain)
+
+
+def _ranges(numbers: list[int]) -> str:
+    """Ascending character numbers as the inside of a class."""
     runs: list[list[int]] = []
-    for c in new:
+    for c in numbers:
         if runs and runs[-1][1] == c - 1:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    odd = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs) or r"\U0010FFFF"
-    careful = (PATTERN.replace(r"[^\s\p{L}\p{N}]", f"(?:[{odd}]|[^\\s\\p{{L}}\\p{{N}}])")
-               .replace(r" ?\p{L}+", f" ?(?:(?![{odd}])\\p{{L}})+").replace(r" ?\p{N}+", f" ?(?:(?![{odd}])\\p{{N}})+"))
-    return re.compile(f"[{odd}]"), regex.compile(careful)
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs)
 
 
 class Vocabulary:
@@ -103,7 +115,7 @@ class Vocabulary:
         self.pair_ranks = np.array([self.merges[k][0] for k in self.pair_keys.tolist()], np.int64)
         self.new_of_rank = np.array([number["".join(p.split(" ") if isinstance(p, str) else p)] for p in model["merges"]])
         self.cut = regex.compile(PATTERN)
-        self.newer, self.careful = _newer_letters()
+        self.newer, self.careful, self.plain = _newer_letters()
         longest_first = sorted(self.added, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, longest_first))) if longest_first else None
         self.remembered: dict[str, bytes] = {t: i.to_bytes(4, "little") for t, i in self.added.items()}
@@ -129,7 +141,7 @@ class Vocabulary:
 
     def _pieces(self, text: str) -> Iterator[list[str]]:
         """The text's pieces in order, in lists of bounded length."""
-        cut = self.cut if text.isascii() or not self.newer.search(text) else self.careful
+        cut = self.plain if not _HIGH.search(text) else self.careful if self.newer.search(text) else self.cut
         ends = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
         at = 0
         for start, end in [*ends, (len(text), len(text))]:
@@ -146,11 +158,12 @@ class Vocabulary:
     def _append(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
         """Adds the pieces' numbers to their rows; pieces not met before are merged together."""
         known = self.remembered
-        new = {p for _, pieces in held for p in pieces if p not in known}
+        met = set().union(*(pieces for _, pieces in held))
+        new = met.difference(known)
         if len(known) + len(new) > MOST_REMEMBERED:
             known.clear()
             known.update((t, i.to_bytes(4, "little")) for t, i in self.added.items())
-            new = {p for _, pieces in held for p in pieces if p not in known}
+            new = met.difference(known)
         raw = {p: p.encode() for p in new}
         short = [p for p, b in raw.items() if len(b) <= LONGEST_REMEMBERED]
         known.update(zip(short, self.merge_many([raw[p] for p in short])))
@@ -161,10 +174,10 @@ class Vocabulary:
                                      else map(known.__getitem__, pieces)))
 
     def merge_many(self, pieces: list[bytes]) -> list[bytes]:
-        """Token numbers of short pieces: one tree a piece, the trees of one height as rows of a matrix.
+        """Token numbers of short pieces: one tree a piece, the trees of one height as columns of a matrix.
 
         Every round takes the roots of all trees that still hold a pair, merges
-        these pairs and updates the three leaves of each on the way up.
+        these pairs, updates the three leaves of each and then the levels above, each in one go for all trees.
         """
         out: list[bytes] = [b""] * len(pieces)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -175,34 +188,31 @@ class Vocabulary:
             symbols = np.full((len(rows), width), -1, np.int64)
             symbols[np.arange(width) < n[:, None]] = np.array(self.of_byte)[
                 np.frombuffer(b"".join(pieces[r] for r in rows), np.uint8)]
-            after = np.tile(np.arange(1, width + 1), (len(rows), 1))
-            before = np.tile(np.arange(-1, width - 1), (len(rows), 1))
-            tree = np.full((len(rows), 2 * size), _NONE, np.int64)
-            tree[:, size:] = self._leaf(symbols[:, :size], symbols[:, 1:size + 1], np.arange(size))
-            for k in range(size - 1, 0, -1):
-                tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
-            while len(r := np.flatnonzero(tree[:, 1] < _NONE)):
-                root = tree[r, 1]
+            symbols = np.ascontiguousarray(symbols.T)
+            place = np.arange(width)[:, None]
+            after, before = np.tile(place + 1, len(rows)), np.tile(place - 1, len(rows))
+            tree = np.full((2 * size, len(rows)), _NONE, np.int64)
+            tree[size:] = self._leaf(symbols[:size], symbols[1:size + 1], place[:size])
+            while True:
+                for k in (1 << x for x in range(h - 1, -1, -1)):
+                    np.minimum(tree[2 * k:4 * k:2], tree[2 * k + 1:4 * k:2], out=tree[k:2 * k])
+                if not len(r := np.flatnonzero(tree[1] < _NONE)):
+                    break
+                root = tree[1, r]
                 i = root & 0xFFFFFFFF
-                j = after[r, i]
-                k = np.minimum(after[r, j], width - 1)
+                j = after[i, r]
+                k = np.minimum(after[j, r], width - 1)
                 merged = self.new_of_rank[root >> 32]
-                symbols[r, i], symbols[r, j] = merged, -1
-                after[r, i], before[r, k] = k, i
-                left = before[r, i]
+                symbols[i, r], symbols[j, r] = merged, -1
+                after[i, r], before[k, r] = k, i
+                left = before[i, r]
                 h_at = np.where(left >= 0, left, i)
-                tree[r, size + i] = self._leaf(merged, symbols[r, k], i)
-                tree[r, size + np.minimum(j, size - 1)] = np.where(
-                    j < size, _NONE, tree[r, 2 * size - 1])
-                tree[r, size + h_at] = np.where(left >= 0, self._leaf(symbols[r, h_at], merged, h_at), tree[r, size + i])
-                for at in (size + i, size + np.minimum(j, size - 1), size + h_at):
-                    at = at >> 1
-                    while at[0] >= 1:
-                        tree[r, at] = np.minimum(tree[r, 2 * at], tree[r, 2 * at + 1])
-                        at = at >> 1
-            kept = symbols >= 0
+                tree[size + i, r] = self._leaf(merged, symbols[k, r], i)
+                tree[size + np.minimum(j, size - 1), r] = np.where(j < size, _NONE, tree[2 * size - 1, r])
+                tree[size + h_at, r] = np.where(left >= 0, self._leaf(symbols[h_at, r], merged, h_at), tree[size + i, r])
+            kept = symbols.T >= 0
             ends = np.cumsum(kept.sum(axis=1)) * 4
-            data = symbols[kept].astype("<u4").tobytes()
+            data = symbols.T[kept].astype("<u4").tobytes()
             for r, start, end in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist()):
                 out[r] = data[start:end]
         return out
