@@ -11,8 +11,10 @@ Where these steps stall or run out before the targets are met (overlapping
 posteriors), Newton steps on the dual follow; an error that remains after them
 is in ``Rates`` and in a warning, per domain.
 
-Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate);
-the rates of a few steps are one expression, written out every ``CHUNK`` steps.
+Scale.  A step needs one aggregate of D sums over (tokens, posterior, rate):
+tasks add up their rows in arrays.  The steps' coefficients travel with the
+function, so every step is the same short plan, compiled once; the driver
+would otherwise keep the text and the code of a new plan for each.
 A rate depends on the posterior and the steps' few coefficients alone, so it is
 applied to the documents in the pass that classifies them, without a join.
 The classifier is fitted on a bounded sample (``SAMPLE_ROWS`` labelled ids);
@@ -31,7 +33,7 @@ alike.
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import batches_bytes, fresh, key_text, slices, stash, with_field
+from .common import SparseRows, batches_bytes, fresh, key_text, pieces, slices, stash, with_field
 from .features import hashed, word_counts
 
 SAMPLE_ROWS = 8192
 BITS = 16
+BLOCK_ROWS = 512
 STEPS = 48
-CHUNK = 8
 TOLERANCE = 1e-4   # of the total: largest error of a domain at which the fit ends
 STALL = 1e-6       # of the total: change of the domain totals at which it ends as well
 SEED = 10
@@ -80,32 +82,56 @@ def fit_domains(labelled: DataFrame, domains: list[str], bits: int = BITS, steps
                 [batch.column("h"), batch.column("domain"), pa.array([i.tobytes() for i, _ in rows], pa.binary()),
                  pa.array([v.tobytes() for _, v in rows], pa.binary())], names=["h", "domain", "i", "v"])
 
-    found = sample.mapInArrow(run, "h long, domain string, i binary, v binary").toPandas()
-    found = found.drop_duplicates(["h", "domain"]).sort_values(["h", "domain"], kind="stable")
-    names = [d for d in domains if (found["domain"] == d).any()]
+    found = stash(sample.mapInArrow(run, "h long, domain string, i binary, v binary"))
+    rows = SparseRows(pieces(found, "h", F.expr("octet_length(i) + octet_length(v)")), ["h", "domain"])
+    first: dict[tuple[int, str], int] = {}
+    for r, of in enumerate(zip(rows.keys["h"], rows.keys["domain"])):
+        first.setdefault(of, r)
+    names = [d for d in domains if any(of[1] == d for of in first)]
     if not names:
         return DomainModel(list(domains), np.zeros((1 << bits, len(domains)), np.float32), np.zeros(len(domains)))
-    y = np.array([names.index(d) for d in found["domain"]])
-    index = np.concatenate([np.frombuffer(i, np.int32) for i in found["i"]])
-    value = np.concatenate([np.frombuffer(v, np.float32) for v in found["v"]])
-    of = np.repeat(np.arange(len(y)), [len(i) // 4 for i in found["i"]])
-    used, column = np.unique(index, return_inverse=True)
-    n, k = len(y), len(names)
+    order = sorted(first)
+    y = np.array([names.index(d) for _, d in order])
+    weights, b = fit_softmax(*rows.sorted_by([first[of] for of in order]), y, len(names), bits, steps, rate, ridge)
+    return DomainModel(names, weights, b)
+
+
+def fit_softmax(index: np.ndarray, value: np.ndarray, sizes: np.ndarray, y: np.ndarray, k: int, bits: int,
+                steps: int, rate: float, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, bias) of ``k`` classes by AdaGrad steps over all rows.
+
+    The rows' features are concatenated in ``index`` and ``value``; ``sizes``
+    says how many belong to each row.  ``index`` is overwritten.
+    """
+    n = len(y)
+    number = np.zeros(1 << bits, np.int32)
+    number[index] = 1
+    used = np.flatnonzero(number)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    # Rows are worked on in blocks, so that a step's temporary arrays stay small.
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    blocks = [(p, min(p + BLOCK_ROWS, n)) for p in range(0, n, BLOCK_ROWS)]
+    parts = [(p, q, index[ends[p]:ends[q]], value[ends[p]:ends[q]], sizes[p:q]) for p, q in blocks]
+    for _, _, column, _, _ in parts:
+        column[:] = number[column]
     w, b = np.zeros((len(used), k)), np.log(np.bincount(y, minlength=k) / n)
     squares = np.full((len(used), k), 1e-8)
-    target = np.eye(k)[y]
     for _ in range(steps):
-        z = b + np.stack([np.bincount(of, weights=w[column, c] * value, minlength=n) for c in range(k)], axis=1)
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        d = (e / e.sum(axis=1, keepdims=True) - target) / n
-        g = np.stack([np.bincount(column, weights=d[of, c] * value, minlength=len(used)) for c in range(k)], axis=1)
-        g += ridge * w
+        g, by_bias = ridge * w, np.zeros(k)
+        for p, q, column, x, counts in parts:
+            of = np.repeat(np.arange(q - p, dtype=np.int32), counts)
+            z = b + np.stack([np.bincount(of, weights=w[column, c] * x, minlength=q - p) for c in range(k)], axis=1)
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            d = (e / e.sum(axis=1, keepdims=True) - np.eye(k)[y[p:q]]) / n
+            for c in range(k):
+                g[:, c] += np.bincount(column, weights=d[of, c] * x, minlength=len(used))
+            by_bias += d.sum(axis=0)
         squares += g * g
         w -= rate * g / np.sqrt(squares)
-        b -= rate * d.sum(axis=0)
+        b -= rate * by_bias
     weights = np.zeros((1 << bits, k), np.float32)
     weights[used] = w
-    return DomainModel(names, weights, b)
+    return weights, b
 
 
 @dataclass
@@ -174,36 +200,36 @@ def fit_rates(mixed: DataFrame, model: DomainModel, weights: dict[str, float], l
     rates.targets = share * total
     scale = 1 / np.maximum(np.diag(h), 1e-12)
     step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * h * np.sqrt(scale)).max()
-    state, rate = mixed.select("mix.tokens", "mix.p"), f"{start!r}D"
-
-    def moved(move: np.ndarray) -> str:
-        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
-        return f"greatest({rates.least!r}D, {rate} - ({slope}))"
-
-    def reached(rate: str) -> np.ndarray:
-        return np.array(state.agg(*[F.sum(F.expr(f"tokens * p[{a}] * {rate}")) for a in range(k)]).first())
-
-    def take(move: np.ndarray) -> None:
-        nonlocal state, rate
-        rate = moved(move)
-        rates.moves.append(move)
-        if len(rates.moves) % CHUNK == 0:
-            state, rate = stash(state.select("tokens", "p", F.expr(rate).alias("rate"))), "rate"
-
+    state = mixed.select("mix.tokens", "mix.p")
     while len(rates.moves) < steps and rates.off() > TOLERANCE * total:
-        take(step * scale * (rates.totals - rates.targets))
-        before, rates.totals = rates.totals, reached(rate)
+        rates.moves.append(step * scale * (rates.totals - rates.targets))
+        moves = Rates(list(rates.moves), rates.least, start, there, there)
+        before, rates.totals = rates.totals, _summed(state, k, lambda t, p: (t * moves.of(p)) @ p)
         if np.abs(rates.totals - before).max() <= STALL * total:
             break
     if rates.off() > TOLERANCE * total:
-        _ascend(mixed.select("mix.tokens", "mix.p"), pairs, start, rates, total, steps)
+        _ascend(state, start, rates, total, steps)
     if rates.off() > TOLERANCE * total:
         warnings.warn("mixing: domain totals are off target by " + ", ".join(
             f"{d} {x:+.6g}" for d, x in zip(model.domains, rates.totals - rates.targets)) + f" of {total:.6g} tokens")
     return rates
 
 
-def _ascend(state: DataFrame, pairs: list[tuple[int, int]], start: float, rates: Rates, total: float, steps: int) -> None:
+def _summed(state: DataFrame, width: int, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of ``state`` (tokens, p) of ``width`` numbers: ``of`` gives them for some rows' tokens and posteriors."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                tokens = batch.column("tokens").to_numpy(zero_copy_only=False).astype(np.float64)
+                total += of(tokens, batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(len(tokens), -1))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total.tolist()], names=[f"s{i}" for i in range(width)])
+
+    parts = state.mapInArrow(run, ", ".join(f"s{i} double" for i in range(width)))
+    return np.array([x or 0.0 for x in parts.agg(*[F.sum(c) for c in parts.columns]).first()])
+
+
+def _ascend(state: DataFrame, start: float, rates: Rates, total: float, steps: int) -> None:
     """Newton ascent of the concave dual, for posteriors that overlap so much that gradient steps stall.
 
     Of all rates that meet the targets it leads to those nearest ``start``: one
@@ -211,16 +237,17 @@ def _ascend(state: DataFrame, pairs: list[tuple[int, int]], start: float, rates:
     """
     k = len(rates.targets)
 
+    least = rates.least
+
     def at(move: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        slope = " + ".join(f"({c!r}D * p[{d}])" for d, c in enumerate(move.tolist()))
-        rated = state.select("tokens", "p", F.expr(f"greatest({rates.least!r}D, {start!r}D - ({slope}))").alias("r"))
-        got = rated.agg(*[F.sum(F.expr(f"tokens * p[{a}] * r")) for a in range(k)],
-                        F.sum(F.expr(f"tokens * (r - {start!r}D) * (r - {start!r}D) / 2")),
-                        *[F.sum(F.expr(f"IF(r > {rates.least!r}D, tokens * p[{a}] * p[{b}], 0D)")) for a, b in pairs]).first()
-        totals, h = np.array(got[:k]), np.zeros((k, k))
-        for (a, b), x in zip(pairs, got[k + 1:]):
-            h[a, b] = h[b, a] = x
-        return totals, h, got[k] + float(move @ (totals - rates.targets))
+        def sums(tokens: np.ndarray, p: np.ndarray) -> np.ndarray:
+            r = np.maximum(least, start - p @ move)
+            h = p.T @ (p * (tokens * (r > least))[:, None])
+            return np.concatenate([(tokens * r) @ p, [tokens @ (r - start) ** 2 / 2], h.ravel()])
+
+        got = _summed(state, k + 1 + k * k, sums)
+        totals = got[:k]
+        return totals, got[k + 1:].reshape(k, k), float(got[k] + move @ (totals - rates.targets))
 
     move = np.zeros(k)
     totals, h, height = at(move)

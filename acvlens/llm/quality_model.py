@@ -9,7 +9,7 @@ documents are selected.
 The model is fitted on a bounded sample (``sample_rows`` labelled documents,
 those with the smallest hash of their id, and of them the ``SAMPLE_ENTRIES`` features
 of smallest hash of id and text) by gradient steps on the likelihood;
-only the hashed features of the sample reach the driver.  Scoring is map-only
+only the hashed features of the sample reach the driver, a few MB at a time.  Scoring is map-only
 over whole texts; the weights (2^bits floats) are the only thing shipped.
 
 Defined cases: null text is empty and scores like any text without words;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, bounded, fresh, key_text, slices, with_field
+from .common import SparseRows, batches_bytes, bounded, fresh, key_text, pieces, slices, with_field
 from .features import text_features
 
 SAMPLE_ROWS = 16384
@@ -126,14 +126,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, bits
     hashes = sample.withColumn("h", F.xxhash64("doc_id", "text"))
     features = bounded(hashes.mapInArrow(run, "doc_id long, grade int, h long, i binary, v binary"), "h",
                        F.expr("octet_length(i) div 4"), SAMPLE_ENTRIES)
-    found = features.drop("h").toPandas()
-    found = found.sort_values(["doc_id", "grade"], kind="stable")
-    if found["grade"].nunique() < 2:
+    rows = SparseRows(pieces(features, "h", F.expr("octet_length(i) + octet_length(v)")), ["doc_id", "grade", "h"])
+    doc_id, grade, h = rows.keys["doc_id"], rows.keys["grade"], rows.keys["h"]
+    if len(set(grade)) < 2:
         return None
-    grade, sizes = found["grade"].to_numpy(np.int64), found["i"].map(len).to_numpy() // 4
-    index, value = (np.frombuffer(b"".join(found[c]), kind) for c, kind in (("i", np.int32), ("v", np.float32)))
-    del found
-    return fit_ordinal(index, value, sizes, grade, 3, bits)
+    order = sorted(range(len(h)), key=lambda r: (doc_id[r], grade[r], h[r]))
+    graded = np.array([grade[r] for r in order], np.int64)
+    return fit_ordinal(*rows.sorted_by(order), graded, 3, bits)
 
 
 def rate(docs: DataFrame, model: OrdinalModel | None, keep_at: float = KEEP_AT, into: str = "rating") -> DataFrame:
