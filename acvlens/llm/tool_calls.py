@@ -253,8 +253,10 @@ def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
                 level[call] = most[call]
                 ready.append(call)
     new = [(c, n) for c, n in level.items() if c not in start]
-    return pd.DataFrame({"conv_id": [rows["conv_id"].iloc[0]] * len(new), "call_id": [c for c, _ in new],
-                         "level": [n for _, n in new]})
+    # Typed, since an empty list would make a column of floats, which Spark does not take for text.
+    return pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1].repeat(len(new)).reset_index(drop=True),
+                         "call_id": pd.Series([c for c, _ in new], dtype=object),
+                         "level": pd.Series([n for _, n in new], dtype="int64")})
 
 
 def _without(rows: DataFrame, other: DataFrame, name: str = "call_id") -> DataFrame:

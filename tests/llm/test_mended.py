@@ -80,6 +80,15 @@ def test_whole_rows_equal_brute_force(spark, monkeypatch, most):
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_a_conversation_where_every_call_waits_for_a_circle(spark):
+    needs = [(c, a, b) for c in (1, None) for a, b in ("ab", "ba", "da", "db")] + [(2, "d", "a"), (2, "d", "b"), (2, "e", "f"), (2, "e", "g")]
+    needs += [(2, "f", "g"), (2, "g", "f")]
+    nodes = {(c, x) for c, a, b in needs for x in (a, b)}
+    got = tool_calls.levels(spark.createDataFrame(list(nodes), "conv_id long, call_id string"),
+                            spark.createDataFrame(needs, "conv_id long, call_id string, need string"))
+    assert sorted(map(tuple, got.collect())) == [(2, "a", 0), (2, "b", 0), (2, "d", 1)]
+
+
 def test_a_deep_graph_takes_few_rounds(spark, monkeypatch):
     """1,000 calls, each with two needs behind it: levels 0 to 999."""
     written = []
