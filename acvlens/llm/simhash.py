@@ -45,6 +45,7 @@ from .components import connected_components
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+KEYED = 8192    # fingerprints that a task gives their keys: the map of the keys in its aggregate stays near 60 MB
 # Fixed value: generator polynomial of the (23, 12, 7) Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
@@ -155,7 +156,10 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bucketed(fps: DataFrame) -> DataFrame:
-    """(key, fp, stored) rows of the distinct fingerprints."""
+    """(key, fp, stored) rows of the distinct fingerprints, about 53 of each, in tasks of about ``KEYED`` of them.
+
+    The fingerprints take few bytes, so Spark would read them in one or two tasks and aggregate all their keys there.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -164,7 +168,8 @@ def _bucketed(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys), pa.array(fp[rows]), pa.array(stored)], names=["key", "fp", "stored"])
 
-    return fps.select("fp").mapInArrow(run, "key long, fp long, stored boolean")
+    tasks = max(1, -(-fps.count() // KEYED))
+    return fps.select("fp").repartition(tasks, "fp").mapInArrow(run, "key long, fp long, stored boolean")
 
 
 def link_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -180,8 +185,7 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     buckets = stash(entries.join(live, "key"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= max_bits
     stars = (buckets.where(close & (F.col("fp") != F.col("pivot")))
-             .select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct())
-    stars = stash(stars)
+             .select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     label = stash(connected_components(stars, "a", "b"))
     # Buckets whose members are not all in one class yet: compare across classes only.
     named = (buckets.join(label.withColumnRenamed("node", "fp"), "fp", "left")
@@ -194,8 +198,8 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     right = open_rows.select("key", F.col("fp").alias("b"), F.col("class").alias("cb"))
     across = (left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))
                         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-              .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct())
-    merged = stash(connected_components(stash(across), "a", "b"))
+              .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
+    merged = stash(connected_components(across, "a", "b"))
     first = (fps.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
              .select("fp", F.coalesce("component", "fp").alias("class")))
     return (first.join(merged.select(F.col("node").alias("class"), F.col("component").alias("joined")),

@@ -8,9 +8,10 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from acvlens.llm import (chunk_dedup, decontam, mixing, quality_model, rules, secret_scan, sharding, simhash,
-                         token_counts, tool_calls)
+from acvlens.llm import (chunk_dedup, components, decontam, mixing, quality_model, rules, secret_scan, sharding,
+                         simhash, token_counts, tool_calls)
 from acvlens.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, rating string, mix string, row string, `copy` string, text_hash string"
@@ -386,6 +387,28 @@ def test_links_of_dense_and_chained_fingerprints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(root.values()))
 
 
+def test_keys_of_fingerprints_read_in_one_task_are_spread(spark):
+    fps = spark.range(0, 40000, 1, 1).select(F.xxhash64("id").alias("fp")).distinct().coalesce(1)
+    entries = simhash._bucketed(fps)
+    sizes = [r["count"] for r in entries.groupBy(F.spark_partition_id()).count().collect()]
+    values = np.array([r.fp for r in fps.collect()], np.int64)
+    assert sum(sizes) == sum(len(simhash.bucket_keys(v)[0]) for v in np.array_split(values, 10))
+    assert len(sizes) >= 4 and max(sizes) < 60 * 1.1 * simhash.KEYED
+
+
+def test_links_are_written_once(spark, monkeypatch):
+    written = []
+    for module in (simhash, components):
+        def taken(df, f=module.stash):
+            written.append(df.columns)
+            return f(df)
+        monkeypatch.setattr(module, "stash", taken)
+    fps = spark.createDataFrame([(1,), (3,), (7,), (255 << 50,)], "fp long")
+    got = dict(simhash.link_fingerprints(fps).collect())
+    assert got[1] == got[3] == got[7] != got[255 << 50]
+    assert ["a", "b"] not in written and written.count(["u", "v"]) >= 2
+
+
 def test_golay_keys_meet_up_to_three_bits():
     rng = random.Random(6)
     for n in range(4):
