@@ -33,6 +33,15 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_join(df: DataFrame) -> DataFrame:
+    """``df`` for a join that is done by shuffling and sorting, however small Spark takes its sides to be.
+
+    Rows made by an Arrow function count as wide ones but as no more rows than went in, and a Parquet
+    folder counts as its packed bytes; so a table many times over the limit would be broadcast by the driver.
+    """
+    return df.hint("merge")
+
+
 def bounded(rows: DataFrame, key: str, size: Column, limit: int, parts: int = 1 << 16) -> DataFrame:
     """The rows of smallest ``key`` (a 64-bit hash) whose sizes add up to ``limit`` or less: a sample bounded in bytes.
 

@@ -3,8 +3,12 @@
 Alternating large-star and small-star steps (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): every step only needs the smallest
 neighbour of a node, which is a map-side combined ``min``; a hub's links are
-spread over an inner join that AQE can split.  The number of rounds grows
+spread over a join that AQE can split.  The number of rounds grows
 with the logarithm of the links.  Each round is written to the shared folder.
+Every node has a smallest neighbour, but the joins are outer ones (and no
+filter is null-rejecting): then only the nodes' table can be broadcast, whose
+rows Spark has counted in its aggregate, never the links, which it would
+take to be as small as their packed Parquet.
 """
 
 from __future__ import annotations
@@ -39,13 +43,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return (both.join(least, "u", "left").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    pairs = edges.join(least, "u")
-    return (pairs.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    pairs = edges.join(least, "u", "left")
+    return (pairs.where("NOT v <=> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).distinct())

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bytes, fresh, key_text, slices, stash
+from .common import batches_bytes, fresh, key_text, slices, sorted_join, stash
 from .components import connected_components
 
 SEED = 42
@@ -182,27 +182,27 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         F.min(F.when(F.col("stored"), F.col("fp"))).alias("pivot"),
         F.min("fp").alias("low"), F.max("fp").alias("high"))
     live = ends.where(F.col("pivot").isNotNull() & (F.col("low") != F.col("high"))).select("key", "pivot")
-    buckets = stash(entries.join(live, "key"))
+    buckets = stash(entries.join(sorted_join(live), "key"))
     close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= max_bits
     stars = (buckets.where(close & (F.col("fp") != F.col("pivot")))
              .select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     label = stash(connected_components(stars, "a", "b"))
     # Buckets whose members are not all in one class yet: compare across classes only.
-    named = (buckets.join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    named = (buckets.join(sorted_join(label.withColumnRenamed("node", "fp")), "fp", "left")
              .select("key", "fp", "stored", F.coalesce("component", "fp").alias("class")))
     named = stash(named)
     mixed = (named.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
              .where("lo != hi").select("key"))
-    open_rows = named.join(mixed, "key")
+    open_rows = named.join(sorted_join(mixed), "key")
     left = open_rows.where("stored").select("key", F.col("fp").alias("a"), F.col("class").alias("ca"))
     right = open_rows.select("key", F.col("fp").alias("b"), F.col("class").alias("cb"))
-    across = (left.join(right, (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))
+    across = (left.join(sorted_join(right), (left["key"] == right["key"]) & (F.col("ca") != F.col("cb"))
                         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
               .select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")))
     merged = stash(connected_components(across, "a", "b"))
-    first = (fps.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+    first = (fps.select("fp").join(sorted_join(label.withColumnRenamed("node", "fp")), "fp", "left")
              .select("fp", F.coalesce("component", "fp").alias("class")))
-    return (first.join(merged.select(F.col("node").alias("class"), F.col("component").alias("joined")),
+    return (first.join(sorted_join(merged.select(F.col("node").alias("class"), F.col("component").alias("joined"))),
                        "class", "left")
             .select("fp", F.coalesce("joined", "class").alias("component")))
 
@@ -215,10 +215,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
     """
     rows = stash(fingerprints(docs, shingle))
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    linked = stash(link_fingerprints(distinct, max_bits).join(distinct, "fp"))
+    linked = stash(link_fingerprints(distinct, max_bits).join(sorted_join(distinct), "fp"))
     names = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    lookup = linked.join(names, "component").select("fp", "component", "component_id")
-    return rows.join(lookup, "fp").select("doc_id", "row_hash", "fp", "component_id", "component")
+    lookup = linked.join(sorted_join(names), "component").select("fp", "component", "component_id")
+    return rows.join(sorted_join(lookup), "fp").select("doc_id", "row_hash", "fp", "component_id", "component")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
