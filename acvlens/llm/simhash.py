@@ -232,7 +232,7 @@ def deduplicate(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFra
     row = fresh("row", docs)
     keep = marked.groupBy("component").agg(best.alias("best")).select(F.col("best.row_hash").alias(row))
     named = docs.withColumn(row, F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string")))
-    return named.join(keep, row, "left_semi").dropDuplicates([row, "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
+    return named.join(sorted_join(keep), row, "left_semi").dropDuplicates([row, "doc_id"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def digest(marked: DataFrame) -> DataFrame:

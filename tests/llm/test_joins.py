@@ -48,11 +48,11 @@ def test_the_keys_of_fingerprints_are_not_broadcast(spark, plans):
 
 def test_near_duplicates_broadcast_nothing(spark, plans):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five "), F.expr("id % 50")).alias("text"))
-    marked = simhash.near_duplicates(docs)
-    plans.append(_plan(marked))
-    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    marked, kept = simhash.near_duplicates(docs), simhash.deduplicate(docs)
+    plans += [_plan(marked), _plan(kept)]
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
     assert not _broadcast(plans)
-    assert marked.count() == 200
+    assert marked.count() == 200 and 1 <= kept.count() <= 50
 
 
 def test_the_rounds_of_the_components_never_broadcast_links(spark, plans):
