@@ -21,15 +21,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy", **options: object) -> DataFrame:
     """Write ``df`` as Parquet to the shared checkpoint folder and read it back.
 
     Cuts the lineage for an intermediate that several passes read; the copy
     is columnar (pruning and pushdown work) and any executor can read it.
+    ``options`` go to the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -35,12 +35,12 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from .common import batches_bytes, key_text, slices, stash
@@ -49,6 +49,8 @@ from .decontam import words
 BLOCK = 128
 WINDOW = 2048          # candidates looked at between two looks at the heap
 SEGMENT_WORDS = 1 << 19
+# Row groups of a few segments and pages of one; both are looked at after every row.
+STORED = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 SEGMENT = ("doc_ids array<long>, lengths array<long>, terms binary, ends binary, lists binary, heads binary, data binary")
 HEAP = "item int, doc_id long, score long"
@@ -149,16 +151,28 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
     return key_text(docs).mapInArrow(run, SEGMENT)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """The batch's segments, one at a time."""
-    for i in range(batch.num_rows):
-        yield batch.slice(i, 1).to_pylist()[0]
+def stored(index: DataFrame) -> DataFrame:
+    """``index``, written so that a reader holds few of its segments at once.
+
+    Rows have megabytes here.  By default the writer looks at the size of pages and row groups after
+    each 100 rows, so a task's whole part is one page a column, which is read, unpacked and held whole.
+    """
+    return stash(index, **STORED)
+
+
+def _each_segment(index: DataFrame, run: Callable[[Iterator[Row]], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``run`` makes of each task's segments.
+
+    Arrow batches go by the number of rows, 10,000 of them, so all of a task's segments would be one
+    batch; an RDD's rows go to Python a few megabytes at a time.
+    """
+    return index.sparkSession.createDataFrame(index.rdd.mapPartitions(run), schema, verifySchema=False)
 
 
 class Shard:
     """One segment, opened for queries."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: Row | dict):
         self.lengths = np.array(row["lengths"], np.int64)
         self.doc_ids = row["doc_ids"]
         self.body, self.ends = row["terms"], np.frombuffer(row["ends"], "<i4")
@@ -299,20 +313,18 @@ def search_shard(shard: Shard, lists: Lists, heap: Heap) -> None:
 
 def corpus_statistics(index: DataFrame, terms: list[bytes]) -> tuple[int, int, dict[bytes, int]]:
     """N, L and the document frequency of the given terms over the whole index."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[Row]) -> Iterator[tuple]:
         df: Counter = Counter()
-        for batch in batches:
-            for row in _rows(batch):
-                shard = Shard(row)
-                # -1 and -2 stand for N and L.
-                df.update({-1: int((shard.lengths > 0).sum()), -2: int(shard.lengths.sum())})
-                for i, term in enumerate(terms):
-                    if (k := shard.find(term)) is not None:
-                        df[i] += shard.document_frequency(k)
-        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int64()), pa.array(list(df.values()), pa.int64())],
-                                         names=["term", "n"])
-
-    counted = dict(index.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
+        for row in rows:
+            shard = Shard(row)
+            # -1 and -2 stand for N and L.
+            df.update({-1: int((shard.lengths > 0).sum()), -2: int(shard.lengths.sum())})
+            for i, term in enumerate(terms):
+                if (k := shard.find(term)) is not None:
+                    df[i] += shard.document_frequency(k)
+        return iter(df.items())
+
+    counted = dict(_each_segment(index, run, "term long, n long").groupBy("term").agg(F.sum("n")).collect())
     return counted.get(-1, 0), counted.get(-2, 0), {t: counted.get(i, 0) for i, t in enumerate(terms)}
 
 
@@ -323,26 +335,23 @@ def search(index: DataFrame, queries: list[list[bytes]], k: int = 10) -> DataFra
     weights = {t: max(0, weight(n_docs, df[t])) if df[t] else 0 for t in terms}
     wanted = [[(t, n * weights[t]) for t, n in sorted(Counter(q).items())] for q in queries]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[Row]) -> Iterator[tuple]:
         heaps = [Heap(k) for _ in wanted]
-        for batch in batches:
-            for row in _rows(batch):
-                shard = Shard(row)
-                m = norms(shard.lengths, n_docs, n_words)
-                found = {t: shard.find(t) for t in terms}
-                for query, heap in zip(wanted, heaps):
-                    search_shard(shard, Lists(shard, query, found, m, lambda x: norms(x, n_docs, n_words)), heap)
-        rows = [(i, d, s) for i, heap in enumerate(heaps) for d, s in heap.rows()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in
-                                          enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["item", "doc_id", "score"])
+        for row in rows:
+            shard = Shard(row)
+            m = norms(shard.lengths, n_docs, n_words)
+            found = {t: shard.find(t) for t in terms}
+            for query, heap in zip(wanted, heaps):
+                search_shard(shard, Lists(shard, query, found, m, lambda x: norms(x, n_docs, n_words)), heap)
+        return ((i, d, s) for i, heap in enumerate(heaps) for d, s in heap.rows())
 
-    return index.mapInArrow(run, HEAP)
+    return _each_segment(index, run, HEAP)
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, segment_words: int = SEGMENT_WORDS,
                    block_words: int = 200_000) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents for every row of ``items`` (item_id, text)."""
-    index = stash(build_index(docs, segment_words))
+    index = stored(build_index(docs, segment_words))
     kind = dict(items.dtypes)["item_id"]
     found = None
     for block in _blocks(items, block_words):
